@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treemill.llm import encoding, leakage, overlap
+from treemill.llm import encoding, leakage, neighbours, overlap, pairs, quality, truncation
 from treemill.plans.session import table
 
 
@@ -28,6 +28,50 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(rows, "sent_key").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_rows"))
 
 
+# -- problem 2 ----------------------------------------------------------------
+def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "model_responses"), table(spark, sf_dir, "model_evaluation"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective calls with each of their defects."""
+    return _defects(spark, sf_dir).select("response_id", "defect")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects per experiment."""
+    calls = table(spark, sf_dir, "model_responses").select("response_id", "experiment")
+    return _defects(spark, sf_dir).join(calls, "response_id").groupBy("experiment", "defect").agg(F.count("*").alias("n_calls"))
+
+
+# -- problem 3 ----------------------------------------------------------------
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.response_calls(table(spark, sf_dir, "model_responses"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of which the end is missing."""
+    return truncation.truncated(_calls(spark, sf_dir))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut answers per source."""
+    return truncation.rates(_calls(spark, sf_dir))
+
+
+# -- problem 5 ----------------------------------------------------------------
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pool rows that are among each other's ten most similar, with a cosine of at least 0.9."""
+    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors")
+    return neighbours.mutual(near).select(F.col("id_a").alias("pool_id_a"), F.col("id_b").alias("pool_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every pool row whose id is divisible by 100 the most similar rows, against all rows."""
+    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors")
+    return near.filter(F.col("query") % 100 == 0).select("query", "other", F.round("cosine", 6).alias("cosine"))
+
+
 # -- problem 6 ----------------------------------------------------------------
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text by byte_bpe_50k."""
@@ -52,10 +96,25 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text", spans=True)
 
 
+# -- problem 8 ----------------------------------------------------------------
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are lists, tables or junk rather than prose."""
+    return quality.not_prose(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, line, symbol and common-word figures of every document."""
+    return quality.document_figures(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
+    "p2_found": p2_found, "p2_report": p2_report,
+    "p3_found": p3_found, "p3_rates": p3_rates,
+    "p5_found": p5_found, "p5_neighbours": p5_neighbours,
     "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip,
     "p7_found": p7_found, "p7_spans": p7_spans,
+    "p8_found": p8_found, "p8_figures": p8_figures,
 }
 
 SQL: dict[str, str] = {}
