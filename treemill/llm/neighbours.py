@@ -119,16 +119,25 @@ def _best(q: np.ndarray, x: np.ndarray, cosine: np.ndarray, ids: np.ndarray, k:
     return q[top], x[top], cosine[top]
 
 
+def ranked_copies(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``id, v, copy``: every usable row with its place among equal vectors, by id.
+
+    Null and empty vectors, those with a null number and all-zero ones are left out.
+    """
+    rows = df.select(df[id_col].alias("id"), df[vector_col].cast("array<float>").alias("v"))
+    rows = rows.filter("id is not null and v is not null and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x))")
+    return rows.withColumn("copy", F.row_number().over(W.partitionBy("v").orderBy("id")))
+
+
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """``id, dim, vec``: directions as packed floats.
 
-    Null vectors, vectors with a null or not finite number and all-zero vectors are left
-    out.  Of equal vectors the ``k + 1`` smallest ids stay: with ties going to smaller
-    ids, no other copy is among the ``k`` most similar of any row.
+    Of equal vectors the ``k + 1`` smallest ids stay: with ties going to smaller ids, no
+    other copy is among the ``k`` most similar of any row.  Spark limits the copies
+    before it shuffles, so a hot vector never meets in one task.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(df[id_col].alias("id"), df[vector_col].cast("array<float>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
-    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("copy") <= k + 1).select("id", "v")
+    rows = ranked_copies(df, id_col, vector_col).filter(F.col("copy") <= k + 1).select("id", "v")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,15 +156,20 @@ def _matrix(packed: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype=np.float32).reshape(-1, dim)
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, least: float = 0.9, factor: float = FACTOR) -> DataFrame:
+def nearest(
+    df: DataFrame, id_col: str, vector_col: str, k: int = 10, least: float = 0.9, factor: float = FACTOR, asking: str | None = None, all_copies: bool = True
+) -> DataFrame:
     """``query, other, cosine``: of every row the ``k`` most similar other rows by direction.
 
-    Only cosines of at least ``least`` count; ties go to the smaller id.  Vectors of
-    different length are similar to nothing of each other.  An empty table gives none.
+    Only cosines of at least ``least`` count; ties go to the smaller id.  ``asking``, SQL
+    over ``id``, limits the rows that ask, never those that are searched.  Copies of a
+    vector beyond the first ``k + 1`` get the first ``k`` of them as their list, unless
+    ``all_copies`` is off: no row has them in its own list, so a mutual search does not
+    need them.  Vectors of different length are not similar.  An empty table gives none.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    units = cut(unit_vectors(df, id_col, vector_col, k))
+    units = cut(unit_vectors(df, id_col, vector_col, k).withColumn("asks", F.expr(asking) if asking else F.lit(True)))
     margin = math.acos(max(-1.0, min(1.0, least))) / factor
     total = units.count()
     target = max(1024, min(SHARD_ROWS, total // (2 * spark.sparkContext.defaultParallelism)))
@@ -174,8 +188,10 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, least: flo
             tree = shared.value.get(int(dim), Node(rows=np.empty(0)))
             vectors, at = _matrix(own["vec"], int(dim)), own.index.to_numpy()
             home = {node.cell: at[which] for node, which in visits(tree, vectors, np.arange(len(at)), 0.0)}
-            for node, which in visits(tree, vectors, np.arange(len(at)), margin):
-                yield int(dim), node.cell, home.get(node.cell, at[:0]), at[which]
+            asks = np.flatnonzero(own["asks"].to_numpy())
+            there = {node.cell: at[which] for node, which in visits(tree, vectors, asks, margin)}
+            for cell in home.keys() | there.keys():
+                yield int(dim), cell, home.get(cell, at[:0]), there.get(cell, at[:0])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int], list[int]] = {}
@@ -216,7 +232,13 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 10, least: flo
     dealt = units.mapInPandas(deal, f"id {kind}, dim int, vec binary, cell int, shard int, block int, is_query boolean")
     found = dealt.groupBy("dim", "cell", "shard", "block").applyInPandas(one, f"query {kind}, other {kind}, cosine double")
     best = W.partitionBy("query").orderBy(F.desc("cosine"), "other")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query", "other", "cosine")
+    near = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query", "other", "cosine")
+    if not all_copies or least > 1:
+        return near
+    copies = ranked_copies(df, id_col, vector_col)
+    first = copies.filter(F.col("copy") <= k).select(F.col("id").alias("other"), "v")
+    rest = copies.filter(F.col("copy") > k + 1).filter(F.expr(asking) if asking else F.lit(True)).select(F.col("id").alias("query"), "v")
+    return near.unionByName(rest.join(first, "v").select("query", "other", F.lit(1.0).alias("cosine")))
 
 
 def mutual(near: DataFrame) -> DataFrame:

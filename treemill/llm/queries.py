@@ -62,14 +62,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- problem 5 ----------------------------------------------------------------
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pool rows that are among each other's ten most similar, with a cosine of at least 0.9."""
-    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors")
+    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors", all_copies=False)
     return neighbours.mutual(near).select(F.col("id_a").alias("pool_id_a"), F.col("id_b").alias("pool_id_b"))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every pool row whose id is divisible by 100 the most similar rows, against all rows."""
-    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors")
-    return near.filter(F.col("query") % 100 == 0).select("query", "other", F.round("cosine", 6).alias("cosine"))
+    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors", asking="id % 100 = 0")
+    return near.select("query", "other", F.round("cosine", 6).alias("cosine"))
 
 
 # -- problem 6 ----------------------------------------------------------------
