@@ -28,15 +28,16 @@ def weights(numbered: DataFrame, resamples: int, seed: int) -> DataFrame:
 
 
 def resample_sums(numbered: DataFrame, columns: list[str], resamples: int, seed: int) -> DataFrame:
-    """``b`` and the resampled sum of each column."""
-    joined = weights(numbered, resamples, seed).join(numbered.select("i", *columns), "i")
-    return joined.groupBy("b").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in columns])
+    """``resample`` and the resampled sum of each column."""
+    values = numbered.select("i", F.struct(*columns).alias("value"))
+    joined = weights(numbered, resamples, seed).join(values, "i")
+    return joined.groupBy(F.col("b").alias("resample")).agg(*[F.sum(F.col("value")[c] * F.col("w")).alias(c) for c in columns])
 
 
 def pair_differences(sums: DataFrame, columns: list[str]) -> DataFrame:
-    """``b, first, second, delta`` for each pair of columns."""
+    """``resample, first, second, delta`` for each pair of columns."""
     pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (F.col(a) - F.col(b)).alias("delta")) for n, a in enumerate(columns) for b in columns[n + 1 :]]
-    return sums.select("b", F.explode(F.array(*pairs)).alias("p")).select("b", "p.*")
+    return sums.select("resample", F.explode(F.array(*pairs)).alias("p")).select("resample", "p.*")
 
 
 def two_sided(deltas: DataFrame, smoothing: str = "add_one", level: float = 0.95) -> DataFrame:

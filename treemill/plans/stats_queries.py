@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treemill.operators import scoring, stats
 from treemill.plans.scoring_queries import CTE, SYS, _aligned, _all, _counts
-from treemill.plans.session import table
+from treemill.plans.session import cut, table
 
 RESAMPLES, SEED = 200, 42
 #: Unordered pairs of conditions compared as primary.
@@ -26,8 +26,6 @@ def _numbered(spark: SparkSession, sf_dir: str, model: int) -> DataFrame:
 
 def number(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``i``, the place of the unique ``key`` in its order from 0, and the total ``n``."""
-    from treemill.plans.session import cut
-
     ranged = cut(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33)))
     sizes = sorted((r[0], r[1]) for r in ranged.groupBy("_part").count().collect())  # one row a partition
     total, before, pairs = 0, 0, []
@@ -112,12 +110,14 @@ def _holm(rows: str, family: str, key: str) -> str:
   - row_number() OVER (PARTITION BY {family} ORDER BY p, {key}) + 1) * p) AS step FROM {rows})"""
 
 
+_PRIMARY = " OR ".join(f"(first = '{a}' AND second = '{b}')" for a, b in PRIMARY)
+
 SQL = {
-    "bootstrap_scores": f"{_BOOT} SELECT b, {', '.join(_S)} FROM sums WHERE model_ord = 0",
+    "bootstrap_scores": f"{_BOOT} SELECT b AS resample, {', '.join(_S)} FROM sums WHERE model_ord = 0",
     "bootstrap_pairs": f"{_BOOT} SELECT * FROM pp",
     "bootstrap_unsmoothed": f"{_BOOT}, q AS (SELECT first, second, least(1.0::DOUBLE, 2 * least(at_or_below, at_or_above) / resamples) AS p FROM pr WHERE model_ord = 0) SELECT *, p < 0.05 AS significant FROM q",
-    "holm_within": f"{_BOOT} {_holm('pp', 'model_ord', chr(34) + 'first' + chr(34) + chr(32) + '|| ' + chr(39) + '/' + chr(39) + ' || second')}",
-    "holm_primary": f"{_BOOT} {_holm('(SELECT * FROM pp WHERE ' + ' OR '.join(f'(first = {chr(39)}{a}{chr(39)} AND second = {chr(39)}{b}{chr(39)})' for a, b in PRIMARY) + ')', '1 + 0 * resamples', 'model_ord, first, second')}",
+    "holm_within": f"{_BOOT} " + _holm("pp", "model_ord", "first, second"),
+    "holm_primary": f"{_BOOT} " + _holm(f"(SELECT * FROM pp WHERE {_PRIMARY})", "1 + 0 * resamples", "model_ord, first, second"),
     "alignment_inner": f"WITH {CTE}, ok AS (SELECT * FROM last WHERE llm_parse IS NOT NULL) SELECT a.cond_ord, count(*) AS common FROM ok a JOIN ok b ON a.cond_ord = b.cond_ord AND a.sent_id = b.sent_id WHERE a.model_ord = 0 AND b.model_ord = 1 GROUP BY 1",
     "reasoning_sample": f"""WITH c AS (SELECT eval_id, sent_id, las, md5('{SEED}-' || eval_id) AS h FROM model_evaluation WHERE cot_reasoning IS NOT NULL AND cot_reasoning <> '' AND llm_parse IS NOT NULL AND len(token_errors) > 0),
         k AS (SELECT *, row_number() OVER (ORDER BY las ASC NULLS FIRST, h) AS rk, count(*) OVER () AS n FROM c) SELECT eval_id, sent_id, las FROM (SELECT * FROM k WHERE rk <= greatest(100, n // 2) ORDER BY h LIMIT 50)""",
