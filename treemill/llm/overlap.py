@@ -147,8 +147,8 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, side: Column, per: int
     words pair with nothing.  Repeated rows count by themselves.  Hot classes only widen
     the last join, which adaptive execution splits.
     """
-    rows = joined_words(df.withColumn("side", side), key, text, least_words=least_words)
-    rows = cut(rows)
+    sided = df.select(df[key].alias("key"), df[text].alias("text"), side.alias("side"))
+    rows = cut(joined_words(sided, "key", "text", least_words=least_words))
     strings = rows.groupBy("s").agg(F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right"))
     pairs = near_classes(strings, per)
     a = rows.filter("side = 0").select(F.col("key").alias("ka"), F.col("s").alias("a"))
