@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# fixed values: characters that Python's str.strip removes, as a regular-expression class
-SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# fixed values: the white space that ends of texts lose
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # fixed values: characters that LaTeX reads as commands, and their escapes
 LATEX = (("&", r"\&"), ("%", r"\%"), ("_", r"\_"), ("#", r"\#"))
 
 
 def strip(text: Column) -> Column:
     """Without white space, Unicode's included, at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def latex(text: Column) -> Column:

@@ -40,13 +40,13 @@ def pair_differences(sums: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select("resample", F.explode(F.array(*pairs)).alias("p")).select("resample", "p.*")
 
 
-def two_sided(deltas: DataFrame, smoothing: str = "add_one", level: float = 0.95) -> DataFrame:
+def two_sided(deltas: DataFrame, smoothing: str = "add_one", level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
     """Per pair the number of resamples at or below and at or above 0, p and the percentile interval.
 
     ``smoothing='add_one'`` gives ``min(1, 2 (c + 1) / (B + 1))``, ``'raw'`` gives ``min(1, 2 c / B)``.
     """
     low, high, n = F.count_if(F.col("delta") <= 0), F.count_if(F.col("delta") >= 0), F.count("*")
-    out = deltas.groupBy("first", "second").agg(
+    out = deltas.groupBy(*by, "first", "second").agg(
         n.alias("resamples"), low.alias("at_or_below"), high.alias("at_or_above"), F.percentile("delta", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("ci")
     )
     c = F.least("at_or_below", "at_or_above")

@@ -13,15 +13,16 @@ RESAMPLES, SEED = 200, 42
 PRIMARY = (("s1", "s2"), ("s2", "s3"))
 
 
-def _numbered(spark: SparkSession, sf_dir: str, model: int) -> DataFrame:
-    """Sentences with the right labels of the six conditions as columns, numbered in the order of their ids.
+#: Columns of right labels: model and condition.
+COLUMNS = [[f"m{m}s{c}" for c in range(6)] for m in (0, 1)]
 
-    The number comes from a range partitioning by id and the sizes of the partitions before, not from a single ordered task.
-    """
-    n = scoring.sentence_counts(_aligned(spark, sf_dir).filter(F.col("model_ord") == model), "cond_ord", "sent_id")
-    wide = n.groupBy("sent_id").pivot("cond_ord", list(range(6))).agg(F.sum("las_correct"))
-    wide = wide.select("sent_id", *[F.col(str(c)).alias(f"s{c}") for c in range(6)])
-    return number(wide, "sent_id")
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference sentences, numbered, with the right labels of every system as columns."""
+    n = scoring.sentence_counts(_aligned(spark, sf_dir), *SYS, "sent_id")
+    system = F.concat(F.lit("m"), F.col("model_ord").cast("string"), F.lit("s"), F.col("cond_ord").cast("string"))
+    wide = n.withColumn("system", system).groupBy("sent_id").pivot("system", COLUMNS[0] + COLUMNS[1])
+    return number(wide.agg(F.sum("las_correct")), "sent_id")
 
 
 def number(rows: DataFrame, key: str) -> DataFrame:
@@ -37,20 +38,30 @@ def number(rows: DataFrame, key: str) -> DataFrame:
     return ranged.withColumn("i", (start + F.col("_at")).cast("long")).withColumn("n", F.lit(total).cast("long")).drop("_part", "_at")
 
 
+def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One set of draws for all systems: resampled sums of every column."""
+    return stats.resample_sums(_numbered(spark, sf_dir), COLUMNS[0] + COLUMNS[1], RESAMPLES, SEED)
+
+
 def bootstrap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled sums of right labels of the first model's six conditions."""
-    return stats.resample_sums(_numbered(spark, sf_dir, 0), [f"s{c}" for c in range(6)], RESAMPLES, SEED)
+    return _sums(spark, sf_dir).select("resample", *[F.col(c).alias(c[2:]) for c in COLUMNS[0]])
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _deltas(sums: DataFrame) -> DataFrame:
+    """``model_ord, first, second, delta`` for the pairs of conditions within each model."""
     out = None
-    for model in (0, 1):
-        sums = stats.resample_sums(_numbered(spark, sf_dir, model), [f"s{c}" for c in range(6)], RESAMPLES, SEED)
-        part = stats.two_sided(stats.pair_differences(sums, [f"s{c}" for c in range(6)])).withColumn("model_ord", F.lit(model))
+    for model, columns in enumerate(COLUMNS):
+        own = sums.select("resample", *[F.col(c).alias(c[2:]) for c in columns])
+        part = stats.pair_differences(own, [c[2:] for c in columns]).withColumn("model_ord", F.lit(model))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.two_sided(_deltas(cut(_sums(spark, sf_dir))), by=("model_ord",))
+
+
 def bootstrap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of conditions of each model with smoothed p values."""
     return _pairs(spark, sf_dir).drop("ci_low", "ci_high")
@@ -58,8 +69,8 @@ def bootstrap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first model's pairs with raw p values and the significance flag."""
-    sums = stats.resample_sums(_numbered(spark, sf_dir, 0), [f"s{c}" for c in range(6)], RESAMPLES, SEED)
-    out = stats.two_sided(stats.pair_differences(sums, [f"s{c}" for c in range(6)]), "raw")
+    own = _sums(spark, sf_dir).select("resample", *[F.col(c).alias(c[2:]) for c in COLUMNS[0]])
+    out = stats.two_sided(stats.pair_differences(own, [c[2:] for c in COLUMNS[0]]), "raw")
     return out.select("first", "second", "p", (F.col("p") < 0.05).alias("significant"))
 
 
