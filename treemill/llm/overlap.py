@@ -8,7 +8,8 @@ order, rarest first, and a string keeps the shortest beginning of its own list t
 allowed number of edits can destroy.  If two strings overlap, these beginnings share a
 q-gram at places that differ by no more than the allowed edits, so indexing the held-out
 side and probing with the training side, by q-gram and block of places, misses nothing.
-Length and place filters and a banded edit distance decide.
+Filters by length, place and a sketch of 2-grams leave few pairs; only their texts are
+fetched and compared, by a banded edit distance.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SHORT_Q = 2
 SHORT = 11
 #: The global order of q-grams comes from counts in this many hash buckets: a table of fixed size.
 BUCKETS = 1 << 17
-PLACES = 16
+PLACES = 32
 STRINGS_A_TASK = 20_000
 
 
@@ -67,6 +68,17 @@ def prefix(hashes: list[int], counts: np.ndarray, edits: int, q: int) -> list[tu
     return [(hashes[j], j) for j in order]
 
 
+def sketch(text: str) -> tuple[int, int]:
+    """Which of 128 hash buckets the 2-grams of a text fall into, as two signed numbers.
+
+    One edit removes at most two 2-grams and adds at most two, so it flips at most four bits.
+    """
+    bits = 0
+    for pair in {text[i : i + 2] for i in range(len(text) - 1)}:
+        bits |= 1 << (xxhash.xxh3_64_intdigest(pair) & 127)
+    return _signed(bits & 0xFFFFFFFFFFFFFFFF), _signed(bits >> 64)
+
+
 def _sizes(text: str) -> tuple[int, ...]:
     return (Q, SHORT_Q) if len(text) < SHORT else (Q,)
 
@@ -114,29 +126,40 @@ def near_classes(strings: DataFrame, per: int = 10) -> DataFrame:
     table[counted["bucket"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
     shared = spark.sparkContext.broadcast(table)
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
-        for batch in batches:
-            out: list[tuple] = []
-            for s, left, right in zip(batch["s"], batch["left"], batch["right"]):
-                edits = most_edits(len(s), per)
-                for q in _sizes(s):
-                    for h, place in prefix(grams(s, q), counts, edits, q):
-                        gram = _signed(h ^ q)
-                        if left:
-                            out.append((gram, place // PLACES, place, s, True))
-                        if right:
-                            for block in range((place - edits) // PLACES, (place + edits) // PLACES + 1):
-                                out.append((gram, block, place, s, False))
-            yield pd.DataFrame(out, columns=["gram", "block", "place", "s", "is_left"])
-
-    posts = strings.mapInPandas(post, "gram long, block int, place int, s string, is_left boolean")
-    left = posts.filter("is_left").select("gram", "block", F.col("place").alias("place_a"), F.col("s").alias("a"))
-    right = posts.filter("not is_left").select("gram", "block", F.col("place").alias("place_b"), F.col("s").alias("b"))
-    edits = F.floor(F.greatest(F.length("a"), F.length("b")) / per).cast("int")
-    near = (F.abs(F.length("a") - F.length("b")) <= edits) & (F.abs(F.col("place_a") - F.col("place_b")) <= edits) & (F.col("a") != F.col("b"))
-    close = F.expr(f"levenshtein(a, b, int(greatest(length(a), length(b)) div {per})) >= 0")
-    pairs = left.join(right, ["gram", "block"]).filter(near).filter(close).select("a", "b").distinct()
+    def posts(is_left: bool) -> DataFrame:
+        """Kept q-grams of one side's strings; on the right also for the blocks that the allowed edits can reach."""
+
+        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts = shared.value
+            for batch in batches:
+                out: list[tuple] = []
+                for key, s in zip(batch["id"], batch["s"]):
+                    size, edits = len(s), most_edits(len(s), per)
+                    low, high = sketch(s)
+                    for q in _sizes(s):
+                        for h, place in prefix(grams(s, q), counts, edits, q):
+                            gram = _signed(h ^ q)
+                            reach = 0 if is_left else edits
+                            for block in range((place - reach) // PLACES, (place + reach) // PLACES + 1):
+                                out.append((gram, block, place, size, key, low, high))
+                yield pd.DataFrame(out, columns=["gram", "block", "place", "size", "id", "low", "high"])
+
+        own = named.filter("left" if is_left else "right").select("id", "s")
+        return own.mapInPandas(post, "gram long, block int, place int, size int, id long, low long, high long")
+
+    named = strings.withColumn("id", F.xxhash64("s"))
+    fields = ("place", "size", "id", "low", "high")
+    left = posts(True).select("gram", "block", *[F.col(c).alias(f"{c}_a") for c in fields])
+    right = posts(False).select("gram", "block", *[F.col(c).alias(f"{c}_b") for c in fields])
+    near = F.expr(
+        f"abs(size_a - size_b) <= greatest(size_a, size_b) div {per} and abs(place_a - place_b) <= greatest(size_a, size_b) div {per} and id_a <> id_b "
+        f"and bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= 4 * (greatest(size_a, size_b) div {per})"
+    )
+    close = F.expr(f"a <> b and levenshtein(a, b, int(greatest(length(a), length(b)) div {per})) >= 0")
+    ids = left.join(right, ["gram", "block"]).filter(near).select("id_a", "id_b").distinct()
+    # the strings come back by id only for the few pairs that are left; an id shared by chance only adds a pair to verify
+    pairs = ids.join(named.select(F.col("id").alias("id_a"), F.col("s").alias("a")), "id_a").join(named.select(F.col("id").alias("id_b"), F.col("s").alias("b")), "id_b")
+    pairs = pairs.filter(close).select("a", "b")
     same = strings.filter("left and right").select(F.col("s").alias("a"), F.col("s").alias("b"))
     return pairs.unionByName(same)
 
