@@ -284,15 +284,15 @@ def _chunks(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-_loaded: dict[tuple[str, int], Transducer] = {}
+#: The last transducer of this worker, with the ranks it was built from.
+_loaded: list[tuple[object, Transducer]] = []
 
 
-def _transducer(path: str, shared) -> Transducer:
-    key = (path, len(shared.value))
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Transducer(shared.value)
-    return _loaded[key]
+def _transducer(shared) -> Transducer:
+    ranks = shared.value
+    if not _loaded or _loaded[0][0] is not ranks:
+        _loaded[:] = [(ranks, Transducer(ranks))]
+    return _loaded[0][1]
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -306,7 +306,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = D
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        transducer = _transducer(vocabulary, shared)
+        transducer = _transducer(shared)
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "ids": [transducer.encode(t) for t in batch["text"]]})
 
@@ -320,7 +320,7 @@ def roundtrip(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAU
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        transducer = _transducer(vocabulary, shared)
+        transducer = _transducer(shared)
         for batch in batches:
             ids = [transducer.encode(t) for t in batch["text"]]
             same = [transducer.decode(x) == (t or "") for x, t in zip(ids, batch["text"])]

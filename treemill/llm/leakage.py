@@ -77,15 +77,15 @@ class LeakAutomaton:
                     yield item_id, low, high
 
 
-_built: dict[int, LeakAutomaton] = {}
+#: The last automaton of this worker, with the items it was built from.
+_built: list[tuple[object, int, LeakAutomaton]] = []
 
 
 def _automaton(shared, run: int) -> LeakAutomaton:
-    key = id(shared.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = LeakAutomaton(shared.value, run)
-    return _built[key]
+    items = shared.value
+    if not _built or _built[0][0] is not items or _built[0][1] != run:
+        _built[:] = [(items, run, LeakAutomaton(items, run))]
+    return _built[0][2]
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, bound: int = AUTOMATON_CHARS) -> Iterator[list[tuple[int, str | None]]]:
