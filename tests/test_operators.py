@@ -151,3 +151,13 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("  a_b & 5% #\xa0", 0.12345, 0.00001)], "t string, x double, p double")
     got = df.select(tx.strip(F.col("t")).alias("s"), tx.latex(F.col("t")).alias("l"), tx.percent(F.col("x")).alias("x"), tx.p_value(F.col("p")).alias("p")).collect()[0]
     assert got.s == "a_b & 5% #" and r"a\_b \& 5\% \#" in got.l and got.x == "12.35" and got.p == "<0.0001"
+
+
+def test_injected_models(spark):
+    from treemill.operators import annotators
+
+    df = spark.createDataFrame([(1, "The cat quickly jumped over 3 walls ."), (2, None)], "k int, t string")
+    got = {r.key: r.tags for r in annotators.tagged(df, "k", "t").collect()}
+    assert got == {1: ["DET", "NOUN", "ADV", "VERB", "ADP", "NUM", "NOUN", "PUNCT"], 2: []}
+    vectors = annotators.encoded(df, "k", "t", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
+    assert sorted((r.key, list(r.vectors)) for r in vectors) == [(1, [37.0, 1.0]), (2, [0.0, 1.0])]

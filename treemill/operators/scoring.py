@@ -38,6 +38,7 @@ def reference(evaluations: DataFrame) -> DataFrame:
 def aligned(reference_rows: DataFrame, systems: DataFrame, record_rows: DataFrame, missing: str = "zero") -> DataFrame:
     """Every reference sentence for every system, with the system's parse or null.
 
+    ``record_rows`` has at most one row per system and sentence, as ``latest`` gives.
     ``missing='zero'`` keeps absent records and null parses, which then score nothing;
     ``missing='exclude'`` drops both.  ``present`` tells the two apart.
     """
@@ -45,9 +46,14 @@ def aligned(reference_rows: DataFrame, systems: DataFrame, record_rows: DataFram
     if len(known) > MANY_SYSTEMS:
         raise ValueError(f"more than {MANY_SYSTEMS} systems")
     every = F.array(*[F.struct(*[F.lit(s[c]).cast("int").alias(c) for c in SYSTEM]) for s in known])
-    left = reference_rows.withColumn("_system", F.explode(every)).select("_system.*", "sent_id", "gold")
-    right = record_rows.select(*SYSTEM, "sent_id", "llm_parse", F.lit(True).alias("present"))
-    out = left.join(right, [*SYSTEM, "sent_id"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    # a sentence's parses are gathered, at most one a system, so gold trees are shuffled once and not once a system
+    parses = record_rows.filter("sent_id is not null").groupBy("sent_id").agg(F.collect_list(F.struct(*SYSTEM, "llm_parse")).alias("_parses"))
+    joined = reference_rows.join(parses, "sent_id", "left")
+    found = lambda s: F.try_element_at(F.filter("_parses", lambda p: (p["model_ord"] == s["model_ord"]) & (p["cond_ord"] == s["cond_ord"])), F.lit(1))
+    each = F.explode(F.transform(every, lambda s: F.struct(s["model_ord"].alias("model_ord"), s["cond_ord"].alias("cond_ord"), found(s).alias("record"))))
+    out = joined.select("sent_id", "gold", each.alias("_s")).select(
+        "_s.model_ord", "_s.cond_ord", "sent_id", "gold", F.col("_s.record.llm_parse").alias("llm_parse"), F.col("_s.record").isNotNull().alias("present")
+    )
     return out if missing == "zero" else out.filter("llm_parse is not null")
 
 

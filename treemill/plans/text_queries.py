@@ -152,10 +152,25 @@ def latex_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
 
 
+def critique_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every critique call the size of the reasoning parse that it was to correct, null where there is none."""
+    rows = scoring.latest(_all(spark, sf_dir).select("model_ord", "cond_ord", "sent_id", "llm_parse", "evaluated_at", "eval_id"))
+    source = rows.filter("cond_ord = 4").select("model_ord", "sent_id", F.size("llm_parse").alias("n_tokens"))
+    return rows.filter("cond_ord = 5").select("model_ord", "sent_id").join(source, ["model_ord", "sent_id"], "left")
+
+
+def corpus_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals that a complete corpus must have: sentences, scored tokens, records, usage."""
+    reference = scoring.reference(table(spark, sf_dir, "model_evaluation")).agg(F.count("*").alias("sentences"), F.sum(F.size(tok.scored(F.col("gold")))).alias("tokens"))
+    calls = table(spark, sf_dir, "model_responses").agg(F.count("*").alias("records"), F.sum("usage.total_tokens").alias("usage_tokens"), F.count_if("api_success").alias("successes"))
+    parts = [F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in ("sentences", "tokens")], [F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in ("records", "usage_tokens", "successes")]
+    return reference.select(F.inline(F.array(*parts[0]))).unionByName(calls.select(F.inline(F.array(*parts[1]))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        prompt_blocks, critique_prompts, retrieved_texts, prompt_hashes, prompt_audit, demonstration_check, json_extract, parse_raw_response, reparse_agreement, pending_semi_join,
+        critique_sources, corpus_invariants, prompt_blocks, critique_prompts, retrieved_texts, prompt_hashes, prompt_audit, demonstration_check, json_extract, parse_raw_response, reparse_agreement, pending_semi_join,
         resume_anti_join, tracker_states, tracker_updated, keyset_difference, gold_mismatch, dataset_stats, split_text_sets, first_sentences, latest_calls, latex_rows,
     )
 }
@@ -208,6 +223,9 @@ SQL = {
     "first_sentences": "SELECT sent_id, sent_key FROM treebank_sentences WHERE split = 'test' ORDER BY sent_id NULLS FIRST, sent_key LIMIT 100",
     "latest_calls": "WITH k AS (SELECT response_id, ingested_at, concat_ws('/', sent_id, experiment, model_config.model_name) AS key FROM model_responses) SELECT key, response_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ingested_at DESC NULLS LAST, response_id DESC) AS rk FROM k) WHERE rk = 1",
 }
+SQL["critique_sources"] = f"WITH {CTE} SELECT a.model_ord, a.sent_id, CAST(len(b.llm_parse) AS INTEGER) AS n_tokens FROM last a LEFT JOIN last b ON a.model_ord = b.model_ord AND a.sent_id = b.sent_id AND b.cond_ord = 4 WHERE a.cond_ord = 5"
+SQL["corpus_invariants"] = f"""WITH {CTE}, n AS (SELECT len(list_filter(gold, lambda g: g.upos <> 'PUNCT')) AS n FROM ref) SELECT 'sentences' AS name, count(*) AS value FROM n UNION ALL SELECT 'tokens', CAST(sum(n) AS BIGINT) FROM n
+  UNION ALL SELECT 'records', count(*) FROM model_responses UNION ALL SELECT 'usage_tokens', CAST(sum(usage.total_tokens) AS BIGINT) FROM model_responses UNION ALL SELECT 'successes', count(*) FILTER (api_success) FROM model_responses"""
 SQL["critique_prompts"] = f"""WITH e AS (SELECT eval_id, text, array_to_string(list_transform(gold, lambda t: t.id || chr(9) || t.form), chr(10)) AS lines, list_filter(llm_parse, lambda t: t IS NOT NULL) AS p FROM model_evaluation WHERE llm_parse IS NOT NULL AND gold IS NOT NULL),
   j AS (SELECT eval_id, text, lines, {_parse_json('p')} AS parse FROM e)
   SELECT eval_id, sha256('Sentence: ' || text || chr(10) || chr(10) || 'Tokens:' || chr(10) || lines || chr(10) || chr(10) || 'Existing parse:' || chr(10) || parse) AS long_hash, sha256('# text = ' || text || chr(10) || chr(10) || 'Existing parse:' || chr(10) || parse) AS short_hash FROM j"""
