@@ -175,7 +175,7 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, side: Column, per: int
     rows = cut(joined_words(sided, "key", "text", least_words=least_words))
     # the work per string is large against its bytes, so partitions are set by number of rows
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // STRINGS_A_TASK))
-    strings = rows.repartition(parts, "s").groupBy("s").agg(F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right"))
+    strings = cut(rows.repartition(parts, "s").groupBy("s").agg(F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right")))
     pairs = near_classes(strings, per)
     a = rows.filter("side = 0").select(F.col("key").alias("ka"), F.col("s").alias("a"))
     b = rows.filter("side = 1").select(F.col("key").alias("kb"), F.col("s").alias("b"))
