@@ -358,7 +358,7 @@ _FLAGS = "schema_valid, exact_inventory, one_root, legal_heads, no_self_loop, ac
 SQL = {
     "corpus_uas_las": f"WITH {CTE}, {_A} SELECT model_ord, cond_ord, {_ACC} FROM f GROUP BY 1, 2",
     "corpus_scored_only": f"WITH {CTE}, {_X} SELECT model_ord, cond_ord, {_SUMS}, count(*) FILTER (NOT found) AS missed_tokens, count(DISTINCT sent_id) AS scored_sentences FROM f GROUP BY 1, 2",
-    "sentence_counts": f"WITH {CTE}, {_counts('rec', 'eval_id', 'gold IS NOT NULL')} SELECT eval_id, n_tokens, uas_correct, las_correct FROM n",
+    "sentence_counts": f"WITH {CTE}, {_counts('rec', 'eval_id', 'gold IS NOT NULL')} SELECT eval_id, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(uas_correct AS INTEGER) AS uas_correct, CAST(las_correct AS INTEGER) AS las_correct FROM n",
     "sentence_scores": f"WITH {CTE}, {_counts('rec', 'eval_id', 'gold IS NOT NULL AND llm_parse IS NOT NULL')} SELECT eval_id, CASE WHEN n_tokens = 0 THEN 0.0::DOUBLE ELSE uas_correct / n_tokens END AS uas, CASE WHEN n_tokens = 0 THEN 0.0::DOUBLE ELSE las_correct / n_tokens END AS las FROM n",
     "token_error_types": f"""WITH {CTE}, {_facts('rec', 'model_ord, cond_ord', 'llm_parse IS NOT NULL')} SELECT model_ord, cond_ord, error_type, count(*) AS n FROM (SELECT *, CASE WHEN NOT found THEN 'missing_token'
         WHEN NOT uas AND NOT coalesce(lower(p_deprel) = lower(deprel), FALSE) THEN 'head_and_deprel' WHEN NOT uas THEN 'head_only' WHEN NOT las THEN 'deprel_only' END AS error_type FROM f) WHERE error_type IS NOT NULL GROUP BY 1, 2, 3""",
@@ -393,7 +393,7 @@ SQL = {
         t AS (SELECT cond_ord, label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM s GROUP BY 1, 2)
         SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM t WHERE tp + fn >= 50""",
     "deprel_confusion": f"""WITH {CTE}, {_X}, c AS (SELECT cond_ord, lower(deprel) AS gold_label, lower(p_deprel) AS pred_label, count(*) AS n FROM f WHERE uas AND NOT las GROUP BY 1, 2, 3)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cond_ord, gold_label ORDER BY n DESC, pred_label ASC NULLS FIRST) AS place FROM c) WHERE place <= 5""",
+        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cond_ord, gold_label ORDER BY n DESC, pred_label ASC NULLS FIRST) AS INTEGER) AS place FROM c) WHERE place <= 5""",
     "confusion_matrix": f"WITH {CTE}, {_X} SELECT lower(deprel) AS gold_label, " + ", ".join(f"count(*) FILTER (lower(p_deprel) = '{c}') AS as_{c}" for c in tok.TARGET_LABELS)
     + " FROM f WHERE uas AND NOT las AND lower(deprel) IN (" + ", ".join(f"'{c}'" for c in tok.TARGET_LABELS) + ") GROUP BY 1",
     "critique_churn": f"""WITH {CTE}, {_CHANGE.format(a=4, b=5)}, k AS (SELECT model_ord, count(*) AS tokens, count(*) FILTER (NOT same AND NOT ra AND rb) AS wrong_to_correct, count(*) FILTER (NOT same AND ra AND NOT rb) AS correct_to_wrong,
@@ -407,7 +407,7 @@ SQL = {
         br AS (SELECT a.model_ord, a.sent_id, count(*) FILTER (a.las AND NOT b.las) AS k, count(*) AS n_tokens FROM f a JOIN f b ON a.model_ord = b.model_ord AND a.sent_id = b.sent_id AND a.id = b.id WHERE a.cond_ord = 4 AND b.cond_ord = 5 GROUP BY 1, 2),
         c AS (SELECT 'semantic_gain' AS pick, CAST(l3 - l2 AS INTEGER) AS key, CAST(n_tokens AS INTEGER) AS n_tokens, model_ord, sent_id FROM pr WHERE l3 > l2 UNION ALL SELECT 'syntax_failure', 0, n_tokens, model_ord, sent_id FROM pr WHERE l2 = 0
           UNION ALL SELECT 'critique_break', k, n_tokens, model_ord, sent_id FROM br WHERE k > 0)
-        SELECT pick, key, n_tokens, model_ord, sent_id FROM (SELECT *, row_number() OVER (PARTITION BY pick ORDER BY key DESC, n_tokens DESC, model_ord, sent_id) AS rk FROM c) WHERE rk = 1""",
+        SELECT pick, CAST(key AS INTEGER) AS key, CAST(n_tokens AS INTEGER) AS n_tokens, model_ord, sent_id FROM (SELECT *, row_number() OVER (PARTITION BY pick ORDER BY key DESC, n_tokens DESC, model_ord, sent_id) AS rk FROM c) WHERE rk = 1""",
     "score_distribution": f"WITH {CTE}, {_counts('al', 'model_ord, cond_ord')} SELECT model_ord, cond_ord, CAST(least(las_correct * 20 // n_tokens, 19) AS INTEGER) AS bin, count(*) AS sentences, count(*) FILTER (las_correct = 0) AS zeros, count(*) FILTER (las_correct = n_tokens) AS perfect FROM n WHERE n_tokens > 0 GROUP BY 1, 2, 3",
     "failure_profile": f"""WITH {CTE}, q AS (SELECT split_part(sent_id, '-', 1) AS genre, len(gold) AS length, trim(CASE WHEN llm_parse IS NOT NULL THEN 'parsed' WHEN length(api_error) > 0 THEN 'api_error'
         WHEN validation_error IS NOT NULL THEN regexp_replace(validation_error, '[:(\\n].*$', '', 's') ELSE 'unexplained' END, ' ') AS kind FROM rec WHERE gold IS NOT NULL)

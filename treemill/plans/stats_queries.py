@@ -124,7 +124,7 @@ def _holm(rows: str, family: str, key: str) -> str:
 _PRIMARY = " OR ".join(f"(first = '{a}' AND second = '{b}')" for a, b in PRIMARY)
 
 SQL = {
-    "bootstrap_scores": f"{_BOOT} SELECT b AS resample, {', '.join(_S)} FROM sums WHERE model_ord = 0",
+    "bootstrap_scores": f"{_BOOT} SELECT CAST(b AS INTEGER) AS resample, {', '.join(_S)} FROM sums WHERE model_ord = 0",
     "bootstrap_pairs": f"{_BOOT} SELECT * FROM pp",
     "bootstrap_unsmoothed": f"{_BOOT}, q AS (SELECT first, second, least(1.0::DOUBLE, 2 * least(at_or_below, at_or_above) / resamples) AS p FROM pr WHERE model_ord = 0) SELECT *, p < 0.05 AS significant FROM q",
     "holm_within": f"{_BOOT} " + _holm("pp", "model_ord", "first, second"),
