@@ -67,8 +67,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every pool row whose id is divisible by 100 the most similar rows, against all rows."""
-    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors", asking="id % 100 = 0")
+    """Of every pool row whose id is divisible by 100 the ten most similar rows with a cosine of at least 0.4, against all rows."""
+    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors", least=0.4, asking="id % 100 = 0")
     return near.select("query", "other", F.round("cosine", 6).alias("cosine"))
 
 
@@ -117,4 +117,10 @@ QUERIES = {
     "p8_found": p8_found, "p8_figures": p8_figures,
 }
 
-SQL: dict[str, str] = {}
+#: Brute force over all pairs; only the pairs with a high cosine can be mutual.
+SQL: dict[str, str] = {
+    "p5_found": """WITH p AS (SELECT pool_id, CAST(vectors AS DOUBLE[]) AS v FROM train_pool WHERE len(list_filter(vectors, lambda x: x <> 0)) > 0),
+      c AS (SELECT a.pool_id AS x, b.pool_id AS y, list_cosine_similarity(a.v, b.v) AS cosine FROM p a JOIN p b ON a.pool_id <> b.pool_id AND len(a.v) = len(b.v)),
+      k AS (SELECT x, y FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS place FROM c WHERE cosine >= 0.9) WHERE place <= 10)
+      SELECT k.x AS pool_id_a, k.y AS pool_id_b FROM k JOIN k m ON m.x = k.y AND m.y = k.x WHERE k.x < k.y""",
+}
