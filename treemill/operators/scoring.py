@@ -19,7 +19,8 @@ MANY_SYSTEMS = 1_000
 def records(evaluations: DataFrame, responses: DataFrame, systems: DataFrame) -> DataFrame:
     """Evaluations with the ordinals of their system; those of no known call or system are left out."""
     calls = responses.select("response_id", "experiment", F.col("model_config.model_name").alias("model_name"))
-    return evaluations.join(calls, "response_id").join(systems, ["model_name", "experiment"])
+    rows = evaluations.withColumn("gold", tok.slim("gold")) if "gold" in evaluations.columns else evaluations
+    return rows.join(calls, "response_id").join(systems, ["model_name", "experiment"])
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def latest(rows: DataFrame) -> DataFrame:
 def reference(evaluations: DataFrame) -> DataFrame:
     """``sent_id, gold``: of each sentence the gold tree of its first evaluation that has one."""
     order = W.partitionBy("sent_id").orderBy("eval_id")
-    rows = evaluations.filter("size(gold) > 0 and sent_id is not null").select("sent_id", "eval_id", "gold")
+    rows = evaluations.filter("size(gold.id) > 0 and sent_id is not null").select("sent_id", "eval_id", tok.slim("gold").alias("gold"))
     return rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select("sent_id", "gold")
 
 

@@ -12,7 +12,7 @@ from treemill.plans.session import table
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sent_id, text, gold, tags`` of each sentence's first evaluation with gold."""
     order = W.partitionBy("sent_id").orderBy("eval_id")
-    rows = table(spark, sf_dir, "model_evaluation").filter("size(gold) > 0 and sent_id is not null").select("sent_id", "text", "eval_id", "gold")
+    rows = table(spark, sf_dir, "model_evaluation").filter("size(gold.id) > 0 and sent_id is not null").select("sent_id", "text", "eval_id", tok.slim("gold").alias("gold"))
     rows = rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
     return rows.withColumn("tags", F.transform("gold", lambda t: t["upos"]))
 
