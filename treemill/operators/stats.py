@@ -7,8 +7,20 @@ that sentence, so one aggregation per resample serves all systems at once.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Up to this many sentences, their counts are one matrix on every executor (under 60 MB for 13 columns); beyond it draws are joined.
+MATRIX_ROWS = 500_000
+#: Tasks over the resamples, and draws hashed at once (they stay in the cache).
+TASKS, BLOCK = 96, 16_384
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [np.uint32(int(abs(math.sin(n + 1)) * 2**32) & 0xFFFFFFFF) for n in range(64)]
+
 
 def drawn(seed: int, resample: Column, draw: Column, n: Column) -> Column:
     """Index from 0 below ``n`` for one draw of one resample, the same on every engine that has MD5."""
@@ -34,6 +46,84 @@ def resample_sums(numbered: DataFrame, columns: list[str], resamples: int, seed:
     return joined.groupBy(F.col("b").alias("resample")).agg(*[F.sum(F.col("value")[c] * F.col("w")).alias(c) for c in columns])
 
 
+def _first_word(message: list[np.ndarray | None], size: int) -> np.ndarray:
+    """First word of the MD5 of ``size`` one-block messages, given as their 16 words (None: zero); the last three steps do not touch it."""
+    a, b, c, d = (np.full(size, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for n in range(61):
+        turn = n // 16
+        if turn == 0:
+            f, at = d ^ (b & (c ^ d)), n
+        elif turn == 1:
+            f, at = c ^ (d & (b ^ c)), (5 * n + 1) % 16
+        elif turn == 2:
+            f, at = b ^ c ^ d, (3 * n + 5) % 16
+        else:
+            f, at = c ^ (b | ~d), 7 * n % 16
+        f += a
+        f += _SINES[n]
+        if message[at] is not None:
+            f += message[at]
+        shift = _SHIFTS[turn][n % 4]
+        moved = f << np.uint32(shift)
+        f >>= np.uint32(32 - shift)
+        moved |= f
+        moved += b
+        a, d, c, b = d, c, b, moved
+    return b + np.uint32(0x67452301)
+
+
+def _messages(before: int, start: int, stop: int) -> list[np.ndarray | None]:
+    """MD5 blocks of the numbers from ``start`` below ``stop`` behind ``before`` bytes left open, as 16 words each."""
+    texts = (str(i).encode() for i in range(start, stop))
+    blocks = b"".join((bytes(before) + t + b"\x80").ljust(56, b"\0") + (8 * (before + len(t))).to_bytes(8, "little") for t in texts)
+    table = np.frombuffer(blocks, "<u4").reshape(-1, 16).T
+    return [np.ascontiguousarray(row) if row.any() else None for row in table]
+
+
+def draws(seed: int, resample: int, n: int, known: dict) -> np.ndarray:
+    """What ``drawn`` gives for draws 0 to ``n - 1`` of one resample; ``known`` keeps message blocks between calls."""
+    prefix = f"{seed}-{resample}-".encode()
+    fixed = np.frombuffer(prefix.ljust(64, b"\0"), "<u4")
+    out = np.empty(n, np.int64)
+    for start in range(0, n, BLOCK):
+        stop = min(n, start + BLOCK)
+        key = (len(prefix), start)
+        if key not in known:
+            known[key] = _messages(len(prefix), start, stop)
+        words = [np.full(stop - start, x, np.uint32) if w is None and x else w if not x else w | x for w, x in zip(known[key], fixed)]
+        out[start:stop] = _first_word(words, stop - start).byteswap() % n
+    return out
+
+
+def resample_matrix(numbered: DataFrame, columns: list[str], resamples: int, seed: int) -> DataFrame:
+    """``resample_sums`` of the same draws without a shuffle: each task draws whole resamples over one matrix of counts.
+
+    More than ``MATRIX_ROWS`` sentences go through ``resample_sums`` itself.
+    """
+    spark = numbered.sparkSession
+    n = numbered.count()
+    if n > MATRIX_ROWS or n == 0:
+        return resample_sums(numbered, columns, resamples, seed).select(F.col("resample").cast("int").alias("resample"), *[F.col(c).cast("long").alias(c) for c in columns])
+    rows = numbered.select("i", *[F.col(c).cast("double").alias(c) for c in columns]).toPandas().sort_values("i")
+    values = rows[columns].to_numpy(float)
+    there = ~np.isnan(values)
+    shared = spark.sparkContext.broadcast((np.nan_to_num(values), None if there.all() else there.astype(float)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, present = shared.value
+        known: dict = {}
+        for batch in batches:
+            found = []
+            for b in batch["id"]:
+                w = np.bincount(draws(seed, int(b), n, known), minlength=n).astype(float)
+                sums = w @ counts
+                found.append([int(b), *(None if present is not None and k == 0 else int(s) for s, k in zip(sums, w @ present if present is not None else sums))])
+            out = pd.DataFrame(found, columns=["resample", *columns])
+            yield out.astype({c: "Int64" for c in columns})
+
+    return spark.range(0, resamples, 1, min(TASKS, resamples)).mapInPandas(run, "resample int, " + ", ".join(f"{c} long" for c in columns))
+
+
 def pair_differences(sums: DataFrame, columns: list[str]) -> DataFrame:
     """``resample, first, second, delta`` for each pair of columns."""
     pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (F.col(a) - F.col(b)).alias("delta")) for n, a in enumerate(columns) for b in columns[n + 1 :]]

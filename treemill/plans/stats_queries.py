@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treemill.operators import scoring, stats
 from treemill.plans.scoring_queries import CTE, SYS, _aligned, _all, _counts
 from treemill.plans.session import cut, table
 
-RESAMPLES, SEED = 200, 42
+#: ``RESAMPLES`` is what the queries with an SQL twin draw; the whole job of the reference (``*_whole``) draws ``WHOLE_RESAMPLES``.
+RESAMPLES, WHOLE_RESAMPLES, SEED = 200, 10_000, 42
 #: Unordered pairs of conditions compared as primary.
 PRIMARY = (("s1", "s2"), ("s2", "s3"))
 
@@ -25,6 +26,14 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number(wide.agg(F.sum("las_correct")), "sent_id")
 
 
+def _numbered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_numbered`` with the scored tokens of each sentence, which all systems share."""
+    n = scoring.sentence_counts(_aligned(spark, sf_dir), *SYS, "sent_id")
+    system = lambda m, c: F.sum(F.when((F.col("model_ord") == m) & (F.col("cond_ord") == c), F.col("las_correct")))
+    wide = n.groupBy("sent_id").agg(F.max("n_tokens").alias("tokens"), *[system(m, c).alias(COLUMNS[m][c]) for m in (0, 1) for c in range(6)])
+    return number(wide, "sent_id")
+
+
 def number(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``i``, the place of the unique ``key`` in its order from 0, and the total ``n``."""
     ranged = cut(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33)))
@@ -89,6 +98,57 @@ def holm_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.holm(rows, "p", F.concat_ws("/", F.col("model_ord").cast("string"), "first", "second"), "family").drop("family")
 
 
+# -- the reference's job: 10,000 resamples, both models, intervals; too many draws for the SQL engine ----------------
+def _whole_sums(numbered: DataFrame, resamples: int = WHOLE_RESAMPLES) -> DataFrame:
+    return stats.resample_matrix(numbered, ["tokens", *COLUMNS[0], *COLUMNS[1]], resamples, SEED)
+
+
+def whole_pairs(numbered: DataFrame, resamples: int = WHOLE_RESAMPLES, smoothing: str = "add_one") -> DataFrame:
+    """All pairs of each model: observed difference of micro LAS, its percentile interval, p, and whether the pair is primary."""
+    sums = cut(_whole_sums(numbered, resamples))
+    scores = sums.select("resample", *[F.try_divide(F.col(c), F.col("tokens")).alias(c) for c in COLUMNS[0] + COLUMNS[1]])
+    found = stats.two_sided(_deltas(scores), smoothing, by=("model_ord",))
+    totals = numbered.agg(*[F.sum(c).alias(c) for c in ["tokens", *COLUMNS[0], *COLUMNS[1]]])
+    observed = [
+        F.struct(F.lit(m).alias("model_ord"), F.lit(a[2:]).alias("first"), F.lit(b[2:]).alias("second"), F.try_divide(F.col(a) - F.col(b), F.col("tokens")).alias("difference"))
+        for m, own in enumerate(COLUMNS) for k, a in enumerate(own) for b in own[k + 1 :]
+    ]
+    sides = totals.select(F.explode(F.array(*observed)).alias("o")).select("o.*")
+    return found.join(F.broadcast(sides), ["model_ord", "first", "second"]).withColumn("primary", _is_primary())
+
+
+def _is_primary() -> Column:
+    sides = F.array_sort(F.array("first", "second"))
+    return F.exists(F.array(*[F.array(*map(F.lit, sorted(pair))) for pair in PRIMARY]), lambda pair: pair == sides)
+
+
+def bootstrap_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per resample the drawn tokens and the right labels of all twelve systems."""
+    return _whole_sums(_numbered_tokens(spark, sf_dir))
+
+
+def bootstrap_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of conditions of both models with difference, interval and smoothed p."""
+    return whole_pairs(_numbered_tokens(spark, sf_dir))
+
+
+def bootstrap_unsmoothed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of both models with interval, raw p and the significance flag."""
+    return whole_pairs(_numbered_tokens(spark, sf_dir), smoothing="raw").withColumn("significant", F.col("p") < 0.05)
+
+
+def holm_within_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holm's correction over the fifteen pairs of each model, of 10,000 resamples."""
+    rows = whole_pairs(_numbered_tokens(spark, sf_dir)).select("model_ord", "first", "second", "difference", "ci_low", "ci_high", "p")
+    return stats.holm(rows, "p", F.concat_ws("/", "first", "second"), "model_ord")
+
+
+def holm_primary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holm's correction over the primary pairs of both models, of 10,000 resamples."""
+    rows = whole_pairs(_numbered_tokens(spark, sf_dir)).filter("primary").select("model_ord", "first", "second", "difference", "ci_low", "ci_high", "p")
+    return stats.holm(rows.withColumn("family", F.lit("primary")), "p", F.concat_ws("/", F.col("model_ord").cast("string"), "first", "second"), "family").drop("family")
+
+
 def alignment_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that both models of a condition have parsed."""
     n = scoring.latest(_all(spark, sf_dir).select(*SYS, "sent_id", "llm_parse", "evaluated_at", "eval_id")).filter("llm_parse is not null")
@@ -103,7 +163,13 @@ def reasoning_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.harder_half_sample(rows.select("eval_id", "sent_id", "las"), "las", "eval_id", 50, SEED)
 
 
-QUERIES = {f.__name__: f for f in (bootstrap_scores, bootstrap_pairs, bootstrap_unsmoothed, holm_within, holm_primary, alignment_inner, reasoning_sample)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bootstrap_scores, bootstrap_pairs, bootstrap_unsmoothed, holm_within, holm_primary, alignment_inner, reasoning_sample,
+        bootstrap_scores_whole, bootstrap_pairs_whole, bootstrap_unsmoothed_whole, holm_within_whole, holm_primary_whole,
+    )
+}
 
 _S = [f"s{c}" for c in range(6)]
 _BOOT = f"""WITH {CTE}, {_counts('al', 'model_ord, cond_ord, sent_id')},
