@@ -31,6 +31,12 @@ CUTOFF = 0.5
 PRIOR_OPEN, PRIOR_LATE, PRIOR_CLOSED = 0.5, 0.7, 0.1
 #: Characters that an object of an answer takes, where it has none to measure.
 OBJECT_CHARS = 75.0
+#: Prior of a cut for text without any structure; odds that usage is lost by a broken transfer rather than otherwise.
+PRIOR_PROSE, LOST_USAGE = 0.08, 3.0
+#: Spread of the length that an answer should have by its prompt, and of a source's law where none is fitted.
+OWN_SPREAD, ANY_SPREAD = 0.15, 0.5
+#: Part of the whole answers that follow no law of their source (early ends, refusals), spread evenly over log length.
+STRAY, STRAY_WIDTH = 0.1, 5.0
 
 # fixed values: words of wrappings that hold nothing themselves
 _WRAPPING = regex.compile(
@@ -96,17 +102,39 @@ def _density(value: float, mean: float, spread: float) -> float:
     return math.exp(-0.5 * ((value - mean) / spread) ** 2) / spread + 1e-4
 
 
-def posterior(raw: str, end: Ending, used: int | None, most: int | None, limit: int | None, mean: float, spread: float) -> float:
+def _tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def _whole_density(size: float, law: tuple[float, float]) -> float:
+    """Density, a unit of length, of answers that end by themselves at ``size``: the source's law and strays."""
+    z = (math.log(size) - law[0]) / law[1]
+    return (1 - STRAY) * math.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * law[1] * size) + STRAY / (STRAY_WIDTH * size)
+
+
+def _at_limit(limit: float, law: tuple[float, float], own: tuple[float, float]) -> float:
+    """Tail mass beyond a limit against the density of whole answers there."""
+    return _tail((math.log(limit) - own[0]) / own[1]) / _whole_density(limit, law)
+
+
+def _anywhere(size: float, own: tuple[float, float]) -> float:
+    """Density of answers broken off at ``size``, if longer ones break at an even place: the mean of 1 / length over the tail."""
+    mean, spread = own
+    return math.exp(-mean + 0.5 * spread**2) * _tail((math.log(size) - mean + spread**2) / spread)
+
+
+def posterior(raw: str, end: Ending, used: int | None, most: int | None, limit: int | None, mean: float, spread: float, law: tuple[float, float] | None = None) -> float:
     """Probability that the end of this text is missing.
 
     ``used`` completion tokens of at most ``most``; ``limit`` characters of the source's
-    field; ``mean`` and ``spread`` of log characters per token.
+    field; ``mean`` and ``spread`` of log characters per token; ``law`` mean and spread of
+    the source's log length, fitted with its limit as censored.  The ways to lose an end
+    (token limit, field limit, broken transfer) add up; each is weighed as the tail mass
+    that it would cut here against the density of answers that end here by themselves.
     """
     size = len(raw)
     if size == 0 or end.complete or is_hollow(raw) and raw.count("{") <= raw.count("}") and raw.count("[") <= raw.count("]"):
         return 0.0
-    if used is not None and most is not None and used >= most:
-        return 0.99
     each = size / end.objects if end.objects else OBJECT_CHARS
     lacking = max(end.asked - end.reached, 0 if end.objects else end.asked)
     if end.objects and 0 < end.reached < end.asked:
@@ -114,26 +142,30 @@ def posterior(raw: str, end: Ending, used: int | None, most: int | None, limit:
         whole = before + (size - before) * end.asked / end.reached
     else:
         whole = size + (lacking or 0.3) * each
-    if limit is not None and size <= limit < whole and size >= limit - (1.5 * each if end.closed else 24):
-        return 0.98
-    if limit is not None and size == limit and not end.closed:
-        return 0.98
+    law = law or (math.log(whole), ANY_SPREAD)
+    own = (math.log(whole), OWN_SPREAD)  # the answer's own law, by its prompt
     prior = PRIOR_CLOSED if end.closed else PRIOR_LATE if end.objects and end.reached >= 0.85 * end.asked else PRIOR_OPEN
+    weight = 0.0
+    if used is not None and most is not None and 0 < most <= used:
+        tokens = (law[0] - mean, math.hypot(law[1], spread))
+        weight += _at_limit(most, tokens, (max(own[0] - mean, math.log(most)), OWN_SPREAD))
+    if limit is not None and size <= limit:
+        span = 1.5 * each if end.closed else 24.0
+        if size == limit and not end.closed:
+            weight += _at_limit(limit, law, (max(own[0], math.log(limit)), OWN_SPREAD))
+        elif limit < whole and size >= limit - span:  # cut at the limit, then trimmed or closed within the span
+            weight += _at_limit(limit, law, own) / span
     if used is None or used <= 0:
         if end.objects == 0 and not end.bad and not _COT.match(raw) and raw.lstrip()[:1] not in ("{", "["):
-            return 0.2
-        odds = 3.0 * prior / (1 - prior)
-        return odds / (1 + odds)
-    have = math.log(size / used)
-    if end.objects:
-        cut = _density(math.log(whole / used), mean, 1.15 * spread)
+            prior = min(prior, PRIOR_PROSE)
+        weight += LOST_USAGE * _anywhere(size, own) / _whole_density(size, law)
     else:
-        cut = _density(math.log(whole / used), mean, 0.35)
-    if have < mean - 3 * spread:  # no answer of that size would have used so many tokens
-        cut = max(cut, 0.5)
-    odds = prior / (1 - prior) * cut / _density(have, mean, spread)
-    if end.bad:
-        odds *= 1.5
+        have = math.log(size / used)
+        cut = _density(math.log(whole / used), mean, 1.15 * spread if end.objects else 0.35)
+        if have < mean - 3 * spread:  # no answer of that size would have used so many tokens
+            cut = max(cut, 0.5)
+        weight += cut / _density(have, mean, spread) * (1.5 if end.bad else 1.0)
+    odds = prior / (1 - prior) * weight
     return odds / (1 + odds)
 
 
@@ -225,7 +257,7 @@ def with_fitted(calls: DataFrame, fitted: DataFrame) -> DataFrame:
     rows = fitted.limit(MANY_SOURCES + 1).collect()
     small = len(rows) <= MANY_SOURCES
     side = F.broadcast(spark.createDataFrame(rows, FITTED)) if small else fitted
-    own = side.select(F.col("source").alias("own_source"), "field_limit", "rate_mean", "rate_spread")
+    own = side.select(F.col("source").alias("own_source"), "field_limit", "size_mean", "size_spread", "rate_mean", "rate_spread")
     return calls.join(own, F.coalesce(calls["source"], F.lit("")) == F.col("own_source"), "left")
 
 
@@ -247,13 +279,14 @@ def _number(value) -> int | None:
     return None if value is None or value != value else int(value)
 
 
-def row_posterior(raw: str | None, asked: str | None, used, most, limit, mean, spread) -> float:
+def row_posterior(raw: str | None, asked: str | None, used, most, limit, mean, spread, size_mean=None, size_spread=None) -> float:
     if raw is None:
         return 0.0
     end = ending(raw, asked_tokens(asked))
     mean = math.log(3.2) if mean is None or mean != mean else mean
     spread = 0.065 if spread is None or spread != spread else spread
-    return posterior(raw, end, _number(used), _number(most), _number(limit), mean, spread)
+    law = None if size_mean is None or size_mean != size_mean else (size_mean, size_spread)
+    return posterior(raw, end, _number(used), _number(most), _number(limit), mean, spread, law)
 
 
 def truncation(calls: DataFrame) -> DataFrame:
@@ -266,11 +299,11 @@ def truncation(calls: DataFrame) -> DataFrame:
     kind = calls.schema["response_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["raw", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread"]
+        names = ["raw", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread", "size_mean", "size_spread"]
         for batch in batches:
             yield pd.DataFrame({"response_id": batch["response_id"], "source": batch["source"], "cut": [row_posterior(*x) for x in zip(*(batch[n] for n in names))]})
 
-    wanted = ["response_id", "source", "raw", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread"]
+    wanted = ["response_id", "source", "raw", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread", "size_mean", "size_spread"]
     return rows.select(*wanted).mapInPandas(run, f"response_id {kind}, source string, cut double")
 
 
