@@ -32,3 +32,28 @@ def test_tail_against_density_at_the_limit():
     near, far = (of(raw, limit=len(raw), used=round(len(raw) / 3.2), law=(math.log(len(raw)), s)) for s in (0.01, 0.6))
     assert tr.CUTOFF < near < far
     assert of(raw, used=500, most=500, law=(6.5, 0.3)) > 0.9 and of(answer(40), used=500, most=500) == 0.0
+
+
+def counted(stored, limits):
+    values, times = np.unique(stored, return_counts=True)
+    return values, times.astype(float), np.where(np.isin(values, limits), times, (times >= 12) * 2)
+
+
+def test_all_limits_are_found_wherever_they_lie():
+    rng = np.random.default_rng(2)
+    sizes = np.round(np.exp(rng.normal(7, 0.5, 60_000)))
+    late = np.where(np.arange(60_000) < 20_000, sizes, np.minimum(sizes, 1500))  # got its limit late: 7 % are longer
+    two = np.where(np.arange(60_000) % 2, np.minimum(sizes, 1300), np.minimum(sizes, 2400))
+    assert [x for x, _ in tr.find_limits(*counted(late, [1500]))] == [1500]
+    assert [x for x, _ in tr.find_limits(*counted(two, [1300, 2400]))] == [1300, 2400]
+    values, times, opened = counted(np.minimum(sizes, 2400), [2400])
+    far = np.arange(5_000.0, 5_120.0, 2)  # sixty longer lengths with two open ends each, in under 0.5 % of the answers
+    found = tr.find_limits(np.append(values, far), np.append(times, np.full(60, 4.0)), np.append(opened, np.full(60, 2)))
+    assert 2400 in [x for x, _ in found]
+    assert tr.find_limits(values, times, np.zeros(len(values))) == []
+
+
+def test_each_of_two_limits_counts():
+    raw = answer(20, False)
+    fits = {"used": round(len(raw) / 3.2)}
+    assert of(raw, limit=[len(raw), 9_000], **fits) > tr.CUTOFF and of(raw, limit=[500, len(raw)], **fits) > tr.CUTOFF > of(raw, limit=[500, 9_000], **fits)

@@ -272,7 +272,7 @@ def call_votes(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
     kind = responses.schema["response_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["response_id", "raw", "sentence", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread", "size_mean", "size_spread", "thoughts"]
+        names = ["response_id", "raw", "sentence", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread", "thoughts"]
         for batch in batches:
             out = []
             for key, raw, sentence, asked, used, most, limit, mean, spread_, size_mean, size_spread, thoughts in zip(*(batch[n] for n in names)):
@@ -281,7 +281,7 @@ def call_votes(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
                 out.append((key, *pack(votes(Call(raw or "", sentence, asked or "", truncation._number(used), share, thoughts or "")))))
             yield pd.DataFrame(out, columns=["response_id", *FUNCTIONS])
 
-    wanted = fitted.select("response_id", "raw", "sentence", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread", "size_mean", "size_spread", "thoughts")
+    wanted = fitted.select("response_id", "raw", "sentence", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread", "thoughts")
     cast = wanted.mapInPandas(run, VOTES.format(kind=kind))
     said = evaluations.filter("response_id is not null and validation_error is not null").groupBy("response_id").agg(
         F.bool_or(F.col("validation_error").rlike(_VALID_EMPTY)).alias("says_empty"), F.bool_or(F.col("validation_error").rlike(_VALID_OPEN)).alias("says_open")

@@ -31,6 +31,8 @@ CUTOFF = 0.5
 PRIOR_OPEN, PRIOR_LATE, PRIOR_CLOSED = 0.5, 0.7, 0.1
 #: Characters that an object of an answer takes, where it has none to measure.
 OBJECT_CHARS = 75.0
+#: Lengths to either side whose counts say what is usual at a length.
+AROUND = 25
 #: Prior of a cut for text without any structure; odds that usage is lost by a broken transfer rather than otherwise.
 PRIOR_PROSE, LOST_USAGE = 0.08, 3.0
 #: Spread of the length that an answer should have by its prompt, and of a source's law where none is fitted.
@@ -123,12 +125,12 @@ def _anywhere(size: float, own: tuple[float, float]) -> float:
     return math.exp(-mean + 0.5 * spread**2) * _tail((math.log(size) - mean + spread**2) / spread)
 
 
-def posterior(raw: str, end: Ending, used: int | None, most: int | None, limit: int | None, mean: float, spread: float, law: tuple[float, float] | None = None) -> float:
+def posterior(raw: str, end: Ending, used: int | None, most: int | None, limits: tuple[int, ...], mean: float, spread: float, law: tuple[float, float] | None = None) -> float:
     """Probability that the end of this text is missing.
 
-    ``used`` completion tokens of at most ``most``; ``limit`` characters of the source's
-    field; ``mean`` and ``spread`` of log characters per token; ``law`` mean and spread of
-    the source's log length, fitted with its limit as censored.  The ways to lose an end
+    ``used`` completion tokens of at most ``most``; ``limits`` characters of the source's
+    fields; ``mean`` and ``spread`` of log characters per token; ``law`` mean and spread of
+    the source's log length, fitted with its limits as censored.  The ways to lose an end
     (token limit, field limit, broken transfer) add up; each is weighed as the tail mass
     that it would cut here against the density of answers that end here by themselves.
     """
@@ -149,8 +151,10 @@ def posterior(raw: str, end: Ending, used: int | None, most: int | None, limit:
     if used is not None and most is not None and 0 < most <= used:
         tokens = (law[0] - mean, math.hypot(law[1], spread))
         weight += _at_limit(most, tokens, (max(own[0] - mean, math.log(most)), OWN_SPREAD))
-    if limit is not None and size <= limit:
-        span = 1.5 * each if end.closed else 24.0
+    span = 1.5 * each if end.closed else 24.0
+    for limit in limits:
+        if size > limit:
+            continue
         if size == limit and not end.closed:
             weight += _at_limit(limit, law, (max(own[0], math.log(limit)), OWN_SPREAD))
         elif limit < whole and size >= limit - span:  # cut at the limit, then trimmed or closed within the span
@@ -170,26 +174,36 @@ def posterior(raw: str, end: Ending, used: int | None, most: int | None, limit:
 
 
 # -- fitted per source ---------------------------------------------------------------
-def fit_lognormal(sizes: np.ndarray, times: np.ndarray, limit: float | None) -> tuple[float, float]:
-    """Mean and spread of log length by maximum likelihood; values at ``limit`` and beyond count as censored there."""
+def fit_lognormal(sizes: np.ndarray, times: np.ndarray, limit: float | list[float] | None) -> tuple[float, float]:
+    """Mean and spread of log length by maximum likelihood.
+
+    Values at one ``limit`` and beyond count as censored there; of several limits, the
+    values at each are censored and all others are seen, so that a limit may hold for a
+    part of the answers only.
+    """
     logs, weight = np.log(np.maximum(sizes, 1.0)), times.astype(float)
     total = weight.sum()
     mean = float((logs * weight).sum() / total)
     spread = max(float(np.sqrt(((logs - mean) ** 2 * weight).sum() / total)), 0.05)
-    if limit is None:
+    if limit is None or isinstance(limit, list) and not limit:
         return mean, spread
-    edge = math.log(limit)
-    seen = logs < edge
-    n_cut = weight[~seen].sum()
+    if isinstance(limit, list):
+        seen = ~np.isin(sizes, limit)
+        cut = [(math.log(x), float(weight[sizes == x].sum())) for x in limit]
+    else:
+        seen = logs < math.log(limit)
+        cut = [(math.log(limit), float(weight[~seen].sum()))]
     for _ in range(60):
-        z = (edge - mean) / spread
-        tail = max(0.5 * math.erfc(z / math.sqrt(2)), 1e-12)
-        rate = math.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / tail
-        first = mean + spread * rate
-        second = spread**2 * (1 + z * rate - rate**2) + first**2
-        new_mean = ((logs[seen] * weight[seen]).sum() + n_cut * first) / total
-        square = ((logs[seen] ** 2 * weight[seen]).sum() + n_cut * second) / total
-        new_spread = math.sqrt(max(square - new_mean**2, 1e-4))
+        sum_1, sum_2 = (logs[seen] * weight[seen]).sum(), (logs[seen] ** 2 * weight[seen]).sum()
+        for edge, n_cut in cut:
+            z = (edge - mean) / spread
+            tail = max(0.5 * math.erfc(z / math.sqrt(2)), 1e-12)
+            rate = math.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / tail
+            first = mean + spread * rate
+            sum_1 += n_cut * first
+            sum_2 += n_cut * (spread**2 * (1 + z * rate - rate**2) + first**2)
+        new_mean = sum_1 / total
+        new_spread = math.sqrt(max(sum_2 / total - new_mean**2, 1e-4))
         moved = abs(new_mean - mean) + abs(new_spread - spread)
         mean, spread = float(new_mean), float(new_spread)
         if moved < 1e-7:
@@ -197,29 +211,53 @@ def fit_lognormal(sizes: np.ndarray, times: np.ndarray, limit: float | None) ->
     return mean, spread
 
 
-def find_limit(sizes: np.ndarray, times: np.ndarray, open_ends: np.ndarray) -> tuple[int | None, float]:
-    """The length at which a source cuts, and the share of the answers there that the law cannot explain.
+def _chance(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Upper bound of the logarithm of the chance of ``n`` or more where ``expected`` are (Chernoff's for Poisson counts)."""
+    n, expected = np.maximum(n, 1e-9), np.maximum(expected, 1e-12)
+    return np.where(n <= expected, 0.0, n - expected + n * np.log(expected / n))
+
 
-    A candidate has at least two open ends, and at most one answer in two hundred is
-    longer.  It is kept if the censored law expects under a fifth of what stands there.
+def find_limits(sizes: np.ndarray, times: np.ndarray, open_ends: np.ndarray) -> list[tuple[int, float]]:
+    """The lengths at which a source cuts, and the share of the answers there that the law cannot explain.
+
+    Every length is scored, wherever it lies: it is kept if it has at least two open ends
+    and more of them, and more answers, than chance allows among so many lengths, and if
+    the law censored at all kept limits, and the lengths around, expect under a fifth of
+    what stands there.
     """
     order = np.argsort(sizes)
-    sizes, times, open_ends = sizes[order], times[order], open_ends[order]
-    total = times.sum()
-    longer = total - np.cumsum(times)
-    best: tuple[int | None, float] = (None, 0.0)
-    for i in np.flatnonzero((open_ends >= 2) & (longer <= 0.005 * total))[-50:]:
-        limit = float(sizes[i])
-        mean, spread = fit_lognormal(sizes, times, limit)
-        z = (math.log(limit) - mean) / spread
-        expected = total * math.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * spread * limit)
-        share = 1 - expected / times[i]
-        if share > max(0.8, best[1]):
-            best = (int(limit), share)
-    return best
+    sizes, times, open_ends = sizes[order].astype(float), times[order].astype(float), open_ends[order].astype(float)
+    total, sure = times.sum(), math.log(0.01 / len(sizes))
+    kept = np.zeros(len(sizes), bool)
+    low, high = np.searchsorted(sizes, sizes - AROUND), np.searchsorted(sizes, sizes + AROUND, "right")
+    shares = np.zeros(len(sizes))
+    for _ in range(5):  # limits found make the law and the surroundings of the others plainer
+        mean, spread = fit_lognormal(sizes, times, [float(x) for x in sizes[kept]])
+        z = (np.log(np.maximum(sizes, 1.0)) - mean) / spread
+        by_law = total * np.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * spread * np.maximum(sizes, 1.0))
+
+        def around(values: np.ndarray) -> np.ndarray:
+            own = np.where(kept, 0.0, values)
+            sums = np.concatenate([[0.0], np.cumsum(own)])
+            return (sums[high] - sums[low] - own) / (2 * AROUND)
+
+        expected = np.maximum(by_law, around(times))
+        rate = open_ends[~kept].sum() / max(1.0, times[~kept].sum())
+        opened = np.maximum(by_law * rate, around(open_ends))
+        shares = 1 - expected / times
+        now = (open_ends >= 2) & (shares > 0.8) & (_chance(times, expected) < sure) & (_chance(open_ends, opened) < sure)
+        if (now == kept).all():
+            break
+        kept = now
+    return [(int(sizes[i]), float(shares[i])) for i in np.flatnonzero(kept)]
+
+
+def find_limit(sizes: np.ndarray, times: np.ndarray, open_ends: np.ndarray) -> tuple[int | None, float]:
+    """The limit of ``find_limits`` that explains most of what stands there."""
+    return max(find_limits(sizes, times, open_ends), key=lambda x: x[1], default=(None, 0.0))
 
 
-FITTED = "source string, field_limit int, limit_share double, size_mean double, size_spread double, rate_mean double, rate_spread double"
+FITTED = "source string, field_limits array<int>, limit_shares array<double>, size_mean double, size_spread double, rate_mean double, rate_spread double"
 
 
 def fit_sources(calls: DataFrame) -> DataFrame:
@@ -229,23 +267,26 @@ def fit_sources(calls: DataFrame) -> DataFrame:
     per length, however many answers it has.
     """
     closed = F.col("raw").rlike(r"[}\]][\s`]*$")
+    built = F.col("raw").rlike(r"""^\s*(?:[{\[]|```|The sentence is|Step \d)|["']id["']""")
     rows = calls.filter("raw is not null and length(raw) > 0").select(
-        F.coalesce("source", F.lit("")).alias("source"), F.length("raw").alias("size"), closed.alias("closed"),
+        F.coalesce("source", F.lit("")).alias("source"), F.length("raw").alias("size"), (built & ~closed).alias("open"), F.xxhash64("raw").alias("text"),
         F.when(closed & (F.col("used") > 0) & (F.length("raw") >= 300), F.ln(F.length("raw") / F.col("used"))).alias("rate"),
     )
-    counted = rows.groupBy("source", "size").agg(F.count("*").alias("n"), F.count_if(~F.col("closed")).alias("n_open"))
+    # a repeated text is one piece of evidence: its open ends count only beside another text of that length
+    texts = F.when(F.col("open"), F.col("text"))
+    counted = rows.groupBy("source", "size").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"), (F.min(texts) < F.max(texts)).alias("several"))
     rates = rows.groupBy("source").agg(F.percentile_approx("rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
         sizes, times = own["size"].to_numpy(dtype=float), own["n"].to_numpy(dtype=float)
-        limit, share = find_limit(sizes, times, own["n_open"].to_numpy())
-        mean, spread = fit_lognormal(sizes, times, limit)
-        return pd.DataFrame({"source": [own["source"].iloc[0]], "field_limit": pd.array([limit], dtype="Int32"), "limit_share": [share], "size_mean": [mean], "size_spread": [spread]})
+        found = find_limits(sizes, times, np.where(own["several"].eq(True), own["n_open"], 0))
+        mean, spread = fit_lognormal(sizes, times, [float(x) for x, _ in found])
+        return pd.DataFrame({"source": [own["source"].iloc[0]], "field_limits": [[x for x, _ in found]], "limit_shares": [[x for _, x in found]], "size_mean": [mean], "size_spread": [spread]})
 
-    laws = counted.groupBy("source").applyInPandas(fit, "source string, field_limit int, limit_share double, size_mean double, size_spread double")
+    laws = counted.groupBy("source").applyInPandas(fit, "source string, field_limits array<int>, limit_shares array<double>, size_mean double, size_spread double")
     # the spread of a flat-topped law from its quartiles: 0.65 of their distance
     return laws.join(rates, "source", "left").select(
-        "source", "field_limit", "limit_share", "size_mean", "size_spread",
+        "source", "field_limits", "limit_shares", "size_mean", "size_spread",
         F.coalesce(F.col("q")[1], F.lit(math.log(3.2))).alias("rate_mean"),
         F.greatest(F.lit(0.04), F.least(F.lit(0.12), F.coalesce((F.col("q")[2] - F.col("q")[0]) * 0.65, F.lit(0.065)))).alias("rate_spread"),
     )
@@ -257,7 +298,7 @@ def with_fitted(calls: DataFrame, fitted: DataFrame) -> DataFrame:
     rows = fitted.limit(MANY_SOURCES + 1).collect()
     small = len(rows) <= MANY_SOURCES
     side = F.broadcast(spark.createDataFrame(rows, FITTED)) if small else fitted
-    own = side.select(F.col("source").alias("own_source"), "field_limit", "size_mean", "size_spread", "rate_mean", "rate_spread")
+    own = side.select(F.col("source").alias("own_source"), "field_limits", "size_mean", "size_spread", "rate_mean", "rate_spread")
     return calls.join(own, F.coalesce(calls["source"], F.lit("")) == F.col("own_source"), "left")
 
 
@@ -286,7 +327,8 @@ def row_posterior(raw: str | None, asked: str | None, used, most, limit, mean, s
     mean = math.log(3.2) if mean is None or mean != mean else mean
     spread = 0.065 if spread is None or spread != spread else spread
     law = None if size_mean is None or size_mean != size_mean else (size_mean, size_spread)
-    return posterior(raw, end, _number(used), _number(most), _number(limit), mean, spread, law)
+    known = () if limit is None else tuple(int(x) for x in np.atleast_1d(limit) if x == x)
+    return posterior(raw, end, _number(used), _number(most), known, mean, spread, law)
 
 
 def truncation(calls: DataFrame) -> DataFrame:
@@ -299,11 +341,11 @@ def truncation(calls: DataFrame) -> DataFrame:
     kind = calls.schema["response_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["raw", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread", "size_mean", "size_spread"]
+        names = ["raw", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread"]
         for batch in batches:
             yield pd.DataFrame({"response_id": batch["response_id"], "source": batch["source"], "cut": [row_posterior(*x) for x in zip(*(batch[n] for n in names))]})
 
-    wanted = ["response_id", "source", "raw", "asked_text", "used", "most", "field_limit", "rate_mean", "rate_spread", "size_mean", "size_spread"]
+    wanted = ["response_id", "source", "raw", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread"]
     return rows.select(*wanted).mapInPandas(run, f"response_id {kind}, source string, cut double")
 
 
