@@ -79,9 +79,13 @@ def flatten_object(df: DataFrame, key: str, path: str) -> DataFrame:
 
 
 def supertype(parts: Iterable[tuple[str, DataFrame]]) -> DataFrame:
-    """Common keys of all relations: ``rec_id, field_path, pos, sub_pos``."""
+    """Common keys of all relations: ``rec_id, field_path, pos, sub_pos``.
+
+    Of a classified relation only objects that the automaton puts into a variant count.
+    """
     out: DataFrame | None = None
     for path, rows in parts:
+        rows = rows.filter(F.col("variant") != "0") if "variant" in rows.columns else rows
         part = rows.select("rec_id", F.lit(path).alias("field_path"), F.col("pos").cast("int"), F.col("sub_pos").cast("int"))
         out = part if out is None else out.unionByName(part)
     assert out is not None, "no relation given"
@@ -109,6 +113,27 @@ def subtype(rows: DataFrame, variant: str) -> DataFrame:
     return rows.filter(F.col("variant") == variant).select(*keys, *fields)
 
 
+def write_subtypes(rows: DataFrame, folder: str) -> dict[str, str]:
+    """The typed table of every variant, narrowed to its fields, in a folder of its own; the folder by variant.
+
+    Objects are classified once into ``folder/all``; a table then reads only its own part.
+    """
+    write_variants(rows, f"{folder}/all")
+    parts = rows.sparkSession.read.schema(T.StructType([f for f in rows.schema.fields if f.name != "variant"] + [T.StructField("variant", T.StringType())])).parquet(f"{folder}/all")
+    out = {}
+    for state in sorted(r.variant for r in parts.select("variant").distinct().collect()):
+        out[state] = f"{folder}/variant={state}"
+        subtype(parts, state).write.mode("overwrite").parquet(out[state])
+    return out
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """All subtype tables of a relation, one below the other: keys, ``variant``, and typed fields, null where the variant lacks them."""
+    kind = rows.schema["obj"].dataType
+    keys = [k for k in KEYS if k in rows.columns]
+    return rows.select(*keys, "variant", *[F.col("obj")[n].alias(f"obj_{n}" if n in (*keys, "variant") else n) for n in kind.fieldNames()])
+
+
 def write_variants(rows: DataFrame, folder: str) -> None:
     """All subtype tables of a relation at once: one folder per variant, a single pass."""
     rows.write.mode("overwrite").partitionBy("variant").parquet(folder)

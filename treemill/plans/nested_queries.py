@@ -24,8 +24,8 @@ def _relations(spark: SparkSession, sf_dir: str, fields: bool) -> list[tuple[str
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every non-null object with its record and its place."""
-    return nested.supertype(_relations(spark, sf_dir, False))
+    """Every non-null object with its record and its place: the keys of the classified relations."""
+    return nested.supertype(_relations(spark, sf_dir, True))
 
 
 def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,31 @@ def p4_usage_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_variants": p4_variants, "p4_parse_tokens": p4_parse_tokens, "p4_usage_parts": p4_usage_parts}
+def _typed(name: str, relation: Relation, key: str, source: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested.typed(nested.flatten(table(spark, sf_dir, source), key, relation))
+
+    run.__name__, run.__doc__ = name, f"Typed subtype tables of all variants of {relation.path}: keys, variant and fields."
+    return run
+
+
+def write_all(spark: SparkSession, sf_dir: str, folder: str) -> dict[tuple[str, str], str]:
+    """Writes the subtype table of every variant of the five arrays and of usage; folders by path and variant."""
+    parts = [*_relations(spark, sf_dir, True), ("usage", nested.flatten_object(table(spark, sf_dir, "model_responses"), "response_id", "usage"))]
+    return {(path, state): at for path, rows in parts for state, at in nested.write_subtypes(rows, f"{folder}/{path}").items()}
+
+
+#: Typed tables of all variants, by relation.
+TYPED = {
+    name: _typed(name, relation, key, source)
+    for name, relation, key, source in (
+        ("p4_gold_typed", EVALUATION[0], "eval_id", "model_evaluation"), ("p4_parse_typed", EVALUATION[1], "eval_id", "model_evaluation"),
+        ("p4_examples_typed", RESPONSES[0], "response_id", "model_responses"), ("p4_attempts_typed", RESPONSES[1], "response_id", "model_responses"),
+        ("p4_hops_typed", RESPONSES[2], "response_id", "model_responses"),
+    )
+}
+
+QUERIES = {"p4_found": p4_found, "p4_variants": p4_variants, "p4_parse_tokens": p4_parse_tokens, "p4_usage_parts": p4_usage_parts} | TYPED
 
 
 def _bits(value: str, fields: str) -> str:
