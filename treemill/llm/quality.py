@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -80,9 +81,61 @@ def _shares(line: str) -> tuple[float, float]:
     return (letters / visible, alnum / visible) if visible else (0.0, 0.0)
 
 
+def _borders(text) -> list[int]:
+    """The prefix function: at each place the length of the longest proper border of what ends there."""
+    out = [0] * len(text)
+    k = 0
+    for i in range(1, len(text)):
+        while k and text[i] != text[k]:
+            k = out[k - 1]
+        k += text[i] == text[k]
+        out[i] = k
+    return out
+
+
+def period(text: str) -> int | None:
+    """Smallest period, of any length, that more than half of ``text`` repeats three times or more, from its start."""
+    n = len(text)
+    probe = max(1, n // 6)
+    if text.find(text[:probe], 1, n // 3 + probe + 1) < 0:  # a start that does not return has no such period
+        return None
+    for k, border in enumerate(_borders(text), 1):
+        if 2 * k > n and 3 * (k - border) <= k:
+            return k - border
+    return None
+
+
+def _repeats(s: str, dense: str) -> bool:
+    """Whether one pattern makes up the line; several whole sentences written again and again are no pattern of a line."""
+    for text, turn in ((dense, 1), (dense[::-1], -1)):
+        found = period(text)
+        if found:
+            size = round(len(s) * found / len(dense))
+            if not _INNER.search(s[:size] if turn == 1 else s[-size:]):
+                return True
+    return False
+
+
+def repeated_lines(lines: list[str]) -> list[bool]:
+    """Lines within a run that goes three times or more through the same lines, however many."""
+    flags = np.zeros(len(lines), bool)
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(line.strip(), len(number)) for line in lines], int)
+    longest = int((np.bincount(ids) // 3).sum()) if len(ids) else 0  # each line of a period comes three times
+    for q in range(1, longest + 1):
+        same = np.concatenate([[0], (ids[:-q] == ids[q:]).astype(np.int8), [0]])
+        edges = np.flatnonzero(np.diff(same))
+        for start, stop in zip(edges[::2], edges[1::2]):
+            if stop - start >= 2 * q:
+                flags[start : stop + q] = True
+    return flags.tolist()
+
+
 def is_junk(line: str) -> bool:
     """A line that nobody could read as text, whatever its language."""
     s = line.strip()
+    if len(s) >= 12 and not _SEPARATOR.match(s) and _repeats(s, s.replace(" ", "")):
+        return True
     if _PLAIN.match(s) and not COMMON.isdisjoint(s.lower().split()):
         return False
     mark = _MARK.match(s)
@@ -202,6 +255,7 @@ def line_kinds(lines: list[str]) -> list[str]:
     times = Counter(line.strip() for line in lines)
     if len(lines) >= 4:
         junk = [j or times[line.strip()] >= 3 and times[line.strip()] > 0.25 * len(lines) for j, line in zip(junk, lines)]
+    junk = [j or again for j, again in zip(junk, repeated_lines(lines))]
     cells = [c and not j for c, j in zip(cells, junk)]
     entries = _entries(lines, [a or b for a, b in zip(cells, junk)])
     return ["junk" if j else "table" if c else "list" if e else "text" for j, c, e in zip(junk, cells, entries)]
@@ -210,7 +264,12 @@ def line_kinds(lines: list[str]) -> list[str]:
 def _broken(line: str) -> bool:
     s = line.strip()
     letters, alnum = _shares(s)
-    return alnum < 0.35 and not _SEPARATOR.match(s) or sum(c in BROKEN for c in s) > 0.25 * len(s) or bool(_TAG.search(s)) or bool(_PERIOD.match(s.replace(" ", "")) and not _SEPARATOR.match(s))
+    return alnum < 0.35 and not _SEPARATOR.match(s) or sum(c in BROKEN for c in s) > 0.25 * len(s) or bool(_TAG.search(s)) or _patterned(s)
+
+
+def _patterned(s: str) -> bool:
+    dense = s.replace(" ", "")
+    return not _SEPARATOR.match(s) and (bool(_PERIOD.match(dense)) or len(s) >= 12 and _repeats(s, dense))
 
 
 def document_class(text: str | None) -> str | None:
