@@ -119,10 +119,10 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
     values = ABSTAIN
     if nothing and not raw.strip():
         values = YES
-    elif len(raw) <= 400 and raw.lstrip()[:1] in '{["n':
+    elif raw.lstrip()[:1] in '{["n':
         try:
             values = YES if _leaves_empty(json.loads(raw)) else NO
-        except ValueError:
+        except (ValueError, RecursionError):
             values = ABSTAIN
     cut_short = call.cut >= truncation.CUTOFF
     few = ABSTAIN if call.used is None else YES if call.used <= 8 else NO

@@ -42,7 +42,7 @@ STRAY, STRAY_WIDTH = 0.1, 5.0
 
 # fixed values: words of wrappings that hold nothing themselves
 _WRAPPING = regex.compile(
-    r"""["']?\b(?:tokens?|parse|result|results|output|answer|response|text|note|message|data|content|json|null|none|nil|n/a|undefined|empty|id|form|upos|head|deprel)\b["']?|[\s\p{P}\p{S}\p{C}\p{Z}]""", regex.I
+    r"""(?:["']?\b(?:tokens?|parse|result|results|output|answer|response|text|note|message|data|content|json|null|none|nil|n/a|undefined|empty|id|form|upos|head|deprel)\b["']?|[\s\p{P}\p{S}\p{C}\p{Z}])*+""", regex.I
 )
 _LAST_ID = re.compile(r"""["']id["']\s*:\s*["']?(\d+)""")
 _CLOSED = re.compile(r"""[}\]]\s*,?\s*\]""")
@@ -68,8 +68,8 @@ class Ending:
 
 
 def is_hollow(raw: str) -> bool:
-    """Whether nothing is left of an answer without wrapping, white space and null words."""
-    return len(raw) <= 400 and not _WRAPPING.sub("", raw)
+    """Whether nothing is left of an answer, however long, without wrapping, white space and null words; reading stops at the first other character."""
+    return _WRAPPING.match(raw).end() == len(raw)
 
 
 def ending(raw: str, asked: int) -> Ending:
