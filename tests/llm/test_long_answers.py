@@ -26,3 +26,9 @@ def test_long_lists_of_empty_values():
     assert cast(EMPTY)["empty"][1] == pairs.YES
     assert not tr.is_hollow(EMPTY[:-2] + ', {"form": "cat"}]}') and cast(json.dumps({"tokens": [{"id": 1, "form": "cat"}] * 30}))["empty"][:2] == (pairs.NO, pairs.NO)
     assert cast("[" * 100_000)["empty"][1] == pairs.ABSTAIN
+
+
+@pytest.mark.parametrize("end", ["Draft parse: 1>2, 2>0, 3>2", '{"head": 2}'])
+def test_heads_behind_long_reasoning(end):
+    raw = TEXT + " " * 4_100 + end
+    assert cast(raw)["copied_prompt"] == (pairs.NO, pairs.NO, pairs.NO)

@@ -144,7 +144,7 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
     own_words = words(own_text.replace("\\n", " ").replace("\\t", " ")) if own_text and not nothing else []
     real = [w for w in own_words if not w.isdigit()]
     fresh = [w for w in real if w not in known]
-    heads = bool(objects) or reasons or bool(_HEADS.search(raw[:4000]))
+    heads = bool(objects) or reasons or bool(_HEADS.search(raw))
     # copied prompt
     wanted = Counter(w for w in asked_words if not w.isdigit())
     have = Counter(real)
