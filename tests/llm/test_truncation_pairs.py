@@ -12,19 +12,19 @@ TEXT = "The small cat sat on the old mat ."
 ASKED = "# text = " + TEXT + "\n" + "\n".join(f"{n}\t{w}" for n, w in enumerate(TEXT.split(), 1))
 TOKENS = [{"id": n, "form": w, "upos": "X", "head": 0 if n == 1 else 1, "deprel": "dep"} for n, w in enumerate(TEXT.split(), 1)]
 WHOLE = json.dumps({"tokens": TOKENS})
-MEAN, SPREAD = math.log(3.2), 0.07
+MEAN = math.log(3.2)
 
 
 def cut(raw, used="fits", most=4096, limit=None):
     used = round(len(raw) / 3.2) if used == "fits" else used
-    return tr.row_posterior(raw, ASKED, used, most, limit, MEAN, SPREAD) >= tr.CUTOFF
+    return tr.row_posterior(raw, ASKED, used, most, limit, MEAN) >= tr.CUTOFF
 
 
 @pytest.mark.parametrize(
     "raw, options, is_cut",
     [
         (WHOLE, {}, False), (WHOLE, {"used": 4096}, False), (WHOLE, {"used": None}, False), (WHOLE + " " * 40, {"limit": len(WHOLE) + 40}, False), (WHOLE[:-1] + ",}", {}, False),
-        (WHOLE[:300], {"used": round(len(WHOLE) / 3.2)}, True), (WHOLE[:300], {}, False), (WHOLE[:300], {"used": 100, "most": 100}, True), (WHOLE[:300], {"limit": 300}, True),
+        (WHOLE[:300], {"used": round(len(WHOLE) / 3.2)}, True), (WHOLE[:300], {}, True), (WHOLE[:300], {"used": 100, "most": 100}, True), (WHOLE[:300], {"limit": 300}, True),
         (WHOLE[:300], {"used": None}, True), (WHOLE[:300] + "…", {"used": round(len(WHOLE) / 3.2)}, True), (json.dumps({"tokens": TOKENS[:4]}), {}, False),
         (json.dumps({"tokens": TOKENS[:4]}), {"used": round(len(WHOLE) / 3.2)}, True), (json.dumps({"tokens": TOKENS[:4]}), {"used": 100, "most": 100}, True),
         ("", {}, False), (None, {"used": 5}, False), ("null", {"used": 2}, False), ("{}", {"used": None}, False), ("Sorry, I cannot help with this request.", {}, False), ("Step 1 - the root is cat.\nStep 2 - I can", {"used": 300}, True),
@@ -50,8 +50,9 @@ def test_limits_are_found_by_the_censored_law():
 
 def votes(raw, used="fits", sentence=TEXT, thoughts=""):
     used = round(len(raw or "") / 3.2) if used == "fits" else used
-    share = tr.row_posterior(raw, ASKED, used, 4096, None, MEAN, SPREAD)
-    found = pairs.votes(pairs.Call(raw or "", sentence, ASKED, used, share, thoughts))
+    kind, weights, _ = tr.row_weights(raw, ASKED, used, 4096, None, MEAN, None, None, tr.ANY_RATES)
+    found = pairs.votes(pairs.Call(raw or "", sentence, ASKED, used, kind, thoughts))
+    found["truncated"] = (pairs.YES if kind and tr.share_posterior(tr.ANY_SHARES[kind], weights) >= tr.CUTOFF else pairs.NO, *found["truncated"][1:])
     out = set()
     for facet, cast in found.items():
         yes, no = cast.count(pairs.YES), cast.count(pairs.NO)
@@ -82,12 +83,30 @@ def test_reasoning_in_another_language():
     assert votes(WHOLE, thoughts=GERMAN) == {"other_language"} and votes(WHOLE, thoughts="Checking the main verb and its arguments of item 3.") == set()
 
 
+@pytest.mark.parametrize("raw", ["Погода была хорошей, и комитет собрался около полудня у старой мельницы.", "今天天气很好委员会中午在老磨坊旁边开会讨论新的计划", "Ο καιρός ήταν καλός και η επιτροπή συνεδρίασε το μεσημέρι κοντά στον μύλο."])
+def test_answers_in_another_script(raw):
+    kind = tr.row_weights(raw, ASKED, 30, 4096, None, MEAN, None, None, tr.ANY_RATES)[0]
+    cast = pairs.votes(pairs.Call(raw, TEXT, ASKED, 30, kind))
+    assert cast["foreign_prose"][3] == pairs.YES and pairs.NO not in cast["foreign_prose"] and pairs.YES not in cast["refusal"]
+
+
+def test_own_words_about_something_else_are_no_refusal():
+    cast = pairs.votes(pairs.Call("The weather was pleasant on Tuesday and the committee met at noon.", TEXT, ASKED, 20, tr.WHOLE))
+    assert pairs.YES not in cast["refusal"]
+
+
+def test_a_draft_that_the_prompt_holds_is_copied():
+    draft = ASKED + "\n\nDraft parse: 1>2, 2>0, 3>2"
+    for asked, want in ((draft, pairs.YES), (ASKED, pairs.NO)):
+        assert pairs.votes(pairs.Call("Here is the input again:\n\n" + draft, TEXT, asked, 60, tr.WHOLE))["copied_prompt"] == (want,) * 3
+
+
 def test_words_of_the_sentence_are_no_defect():
     text = "I am sorry, but I cannot help with la casa verde behind the mill."
     tokens = [{"id": n, "form": w, "upos": "X", "head": 0, "deprel": "dep"} for n, w in enumerate(text.split(), 1)]
     asked = "# text = " + text + "\n" + "\n".join(f"{n}\t{w}" for n, w in enumerate(text.split(), 1))
     for raw, want in ((json.dumps({"tokens": tokens}), set()), (text, {"copied_prompt"})):
-        found = pairs.votes(pairs.Call(raw, text, asked, 90, 0.0))
+        found = pairs.votes(pairs.Call(raw, text, asked, 90, tr.WHOLE))
         assert {pairs.DEFECT[f] for f, c in found.items() if c.count(pairs.YES) > c.count(pairs.NO)} == want
 
 
@@ -100,7 +119,7 @@ def test_label_model_recovers_the_truth():
         for error in (0.02, 0.1, 0.2):
             says = t != (rng.random() < (error if t else error / 10))
             cast.append(pairs.ABSTAIN if rng.random() < 0.2 else pairs.YES if says else pairs.NO)
-        code = (cast[0] * 3 + cast[1]) * 3 + cast[2]
+        code = ((cast[0] * 3 + cast[1]) * 3 + cast[2]) * 3
         counts[code] = counts.get(code, 0) + 1
         right[code] = right.get(code, 0) + int(t)
     model = pairs.label_model("foreign_prose", counts)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from treemill.llm import truncation
@@ -34,16 +35,14 @@ VALIDATOR = ("validator_says_empty", "validator_says_unfinished")
 FUNCTIONS = {
     "empty": ("nothing_left", "only_empty_values", "few_tokens", "validator_says_empty"),
     "truncated": ("length_posterior", "open_end", "validator_says_unfinished"),
-    "refusal": ("declines", "opens_with_regret", "own_words_no_parse"),
+    "refusal": ("declines", "opens_with_regret", "own_words_to_the_asker"),
     "copied_prompt": ("holds_the_prompt", "adds_nothing", "no_heads"),
-    "foreign_prose": ("function_words", "foreign_letters", "no_words_of_the_prompt_language"),
+    "foreign_prose": ("function_words", "foreign_letters", "no_words_of_the_prompt_language", "another_script"),
     "foreign_forms": ("forms_not_in_prompt", "forms_of_another_language"),
 }
 DEFECT = {facet: facet for facet in FUNCTIONS} | {"foreign_prose": "other_language", "foreign_forms": "other_language"}
 #: Cutoffs on the posterior; README says how they were validated.
 CUTOFFS = dict.fromkeys(FUNCTIONS, 0.5)
-#: Functions whose error rates are given, not estimated: a cut is what problem 3 says it is.
-ANCHORED = {("truncated", 0): 1e-9}
 
 # fixed values: frequent function words by language
 FUNCTION_WORDS = {
@@ -64,7 +63,12 @@ _DECLINES = re.compile(
 )
 _REGRET = re.compile(r"\b(?:sorry|apolog\w+|unfortunately|as an? (?:ai|assistant|language model)|i have to decline|thank you for asking|regret|i must decline)\b", re.I)
 _ABOUT = re.compile(r"\b(?:i|me|my|assist|request|comply|provide|analys\w+|annotat\w+|content|process)\b", re.I)
-_HEADS = re.compile(r"""["'](?:head|deprel)["']\s*:|\d\s*(?:>|->|→)\s*\d""")
+# fixed values: words with which a writer speaks of itself or to the asker
+_ADDRESS = frozenset("i me my we us our you your ich mich mir mein wir uns sie ihnen je me moi nous vous yo mi nosotros usted ustedes io noi voi eu nós você ik mij wij jij u assistant model request".split())
+# fixed values: scripts by name
+_SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai", "Bengali", "Tamil", "Georgian", "Armenian")}
+_HEADS = re.compile(r"""["'](?:head|deprel)["']\s*:""")
+_ARROW = re.compile(r"(\d+)\s*(?:>|->|→)\s*(\d+)")
 _FORM = re.compile(r"""["']form["']\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""")
 _KEYS = re.compile(r"""["'](?:\w+)["']\s*:""")
 _FOREIGN = re.compile(r"[äöüßñáéíóúèàçâêîôûœìòùãõ¿¡ëï]", re.I)
@@ -81,7 +85,7 @@ class Call:
     sentence: str
     asked: str
     used: int | None
-    cut: float
+    ending: int
     thoughts: str = ""
 
 
@@ -108,6 +112,13 @@ def language(found: list[str]) -> tuple[str | None, int, int]:
     return (scores[0][1] if scores[0][0] > 0 else None), scores[0][0], scores[1][0]
 
 
+def scripts(text: str) -> Counter:
+    """Letters of each script in a text."""
+    if text.isascii():
+        return Counter(Latin=sum(map(str.isalpha, text)))
+    return Counter({name: len(pattern.findall(text)) for name, pattern in _SCRIPTS.items()})
+
+
 def votes(call: Call) -> dict[str, tuple[int, ...]]:
     """The votes on each facet, those of the evaluator's message left out."""
     raw = call.raw
@@ -124,11 +135,10 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
             values = YES if _leaves_empty(json.loads(raw)) else NO
         except (ValueError, RecursionError):
             values = ABSTAIN
-    cut_short = call.cut >= truncation.CUTOFF
     few = ABSTAIN if call.used is None else YES if call.used <= 8 else NO
-    empty = (NO if cut_short and raw.strip() else _vote(nothing, True), values, few)
-    # truncated
-    truncated = (_vote(cut_short, True), _vote(not end.closed and not nothing, True))
+    empty = (NO if call.ending == truncation.OPEN else _vote(nothing, True), values, few)
+    # truncated; the posterior of problem 3 votes when it is known for all calls
+    truncated = (ABSTAIN, {truncation.OPEN: YES, truncation.WHOLE: NO}.get(call.ending, ABSTAIN))
     # the text in the model's own words: what stands around the objects, or all of a text without objects
     if objects:
         first = raw.find("{")
@@ -144,12 +154,15 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
     own_words = words(own_text.replace("\\n", " ").replace("\\t", " ")) if own_text and not nothing else []
     real = [w for w in own_words if not w.isdigit()]
     fresh = [w for w in real if w not in known]
-    heads = bool(objects) or reasons or bool(_HEADS.search(raw))
+    arrows = set(_ARROW.findall(raw)) if not objects else set()
+    # a draft parse that the prompt holds is no parse of the answer's own
+    heads = bool(objects) or reasons or bool(_HEADS.search(raw)) or bool(arrows and arrows - set(_ARROW.findall(call.asked)))
     # copied prompt
     wanted = Counter(w for w in asked_words if not w.isdigit())
     have = Counter(real)
     covered = sum(min(n, have[w]) for w, n in wanted.items()) / max(1, sum(wanted.values()))
-    added = [w for w in fresh if w not in _FRAME]
+    framed = set(words(call.asked)) if fresh else set()
+    added = [w for w in fresh if w not in _FRAME and w not in framed]
     if heads or nothing or not wanted:
         copied = (NO, NO, _vote(False, heads or nothing))
         is_copy = False
@@ -163,11 +176,18 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
     home = _LANGUAGES[asked_language]
     free = [w for w in (fresh if not call.thoughts else [*fresh, *(w for w in words(call.thoughts) if not w.isdigit() and w not in known)]) if w not in _FRAME]
     spoken = letters = at_home = ABSTAIN
+    script = ABSTAIN  # the same letters tell nothing
+    if not plain.isascii():
+        theirs, ours = scripts(plain), scripts(sentence)
+        strange_letters = sum(n for name, n in theirs.items() if not ours[name] and n)
+        # a writing of few spaces has more in a letter, so letters count, not words
+        script = _vote(strange_letters >= 8 and strange_letters > sum(theirs.values()) - strange_letters, False)
     if len(free) >= 4:
         lang, score, _ = language(free)
         same = sum(1.0 / _SHARED[w] for w in words(plain) if w in home)
         foreign = lang is not None and lang != asked_language
-        spoken = _vote(foreign and score >= 1.5 and score > 1.5 * same, not foreign or score < 1)
+        # words that no list knows say nothing
+        spoken = _vote(foreign and score >= 1.5 and score > 1.5 * same, lang is not None and (not foreign or score < 1))
         letters = _vote(any(_FOREIGN.search(w) for w in re.findall(r"[^\W\d_]+", plain) if w not in sentence), False)
         if len(free) >= 8:
             at_home = _vote(same <= 0.08 * len(free), same >= 0.2 * len(free))
@@ -187,11 +207,12 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
         text = " ".join((own_text.replace(sentence, " ") if sentence else own_text).replace("’", "'").split())
         declines = bool(_DECLINES.search(text)) and bool(_ABOUT.search(text)) and not is_copy and not reasons
         regret = bool(_REGRET.search(text)) and not is_copy and not reasons
-        alone = bool(fresh) and covered < 0.5 and len(real) <= 60 and not heads
-        refusal = (_vote(declines, True), _vote(regret, False), ABSTAIN if spoken == YES else _vote(alone, True))
+        alone = bool(fresh) and covered < 0.5 and not heads
+        to_asker = not _ADDRESS.isdisjoint(fresh)
+        refusal = (_vote(declines, True), _vote(regret, False), ABSTAIN if YES in (spoken, script) or alone and not to_asker else _vote(alone, True))
     return {
         "empty": empty, "truncated": truncated, "refusal": refusal, "copied_prompt": copied,
-        "foreign_prose": (spoken, letters, at_home), "foreign_forms": (away, form_language),
+        "foreign_prose": (spoken, letters, at_home, script), "foreign_forms": (away, form_language),
     }
 
 
@@ -217,23 +238,24 @@ def unpack(code: int, size: int) -> tuple[int, ...]:
 def label_model(facet: str, counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     """Posterior of a facet for each vote pattern, by expectation-maximization over the counts.
 
-    Functions are taken as independent given the truth; an abstention says nothing.
+    Functions are taken as independent given the truth; an abstention says nothing, and a
+    call on which all abstain is not accused.
     Each function has a rate of right votes for either truth, started at mostly right and
-    smoothed by a few imagined calls; anchored functions keep theirs.  Rates stay on their
-    side of chance and the defect the rarer case, so the two truths cannot change places.
+    smoothed by a few imagined calls.  A function is taken to find at least half of the
+    defective calls it votes on and to accuse at most three tenths of the others, so the
+    two truths cannot change places; how common the defect is, is free.
     """
     size = len(FUNCTIONS[facet])
     patterns = [(unpack(code, size), code, n) for code, n in counts.items()]
-    total = sum(n for _, _, n in patterns)
-    if not total:
-        return {}
+    total = sum(n for cast, _, n in patterns if any(cast))
     rate = np.empty((size, 2))  # of a vote for the defect, by truth
-    for i in range(size):
-        error = ANCHORED.get((facet, i))
-        rate[i] = (0.05, 0.8) if error is None else (error, 1 - error)
+    rate[:] = 0.05, 0.8
     prior, result = 0.02, {}
     for _ in range(rounds):
         for cast, code, _n in patterns:
+            if not any(cast):
+                result[code] = 0.0
+                continue
             odds = math.log(prior / (1 - prior))
             for i, v in enumerate(cast):
                 if v == YES:
@@ -242,11 +264,9 @@ def label_model(facet: str, counts: dict[int, int], rounds: int = 200) -> dict[i
                     odds += math.log((1 - rate[i, 1]) / (1 - rate[i, 0]))
             result[code] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
         mass = sum(result[code] * n for _, code, n in patterns)
-        moved = abs(mass / total - prior)
-        prior = min(max(mass / total, 1e-6), 0.45)
+        before, prior = prior, min((mass + 0.4) / (total + 20.0), 1 - 1e-6)
+        moved = abs(prior - before)
         for i in range(size):
-            if (facet, i) in ANCHORED:
-                continue
             yes, seen = np.array([0.2, 4.0]), np.array([4.0, 5.0])
             for cast, code, n in patterns:
                 if cast[i] != ABSTAIN:
@@ -259,36 +279,46 @@ def label_model(facet: str, counts: dict[int, int], rounds: int = 200) -> dict[i
     return result
 
 
-VOTES = "response_id {kind}, empty int, truncated int, refusal int, copied_prompt int, foreign_prose int, foreign_forms int"
+VOTES = "response_id {kind}, empty int, truncated int, refusal int, copied_prompt int, foreign_prose int, foreign_forms int, source string"
+
+
+def _coded(facet: str, function: str) -> int:
+    """What a vote of 1 of this function adds to the code of its facet."""
+    return 3 ** (len(FUNCTIONS[facet]) - 1 - FUNCTIONS[facet].index(function))
 
 
 def call_votes(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
     """``VOTES`` of every call without an API error.
 
-    Texts are read in a map; only the votes are then joined with what the evaluator said.
+    Texts are read in a map; what the evaluator said, and the posteriors of problem 3,
+    are then joined and turned to votes without the texts.
     """
     calls = truncation.response_calls(responses).filter("api_error is null")
-    fitted = truncation.with_fitted(spread(calls), truncation.fit_sources(calls))
+    fitted, rates = truncation.with_fitted(spread(calls), truncation.fit_sources(calls))
     kind = responses.schema["response_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["response_id", "raw", "sentence", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread", "thoughts"]
+        names = ["response_id", "sentence", "thoughts", "source", *truncation.READS]
         for batch in batches:
             out = []
-            for key, raw, sentence, asked, used, most, limit, mean, spread_, size_mean, size_spread, thoughts in zip(*(batch[n] for n in names)):
-                share = truncation.row_posterior(raw, asked, used, most, limit, mean, spread_, size_mean, size_spread)
-                sentence = sentence or (asked or "").partition("# text = ")[2].partition("\n")[0]
-                out.append((key, *pack(votes(Call(raw or "", sentence, asked or "", truncation._number(used), share, thoughts or "")))))
-            yield pd.DataFrame(out, columns=["response_id", *FUNCTIONS])
-
-    wanted = fitted.select("response_id", "raw", "sentence", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread", "thoughts")
-    cast = wanted.mapInPandas(run, VOTES.format(kind=kind))
+            for key, sentence, thoughts, source, *read in zip(*(batch[n] for n in names)):
+                raw, asked, used = read[0] or "", read[1] or "", truncation._number(read[2])
+                ending, weights, no_usage = truncation.row_weights(*read, rates)
+                sentence = sentence or asked.partition("# text = ")[2].partition("\n")[0]
+                out.append((key, *pack(votes(Call(raw, sentence, asked, used, ending, thoughts or ""))), source, ending, *weights, no_usage))
+            yield pd.DataFrame(out, columns=["response_id", *FUNCTIONS, "source", "kind", *truncation.WAYS, "no_usage"])
+
+    wanted = fitted.select("response_id", "sentence", "thoughts", "source", *truncation.READS)
+    cast = cut(wanted.mapInPandas(run, f"{VOTES.format(kind=kind)}, {truncation.EVIDENCE}"))
+    missing = truncation.posterior_column(truncation.counted_shares(cast)) >= truncation.CUTOFF
+    length_vote = F.when(missing, YES).otherwise(NO) * _coded("truncated", "length_posterior")
     said = evaluations.filter("response_id is not null and validation_error is not null").groupBy("response_id").agg(
         F.bool_or(F.col("validation_error").rlike(_VALID_EMPTY)).alias("says_empty"), F.bool_or(F.col("validation_error").rlike(_VALID_OPEN)).alias("says_open")
     )
-    joined = cast.join(said, "response_id", "left")
-    last = {"empty": F.when(F.col("says_empty"), YES).otherwise(ABSTAIN), "truncated": F.when(F.col("says_open"), YES).when(F.col("says_open").isNull(), NO).otherwise(ABSTAIN)}
-    return joined.select("response_id", *[(F.col(f) * 3 + last[f]).cast("int").alias(f) if f in last else F.col(f) for f in FUNCTIONS])
+    joined = cast.withColumn("truncated", F.col("truncated") * 3 + length_vote).withColumn("empty", F.col("empty") * 3).join(said, "response_id", "left")
+    empty = F.col("empty") + F.when(F.col("says_empty"), YES).otherwise(ABSTAIN)
+    truncated = F.col("truncated") + F.when(F.col("says_open"), YES).when(F.col("says_open").isNull(), NO).otherwise(ABSTAIN)
+    return joined.select("response_id", "source", empty.cast("int").alias("empty"), truncated.cast("int").alias("truncated"), *[f for f in FUNCTIONS if f not in ("empty", "truncated")])
 
 
 def defects(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
@@ -299,14 +329,15 @@ def defects(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
     repeated calls count by themselves.
     """
     found = cut(call_votes(responses, evaluations))
-    parts = None
+    counts: dict[str, dict[int, int]] = {facet: {} for facet in FUNCTIONS}
+    patterns = found.unpivot(["response_id"], list(FUNCTIONS), "facet", "code").groupBy("facet", "code").count()
+    for r in patterns.collect():  # at most 3 ** functions rows a facet
+        counts[r.facet][r.code] = r["count"]
+    parts = []
     for facet in FUNCTIONS:
-        counted = found.groupBy(facet).count().collect()  # at most 3 ** functions rows
-        model = label_model(facet, {r[0]: r[1] for r in counted})
-        kept = {code: p for code, p in model.items() if p >= CUTOFFS[facet]} or {-1: 0.0}
+        kept = {code: p for code, p in label_model(facet, counts[facet]).items() if p >= CUTOFFS[facet]} or {-1: 0.0}
         table = F.create_map(*[F.lit(x) for pair in kept.items() for x in pair])
-        part = F.when(F.col(facet).isin(list(kept)), F.struct(F.lit(DEFECT[facet]).alias("defect"), F.element_at(table, F.col(facet)).alias("posterior")))
-        parts = [part] if parts is None else [*parts, part]
+        parts.append(F.when(F.col(facet).isin(list(kept)), F.struct(F.lit(DEFECT[facet]).alias("defect"), F.element_at(table, F.col(facet)).alias("posterior"))))
     flagged = found.select("response_id", F.array_compact(F.array(*parts)).alias("facets"))
     # a call with both facets of a defect gets it once, with the larger posterior
     merged = F.array_distinct(F.transform("facets", lambda x: x["defect"]))

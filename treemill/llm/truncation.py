@@ -1,13 +1,14 @@
 """Texts cut off by output limits, field limits or broken transfers (problem 3).
 
 Per source, the lengths of stored answers follow a log-normal law that is right-censored
-at a field limit; it is fitted by maximum likelihood for each candidate limit, and a
-limit is kept where many more answers stand exactly at it than the law allows.  The
-length an answer should have follows from its usage: the logarithm of characters per
-token is fitted per source too.  A value's censoring posterior at the limits that apply
-to it (the call's token limit, the source's field limit, or a transfer that broke
-anywhere) is then combined with the evidence of its ending: an unclosed structure, or an
-end before the last token that the prompt asked for.
+at its field limits; it is fitted by maximum likelihood, every length being scored as a
+limit.  Characters per usage token follow a law of their own, kept as a histogram.  For
+each value and each way to lose an end (the call's token limit, a field limit, a transfer
+that broke with the sender's usage, with the receiver's or with none) a weight says how
+much better that way explains size and usage than an answer that ended by itself: tail
+mass of the censored law against its density there.  How common each way is behind each
+kind of ending is then fitted by expectation-maximization over the counted weights of all
+answers, and gives every value its censoring posterior.
 """
 
 from __future__ import annotations
@@ -20,25 +21,35 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from treemill.plans.session import spread
+from treemill.plans.session import cut as materialised, spread
 
 #: Up to this many sources, their fitted values are broadcast; beyond it they are joined.
 MANY_SOURCES = 10_000
 CUTOFF = 0.5
-#: Probability of a cut before the evidence of length: with an open end, with one close to the last token asked for, with a closed end.
-PRIOR_OPEN, PRIOR_LATE, PRIOR_CLOSED = 0.5, 0.7, 0.1
 #: Characters that an object of an answer takes, where it has none to measure.
 OBJECT_CHARS = 75.0
 #: Lengths to either side whose counts say what is usual at a length.
 AROUND = 25
-#: Prior of a cut for text without any structure; odds that usage is lost by a broken transfer rather than otherwise.
-PRIOR_PROSE, LOST_USAGE = 0.08, 3.0
-#: Spread of the length that an answer should have by its prompt, and of a source's law where none is fitted.
-OWN_SPREAD, ANY_SPREAD = 0.15, 0.5
+#: Error of the whole length as reckoned from the part that is there; 0.05 to 0.10 measured on whole answers stopped at a random token.
+OWN_SPREAD = 0.08
+#: The same where nothing of the structure is there yet, and the spread of a source's law where none is fitted.
+FREE_SPREAD, ANY_SPREAD = 0.35, 0.5
 #: Part of the whole answers that follow no law of their source (early ends, refusals), spread evenly over log length.
 STRAY, STRAY_WIDTH = 0.1, 5.0
+#: Answers in which a model that ended by itself left its structure open, as a share of all answers.
+OPEN_SLIPS = 1e-4
+#: Histogram of log characters per token around the mean of the source.
+RATE_STEP, RATE_REACH = 0.02, 40
+
+# kinds of endings
+WHOLE, SHORT, OPEN, PROSE = range(4)
+#: Ways to lose an end, in the order of the weights; the receiver's usage fits what arrived, so its weight is 1.
+WAYS = ("token_limit", "field_limit", "broken", "usage_lost", "received")
+#: Shares of an own end and of each way, by kind, of a few imagined answers; expectation-maximization starts from them.
+USUAL = {SHORT: (0.7, 0.05, 0.05, 0.15, 0.05, 0.0), OPEN: (0.0, 0.2, 0.2, 0.3, 0.15, 0.15), PROSE: (0.96, 0.01, 0.01, 0.015, 0.005, 0.0)}
+IMAGINED = 5.0
 
 # fixed values: words of wrappings that hold nothing themselves
 _WRAPPING = regex.compile(
@@ -46,7 +57,7 @@ _WRAPPING = regex.compile(
 )
 _LAST_ID = re.compile(r"""["']id["']\s*:\s*["']?(\d+)""")
 _CLOSED = re.compile(r"""[}\]]\s*,?\s*\]""")
-_SENTENCE_END = re.compile(r"""[.!?:)\]}"'`»”]\s*$""")
+_SENTENCE_END = re.compile(r"""[.!?:)\]}"'`»”。！？]\s*$""")
 _BAD_END = re.compile(r"(?:�|…|\.\.\.)\s*$")
 _COT = re.compile(r"^\s*(?:The sentence is|Step \d)")
 _ARROWS = re.compile(r"\d\s*>\s*\d")
@@ -88,8 +99,8 @@ def ending(raw: str, asked: int) -> Ending:
                 reached = int(known.group(1)) if len(known.group(1)) < 9 else 0
         return Ending(asked, reached, objects, closed, bad)
     text = raw.rstrip()
-    if _COT.match(text):
-        return Ending(asked, 0, 0, False, bad)
+    if _COT.match(text):  # reasoning alone
+        return Ending(asked, 0, 0, bool(_SENTENCE_END.search(text)) and not bad, bad)
     if text[:1] in "{[" or text.startswith("```"):
         if text.startswith("```"):
             closed = text.count("```") >= 2
@@ -100,8 +111,38 @@ def ending(raw: str, asked: int) -> Ending:
     return Ending(asked, 0, 0, bool(_SENTENCE_END.search(text)) and not bad or listed or bool(_ARROWS.search(text)), bad)
 
 
-def _density(value: float, mean: float, spread: float) -> float:
-    return math.exp(-0.5 * ((value - mean) / spread) ** 2) / spread + 1e-4
+@dataclass(frozen=True)
+class Rates:
+    """Law of log characters per usage token, around a source's mean: densities by step, of whole answers and of cut ones."""
+
+    whole: np.ndarray
+    cut: np.ndarray
+    free: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Rates:
+        """From counts by step; some imagined answers follow a normal law, and a few stand anywhere."""
+        at = np.arange(-RATE_REACH, RATE_REACH + 1) * RATE_STEP
+        usual = np.exp(-0.5 * (at / 0.07) ** 2)
+        own = counts + 20 * usual / usual.sum() + 0.02
+        own = own / own.sum() / RATE_STEP
+
+        def blurred(by: float) -> np.ndarray:
+            lags = np.arange(-2 * RATE_REACH, 2 * RATE_REACH + 1)
+            kernel = np.exp(-0.5 * (lags * RATE_STEP / by) ** 2)
+            moved = np.convolve(own, kernel / kernel.sum(), "full")[2 * RATE_REACH :]
+            return np.maximum(moved[: len(own)], 1e-4)
+
+        return Rates(own, blurred(OWN_SPREAD), blurred(FREE_SPREAD))
+
+    @staticmethod
+    def at(law: np.ndarray, value: float) -> float:
+        step = round(value / RATE_STEP)
+        return float(law[step + RATE_REACH]) if -RATE_REACH <= step <= RATE_REACH else 1e-4
+
+
+#: Where nothing is counted yet.
+ANY_RATES = Rates.of(np.zeros(2 * RATE_REACH + 1))
 
 
 def _tail(z: float) -> float:
@@ -125,18 +166,26 @@ def _anywhere(size: float, own: tuple[float, float]) -> float:
     return math.exp(-mean + 0.5 * spread**2) * _tail((math.log(size) - mean + spread**2) / spread)
 
 
-def posterior(raw: str, end: Ending, used: int | None, most: int | None, limits: tuple[int, ...], mean: float, spread: float, law: tuple[float, float] | None = None) -> float:
-    """Probability that the end of this text is missing.
+def ending_kind(raw: str, end: Ending) -> int:
+    """What the end of a text looks like, whatever its size."""
+    if not raw or end.complete and (end.objects or raw.lstrip()[:1] in ("{", "[", "`")) or is_hollow(raw) and raw.count("{") <= raw.count("}") and raw.count("[") <= raw.count("]"):
+        return WHOLE
+    structured = end.objects or _COT.match(raw) or raw.lstrip()[:1] in ("{", "[", "`")
+    if structured:
+        return SHORT if end.closed else OPEN
+    return WHOLE if end.closed else OPEN if end.bad else PROSE
+
+
+def weights(raw: str, end: Ending, used: int | None, most: int | None, limits: tuple[int, ...], mean: float, law: tuple[float, float] | None, rates: Rates) -> tuple[int, tuple[float, ...]]:
+    """Kind of ending, and the weight of each of ``WAYS`` against an end of its own; 0 where a way is ruled out.
 
     ``used`` completion tokens of at most ``most``; ``limits`` characters of the source's
-    fields; ``mean`` and ``spread`` of log characters per token; ``law`` mean and spread of
-    the source's log length, fitted with its limits as censored.  The ways to lose an end
-    (token limit, field limit, broken transfer) add up; each is weighed as the tail mass
-    that it would cut here against the density of answers that end here by themselves.
+    fields; ``mean`` of its log characters per token; ``law`` mean and spread of its log
+    length, fitted with its limits as censored.
     """
-    size = len(raw)
-    if size == 0 or end.complete or is_hollow(raw) and raw.count("{") <= raw.count("}") and raw.count("[") <= raw.count("]"):
-        return 0.0
+    kind, size = ending_kind(raw, end), len(raw)
+    if kind == WHOLE:
+        return kind, (0.0,) * len(WAYS)
     each = size / end.objects if end.objects else OBJECT_CHARS
     lacking = max(end.asked - end.reached, 0 if end.objects else end.asked)
     if end.objects and 0 < end.reached < end.asked:
@@ -145,32 +194,66 @@ def posterior(raw: str, end: Ending, used: int | None, most: int | None, limits:
     else:
         whole = size + (lacking or 0.3) * each
     law = law or (math.log(whole), ANY_SPREAD)
-    own = (math.log(whole), OWN_SPREAD)  # the answer's own law, by its prompt
-    prior = PRIOR_CLOSED if end.closed else PRIOR_LATE if end.objects and end.reached >= 0.85 * end.asked else PRIOR_OPEN
-    weight = 0.0
-    if used is not None and most is not None and 0 < most <= used:
-        tokens = (law[0] - mean, math.hypot(law[1], spread))
-        weight += _at_limit(most, tokens, (max(own[0] - mean, math.log(most)), OWN_SPREAD))
+    own = (math.log(whole), OWN_SPREAD if end.objects else FREE_SPREAD)  # the answer's own law, by its prompt
+    known = used is not None and used > 0
+    by_usage = 1.0  # how much better the usage fits an answer that was longer
+    if known:
+        by_usage = Rates.at(rates.cut if end.objects else rates.free, math.log(whole / used) - mean) / Rates.at(rates.whole, math.log(size / used) - mean)
+        if math.log(size / used) < mean - RATE_REACH * RATE_STEP:  # no answer of that size would have used so many tokens
+            by_usage = max(by_usage, 1e3)
+    token = field = 0.0
+    if known and most is not None and 0 < most <= used:
+        tokens = (law[0] - mean, math.hypot(law[1], 0.07))
+        token = _at_limit(most, tokens, (max(own[0] - mean, math.log(most)), own[1]))
     span = 1.5 * each if end.closed else 24.0
     for limit in limits:
-        if size > limit:
-            continue
         if size == limit and not end.closed:
-            weight += _at_limit(limit, law, (max(own[0], math.log(limit)), OWN_SPREAD))
-        elif limit < whole and size >= limit - span:  # cut at the limit, then trimmed or closed within the span
-            weight += _at_limit(limit, law, own) / span
-    if used is None or used <= 0:
-        if end.objects == 0 and not end.bad and not _COT.match(raw) and raw.lstrip()[:1] not in ("{", "["):
-            prior = min(prior, PRIOR_PROSE)
-        weight += LOST_USAGE * _anywhere(size, own) / _whole_density(size, law)
-    else:
-        have = math.log(size / used)
-        cut = _density(math.log(whole / used), mean, 1.15 * spread if end.objects else 0.35)
-        if have < mean - 3 * spread:  # no answer of that size would have used so many tokens
-            cut = max(cut, 0.5)
-        weight += cut / _density(have, mean, spread) * (1.5 if end.bad else 1.0)
-    odds = prior / (1 - prior) * weight
-    return odds / (1 + odds)
+            field += _at_limit(limit, law, (max(own[0], math.log(limit)), own[1]))
+        elif size < limit < whole and size >= limit - span or size == limit < whole:  # cut at the limit, then trimmed or closed within the span
+            field += _at_limit(limit, law, own) / span * max(by_usage, 1e-3)
+    anywhere = _anywhere(size, own) / _whole_density(size, law)
+    return kind, (token, field, anywhere * by_usage if known else 0.0, 0.0 if known else anywhere, float(known and kind == OPEN))
+
+
+def share_posterior(shares: tuple[float, ...], found: tuple[float, ...]) -> float:
+    """Posterior of a missing end from the shares of a kind and a value's weights."""
+    lost = sum(s * w for s, w in zip(shares[1:], found))
+    return lost / (shares[0] + lost) if lost else 0.0
+
+
+def fit_shares(cells: list[tuple[int, tuple[float, ...], int]], lost_by_chance: float) -> dict[int, tuple[float, ...]]:
+    """Share of an own end and of each way behind each kind of ending, by expectation-maximization.
+
+    ``cells`` are kinds, weights and counts.  A received usage fits a broken
+    transfer as well as an own end, so the share of own ends among open structures is not
+    fitted but ``OPEN_SLIPS`` of all answers.  ``lost_by_chance`` is the share of whole
+    answers without usage, against which a lost usage is weighed.
+    """
+    total = sum(n for _, _, n in cells)
+    out = {}
+    for kind, usual in USUAL.items():
+        own = [((*w[:3], w[3] / lost_by_chance, w[4]), n) for k, w, n in cells if k == kind]
+        mass = sum(n for _, n in own)
+        fixed = min(0.5, OPEN_SLIPS * total / mass) if kind == OPEN and mass else OPEN_SLIPS if kind == OPEN else None
+        shares = np.array(usual) if fixed is None else np.array([fixed, *(np.array(usual[1:]) * (1 - fixed))])
+        for _ in range(200):
+            sums = np.array(usual) * IMAGINED
+            for w, n in own:
+                part = shares * np.array([1.0, *w])
+                sums += n * part / part.sum()
+            if fixed is None:
+                new = sums / sums.sum()
+            else:
+                new = np.array([fixed, *(sums[1:] / sums[1:].sum() * (1 - fixed))])
+            moved, shares = np.abs(new - shares).max(), new
+            if moved < 1e-6:
+                break
+        out[kind] = tuple(float(x) for x in shares[:4]) + (float(shares[4]) / lost_by_chance, float(shares[5]))
+    return out
+
+
+#: Shares before any answer is counted.
+ANY_SHARES = fit_shares([], 0.04)
 
 
 # -- fitted per source ---------------------------------------------------------------
@@ -257,49 +340,63 @@ def find_limit(sizes: np.ndarray, times: np.ndarray, open_ends: np.ndarray) -> t
     return max(find_limits(sizes, times, open_ends), key=lambda x: x[1], default=(None, 0.0))
 
 
-FITTED = "source string, field_limits array<int>, limit_shares array<double>, size_mean double, size_spread double, rate_mean double, rate_spread double"
+FITTED = "source string, field_limits array<int>, limit_shares array<double>, size_mean double, size_spread double, rate_mean double, rates array<long>"
 
 
 def fit_sources(calls: DataFrame) -> DataFrame:
     """``FITTED`` per source, from all answers.  ``calls`` has ``source, raw, used``.
 
-    Lengths are counted before anything is gathered, so a source brings at most one row
-    per length, however many answers it has.
+    Lengths and rates are counted in one aggregation before anything is gathered, so a
+    source brings at most one row per length or step, however many answers it has.
     """
     closed = F.col("raw").rlike(r"[}\]][\s`]*$")
     built = F.col("raw").rlike(r"""^\s*(?:[{\[]|```|The sentence is|Step \d)|["']id["']""")
+    rate = F.when(closed & (F.col("used") > 0) & (F.length("raw") >= 300), F.round(F.ln(F.length("raw") / F.col("used")) / RATE_STEP).cast("int"))
     rows = calls.filter("raw is not null and length(raw) > 0").select(
-        F.coalesce("source", F.lit("")).alias("source"), F.length("raw").alias("size"), (built & ~closed).alias("open"), F.xxhash64("raw").alias("text"),
-        F.when(closed & (F.col("used") > 0) & (F.length("raw") >= 300), F.ln(F.length("raw") / F.col("used"))).alias("rate"),
+        F.coalesce("source", F.lit("")).alias("source"), F.length("raw").alias("size"), rate.alias("rate"), (built & ~closed).alias("open"), F.xxhash64("raw").alias("text"),
     )
     # a repeated text is one piece of evidence: its open ends count only beside another text of that length
     texts = F.when(F.col("open"), F.col("text"))
-    counted = rows.groupBy("source", "size").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"), (F.min(texts) < F.max(texts)).alias("several"))
-    rates = rows.groupBy("source").agg(F.percentile_approx("rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
+    parts = F.array(F.struct(F.lit(True).alias("is_size"), F.col("size").alias("at")), F.struct(F.lit(False).alias("is_size"), F.col("rate").alias("at")))
+    each = rows.select("source", "open", "text", F.explode(parts).alias("p")).select("source", "open", "text", "p.*").filter("at is not null")
+    counted = each.groupBy("source", "is_size", "at").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"), (F.min(texts) < F.max(texts)).alias("several"))
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
-        sizes, times = own["size"].to_numpy(dtype=float), own["n"].to_numpy(dtype=float)
+        source = own["source"].iloc[0]
+        rates, own = own[~own["is_size"]].sort_values("at"), own[own["is_size"]]
+        sizes, times = own["at"].to_numpy(dtype=float), own["n"].to_numpy(dtype=float)
         found = find_limits(sizes, times, np.where(own["several"].eq(True), own["n_open"], 0))
         mean, spread = fit_lognormal(sizes, times, [float(x) for x, _ in found])
-        return pd.DataFrame({"source": [own["source"].iloc[0]], "field_limits": [[x for x, _ in found]], "limit_shares": [[x for _, x in found]], "size_mean": [mean], "size_spread": [spread]})
-
-    laws = counted.groupBy("source").applyInPandas(fit, "source string, field_limits array<int>, limit_shares array<double>, size_mean double, size_spread double")
-    # the spread of a flat-topped law from its quartiles: 0.65 of their distance
-    return laws.join(rates, "source", "left").select(
-        "source", "field_limits", "limit_shares", "size_mean", "size_spread",
-        F.coalesce(F.col("q")[1], F.lit(math.log(3.2))).alias("rate_mean"),
-        F.greatest(F.lit(0.04), F.least(F.lit(0.12), F.coalesce((F.col("q")[2] - F.col("q")[0]) * 0.65, F.lit(0.065)))).alias("rate_spread"),
-    )
+        steps, n = rates["at"].to_numpy(int), rates["n"].to_numpy(int)
+        middle = float(steps[np.searchsorted(np.cumsum(n), n.sum() / 2)]) if len(n) else round(math.log(3.2) / RATE_STEP)
+        near = np.abs(steps - middle) <= RATE_REACH // 4  # the mean of the bulk, between steps
+        centre = float((steps[near] * n[near]).sum() / n[near].sum()) if near.any() else middle
+        held = np.zeros(2 * RATE_REACH + 1, int)
+        places = np.round(steps - centre).astype(int)
+        inside = np.abs(places) <= RATE_REACH
+        np.add.at(held, places[inside] + RATE_REACH, n[inside])
+        return pd.DataFrame(
+            {"source": [source], "field_limits": [[x for x, _ in found]], "limit_shares": [[x for _, x in found]], "size_mean": [mean], "size_spread": [spread], "rate_mean": [centre * RATE_STEP], "rates": [held]}
+        )
+
+    return counted.groupBy("source").applyInPandas(fit, FITTED)
 
 
-def with_fitted(calls: DataFrame, fitted: DataFrame) -> DataFrame:
-    """``calls`` with the values of their source; the fitted table is broadcast only if its counted size allows it."""
+def with_fitted(calls: DataFrame, fitted: DataFrame) -> tuple[DataFrame, Rates]:
+    """``calls`` with the values of their source, and the law of rates around the sources' means.
+
+    The fitted table is broadcast only if its counted size allows it.
+    """
     spark = calls.sparkSession
-    rows = fitted.limit(MANY_SOURCES + 1).collect()
-    small = len(rows) <= MANY_SOURCES
-    side = F.broadcast(spark.createDataFrame(rows, FITTED)) if small else fitted
-    own = side.select(F.col("source").alias("own_source"), "field_limits", "size_mean", "size_spread", "rate_mean", "rate_spread")
-    return calls.join(own, F.coalesce(calls["source"], F.lit("")) == F.col("own_source"), "left")
+    fitted = materialised(fitted)
+    steps = fitted.select(F.posexplode("rates").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()  # one row a step
+    counts = np.zeros(2 * RATE_REACH + 1)
+    for r in steps:
+        counts[r.pos] = r.n
+    own = fitted.select(F.col("source").alias("own_source"), "field_limits", "size_mean", "size_spread", "rate_mean")
+    if fitted.count() <= MANY_SOURCES:
+        own = F.broadcast(own)
+    return calls.join(own, F.coalesce(calls["source"], F.lit("")) == F.col("own_source"), "left"), Rates.of(counts)
 
 
 def response_calls(responses: DataFrame) -> DataFrame:
@@ -320,15 +417,44 @@ def _number(value) -> int | None:
     return None if value is None or value != value else int(value)
 
 
-def row_posterior(raw: str | None, asked: str | None, used, most, limit, mean, spread, size_mean=None, size_spread=None) -> float:
-    if raw is None:
-        return 0.0
-    end = ending(raw, asked_tokens(asked))
+#: What the reading of a text needs of its call and source.
+READS = ("raw", "asked_text", "used", "most", "field_limits", "rate_mean", "size_mean", "size_spread")
+EVIDENCE = "kind int, " + ", ".join(f"{w} double" for w in WAYS) + ", no_usage boolean"
+
+
+def row_weights(raw: str | None, asked: str | None, used, most, limits, mean, size_mean, size_spread, rates: Rates) -> tuple[int, tuple[float, ...], bool]:
+    """``EVIDENCE`` of one call; null and empty answers are whole."""
+    end = ending(raw or "", asked_tokens(asked))
     mean = math.log(3.2) if mean is None or mean != mean else mean
-    spread = 0.065 if spread is None or spread != spread else spread
     law = None if size_mean is None or size_mean != size_mean else (size_mean, size_spread)
-    known = () if limit is None else tuple(int(x) for x in np.atleast_1d(limit) if x == x)
-    return posterior(raw, end, _number(used), _number(most), known, mean, spread, law)
+    known = () if limits is None else tuple(int(x) for x in np.atleast_1d(limits) if x == x)
+    used = _number(used)
+    kind, found = weights(raw or "", end, used, _number(most), known, mean, law, rates)
+    return kind, found, used is None or used <= 0
+
+
+def row_posterior(raw: str | None, asked: str | None, used, most, limits, mean, size_mean=None, size_spread=None, rates: Rates = ANY_RATES, shares: dict = ANY_SHARES) -> float:
+    """Probability that the end of one answer is missing."""
+    kind, found, _ = row_weights(raw, asked, used, most, limits, mean, size_mean, size_spread, rates)
+    return 0.0 if kind == WHOLE else share_posterior(shares[kind], found)
+
+
+def counted_shares(evidence: DataFrame) -> dict[int, tuple[float, ...]]:
+    """``fit_shares`` over all rows of ``EVIDENCE``; the counted cells are few levels, whatever the data."""
+    levels = [F.when(F.col(w) > 0, F.greatest(F.lit(-10), F.least(F.lit(14), F.rint(F.ln(w)))).cast("int")).alias(w) for w in WAYS]  # null where ruled out
+    whole = F.col("kind") == WHOLE
+    cells = evidence.select("kind", *levels, F.when(whole, F.col("no_usage")).alias("lost")).groupBy("kind", "lost", *WAYS).count().collect()
+    n_whole, n_lost = sum(r["count"] for r in cells if r.kind == WHOLE), sum(r["count"] for r in cells if r.kind == WHOLE and r.lost)
+    return fit_shares([(r.kind, tuple(0.0 if r[w] is None else math.exp(r[w]) for w in WAYS), r["count"]) for r in cells], (n_lost + 1) / (n_whole + 25))
+
+
+def posterior_column(shares: dict[int, tuple[float, ...]]) -> Column:
+    """The posterior as an expression over ``EVIDENCE``."""
+    out = F.lit(0.0)
+    for kind, (own, *ways) in shares.items():
+        lost = sum((F.lit(s) * F.col(w) for s, w in zip(ways, WAYS)), F.lit(0.0))
+        out = F.when(F.col("kind") == kind, F.coalesce(F.try_divide(lost, lost + own), F.lit(0.0))).otherwise(out)
+    return out
 
 
 def truncation(calls: DataFrame) -> DataFrame:
@@ -337,16 +463,19 @@ def truncation(calls: DataFrame) -> DataFrame:
     Null answers have none and are left out; empty and blank ones get 0.  Null usage,
     limits or prompts drop that evidence only.  Repeated rows stay.
     """
-    rows = with_fitted(spread(calls.filter("raw is not null")), fit_sources(calls))
+    rows, rates = with_fitted(spread(calls.filter("raw is not null")), fit_sources(calls))
     kind = calls.schema["response_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["raw", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread"]
         for batch in batches:
-            yield pd.DataFrame({"response_id": batch["response_id"], "source": batch["source"], "cut": [row_posterior(*x) for x in zip(*(batch[n] for n in names))]})
-
-    wanted = ["response_id", "source", "raw", "asked_text", "used", "most", "field_limits", "rate_mean", "rate_spread", "size_mean", "size_spread"]
-    return rows.select(*wanted).mapInPandas(run, f"response_id {kind}, source string, cut double")
+            read = [row_weights(*x, rates) for x in zip(*(batch[n] for n in READS))]
+            out = pd.DataFrame([(k, *w, lost) for k, w, lost in read], columns=["kind", *WAYS, "no_usage"])
+            out.insert(0, "response_id", batch["response_id"].to_numpy())
+            out.insert(1, "source", batch["source"].to_numpy())
+            yield out
+
+    evidence = materialised(rows.select("response_id", "source", *READS).mapInPandas(run, f"response_id {kind}, source string, {EVIDENCE}"))
+    return evidence.select("response_id", "source", posterior_column(counted_shares(evidence)).alias("cut"))
 
 
 def truncated(calls: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
