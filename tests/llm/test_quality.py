@@ -33,6 +33,27 @@ JUNK = [
 ]
 
 
+HANGING = "\n".join(f"- {w} brush from the shop,\n  it is what {p} uses for the walls." for w, p in zip("red old wide".split(), "Anna Ben Carl".split()))
+UNEVEN = "* red brush\n    It is what we use for walls,\n    and for the old fence.\n* old brush\n    We keep it for the boat.\n* wide brush\n    Nobody uses it."
+RECORDS = "\n".join(f"{w} brush of this size:\n{n} of them,\n{n}5" for n, w in enumerate("red old wide thin".split(), 1))
+
+
+@pytest.mark.parametrize("text", [HANGING, UNEVEN, RECORDS])
+def test_periodic_entries(text):
+    assert quality.document_class(text) == "list"
+
+
+def test_the_signals_decide():
+    lines = HANGING.split("\n")
+    assert quality.line_kinds(lines) == ["list"] * 6
+    flat = [line.strip() for line in lines]  # the same lines without their indentation
+    assert quality.line_kinds(flat).count("list") == 3 and quality.document_class("\n".join(flat)) is None
+    sizes = [len(x) for x in RECORDS.split("\n")]
+    assert quality._autocorrelation(sizes, 3) > 0.6 > quality._autocorrelation(sizes, 1)
+    uneven = [x + " and so" * (n % 5) * (n % 2) for n, x in enumerate(RECORDS.split("\n"))]
+    assert quality._autocorrelation([len(x) for x in uneven], 3) < 0.6 and quality.document_class("\n".join(uneven)) is None
+
+
 @pytest.mark.parametrize("text", PROSE_CASES)
 def test_prose(text):
     assert quality.document_class(text) is None

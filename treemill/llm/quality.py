@@ -2,8 +2,10 @@
 
 Each non-blank line gets a kind.  *Cells*: neighbouring lines share a delimiter and its
 count, or the places where their columns start (vertical alignment).  *Entries*: lines
-with marks of an enumeration, and runs of short unmarked lines that no text wrapping at
-one width explains.  *Junk*: lines of symbols, broken encoding, encoded bytes, markup,
+with marks of an enumeration; lines below a mark that belong to its entry, as the
+indentation of the run returns with the entries (indentation periodicity); runs of short
+unmarked lines that no text wrapping at one width explains; and records of several short
+lines, whose line lengths return with the record (line-length autocorrelation).  *Junk*: lines of symbols, broken encoding, encoded bytes, markup,
 remains of page frames, letters that form no words, or one pattern over and over, and
 lines that a document keeps repeating.  A document is of a class if more than half of
 its non-blank lines are of that kind.
@@ -57,14 +59,59 @@ ENTRY_WORDS = 7
 DELIMITERS = ("|", "\t", ";", ",")
 
 
+#: Autocorrelation from which a series counts as returning; periods of records, in lines.
+RETURNS, RECORD_LINES = 0.6, 8
+
+
 def _autocorrelation(values: list[int], lag: int) -> float:
-    """Of a series with itself moved by ``lag``; 0 for a constant or too short one."""
+    """Of a series with itself moved by ``lag``, a mean over the places that have a partner; 0 for a constant or too short one."""
     n = len(values)
     if n <= lag + 1:
         return 0.0
     mean = sum(values) / n
-    power = sum((v - mean) ** 2 for v in values)
-    return sum((values[i] - mean) * (values[i + lag] - mean) for i in range(n - lag)) / power if power else 0.0
+    power = sum((v - mean) ** 2 for v in values) / n
+    return sum((values[i] - mean) * (values[i + lag] - mean) for i in range(n - lag)) / (n - lag) / power if power else 0.0
+
+
+def _indents(lines: list[str]) -> list[int]:
+    return [len(line) - len(line.lstrip()) for line in lines]
+
+
+def _hanging(lines: list[str], flags: list[bool], taken: list[bool]) -> None:
+    """Flags the lines that continue marked entries: deeper than the marks, in a run whose indentation returns with the entries.
+
+    Entries of one number of lines make the indentation periodic; where their numbers
+    differ, all marks must stand at one depth and all lines between them deeper.
+    """
+    at, depth = [i for i, f in enumerate(flags) if f], _indents(lines)
+    if len(at) < 2:
+        return
+    lag = Counter(b - a for a, b in zip(at, at[1:])).most_common(1)[0][0]
+    stop = min(len(lines), at[-1] + lag)
+    steady = lag > 1 and _autocorrelation(depth[at[0] : stop], lag) >= RETURNS
+    steady = steady or len({depth[a] for a in at}) == 1 and all(depth[i] > depth[at[0]] for i in range(at[0], at[-1]) if not flags[i])
+    if not steady:
+        return
+    for a, b in zip(at, [*at[1:], len(lines)]):
+        for i in range(a + 1, b):
+            if taken[i] or depth[i] <= depth[a]:
+                break
+            flags[i] = True
+
+
+def _records(lines: list[str], flags: list[bool], taken: list[bool]) -> None:
+    """Flags records of several short lines each: three or more in a row whose line lengths return with the record."""
+    i = 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and not taken[j] and not flags[j] and len(lines[j].split()) <= ENTRY_WORDS and not _INNER.search(lines[j]) and not _END.search(lines[j].strip()):
+            j += 1
+        sizes = [len(line.strip()) for line in lines[i:j]]
+        lag = next((k for k in range(2, min(RECORD_LINES, len(sizes) // 3) + 1) if _autocorrelation(sizes, k) >= RETURNS and _autocorrelation(sizes, 1) < RETURNS), 0)
+        if lag and not _wrapped(lines[i:j]):
+            for k in range(i, j):
+                flags[k] = True
+        i = max(j, i + 1)
 
 
 def _shares(line: str) -> tuple[float, float]:
@@ -227,6 +274,7 @@ def _entries(lines: list[str], taken: list[bool]) -> list[bool]:
     for i, m in enumerate(marks):
         if m and not taken[i] and family[m.lastgroup] >= 2:
             flags[i] = True
+    _hanging(lines, flags, taken)
     i = 0
     while i < len(lines):
         j = i
@@ -236,6 +284,7 @@ def _entries(lines: list[str], taken: list[bool]) -> list[bool]:
             for k in range(i, j):
                 flags[k] = True
         i = max(j, i + 1)
+    _records(lines, flags, taken)
     return flags
 
 
