@@ -1,5 +1,7 @@
 """Flattening of nested records."""
 
+from pyspark.sql import functions as F
+
 from treemill.operators import nested
 from treemill.operators.nested import Relation
 
@@ -14,21 +16,26 @@ ROWS = [
 def test_objects_keep_their_place(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     tries = nested.flatten(df, "k", Relation("conf.tries"))
-    assert sorted((r.rec_id or 0, r.pos, r.sub_pos, r.variant) for r in tries.collect()) == [(0, 0, -1, "(110)"), (1, 0, -1, "(11+)"), (1, 0, -1, "(11+)"), (1, 2, -1, "(000)"), (1, 3, -1, "(11e)")]
+    assert sorted((r.rec_id or 0, r.pos, r.sub_pos, r.variant) for r in tries.collect()) == [(0, 0, -1, "(110)"), (1, 0, -1, "(11@(11))"), (1, 0, -1, "(11@(~1~))"), (1, 2, -1, "(000)"), (1, 3, -1, "(11e)")]
     hops = nested.flatten(df, "k", Relation("conf.tries.hops", outer="conf.tries"))
     assert sorted((r.rec_id, r.pos, r.sub_pos, r.variant) for r in hops.collect()) == [(1, 0, 0, "(11)"), (1, 0, 0, "(11)"), (1, 0, 2, "(10)")]
     keys = nested.supertype([("tries", tries), ("hops", hops)])
     assert keys.columns == ["rec_id", "field_path", "pos", "sub_pos"] and keys.count() == 8
-    assert nested.flatten(df, "k", Relation("conf.tries"), keep_fields=False).columns == ["rec_id", "pos", "sub_pos"]
+    assert {(r.pos, r.parent) for r in hops.filter("sub_pos = 2").collect()} == {(0, "(11@(~1~))")}
+    assert {r.parent for r in tries.collect()} == {"(1@(110))", "(1@(11@(11)))", "(1@(~~~~))"}
+    at_once = nested.classify(df, "k", [Relation("conf.tries"), Relation("conf.tries.hops", outer="conf.tries")])
+    key = lambda rows: sorted(map(str, (tuple(r) for r in rows.collect())))
+    apart = [r.select("rec_id", F.lit(p).alias("field_path"), F.col("pos").cast("int"), F.col("sub_pos").cast("int"), "parent", "variant") for p, r in (("conf.tries", tries), ("conf.tries.hops", hops))]
+    assert key(at_once) == key(apart[0].unionByName(apart[1]))
 
 
 def test_subtypes_have_the_fields_of_their_variant(spark, tmp_path):
     tries = nested.flatten(spark.createDataFrame(ROWS, SCHEMA), "k", Relation("conf.tries"))
-    table = nested.subtype(tries, "(11+)")
-    assert table.columns == ["rec_id", "pos", "sub_pos", "no", "obj_pos", "hops"] and table.count() == 2
-    assert nested.subtype(tries, "(110)").columns[-1] == "obj_pos" and nested.subtype(tries, "(000)").columns == ["rec_id", "pos", "sub_pos"]
+    table = nested.subtype(tries, "(11@(~1~))")
+    assert table.columns == ["rec_id", "pos", "sub_pos", "parent", "no", "obj_pos", "hops"] and table.count() == 1
+    assert nested.subtype(tries, "(110)").columns[-1] == "obj_pos" and nested.subtype(tries, "(000)").columns == ["rec_id", "pos", "sub_pos", "parent"]
     nested.write_variants(tries, str(tmp_path / "v"))
-    assert {p.name for p in (tmp_path / "v").iterdir() if p.is_dir()} == {"variant=(11+)", "variant=(000)", "variant=(11e)", "variant=(110)"}
+    assert {p.name for p in (tmp_path / "v").iterdir() if p.is_dir()} == {"variant=(11@(~1~))", "variant=(11@(11))", "variant=(000)", "variant=(11e)", "variant=(110)"}
 
 
 def test_optional_objects(spark):

@@ -17,20 +17,23 @@ def test_tables_of_all_variants_add_up(spark, tmp_path):
     df = spark.createDataFrame(ROWS, SCHEMA)
     arr = nested.flatten(df, "k", Relation("arr"))
     at = nested.write_subtypes(arr, str(tmp_path / "arr"))
-    assert set(at) == {"(11+)", "(000)", "(11e)", "(100)"}
+    assert set(at) == {"(11@(1))", "(000)", "(11e)", "(100)"}
     tables = {state: spark.read.parquet(folder) for state, folder in at.items()}
     assert sum(t.count() for t in tables.values()) == arr.count() == 4
-    assert tables["(100)"].columns == ["rec_id", "pos", "sub_pos", "obj_pos"] and tables["(000)"].columns == ["rec_id", "pos", "sub_pos"]
-    assert [tuple(r)[:4] for r in tables["(11e)"].collect()] == [(1, 3, -1, "q")]
+    assert tables["(100)"].columns == ["rec_id", "pos", "sub_pos", "parent", "obj_pos"] and tables["(000)"].columns == ["rec_id", "pos", "sub_pos", "parent"]
+    assert [tuple(r)[:5] for r in tables["(11e)"].collect()] == [(1, 3, -1, "(1)", "q")]
     typed = nested.typed(arr)
-    assert typed.columns == ["rec_id", "pos", "sub_pos", "variant", "obj_pos", "n", "hops"] and typed.count() == 4
+    assert typed.columns == ["rec_id", "pos", "sub_pos", "parent", "variant", "obj_pos", "n", "hops"] and typed.count() == 4
     assert set(nested.write_subtypes(nested.flatten_object(df, "k", "opt"), str(tmp_path / "opt"))) == {"(1(0))", "(00)"}
 
 
-def test_keys_come_from_the_classified_relations(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(nq, "_relations", lambda spark, sf_dir, fields: asked.append(fields) or [("arr", nested.flatten(spark.createDataFrame(ROWS, SCHEMA), "k", Relation("arr"), fields))])
-    assert nq.p4_found(spark, "").count() == 4 and asked == [True]
+def test_one_pass_has_the_rows_of_the_relations(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    rows = nested.classify(df, "k", [Relation("arr"), Relation("arr.hops", outer="arr")])
+    assert sorted((r.rec_id, r.field_path, r.pos, r.sub_pos, r.parent, r.variant) for r in rows.collect()) == [
+        (1, "arr", 0, -1, "(1)", "(11@(1))"), (1, "arr", 2, -1, "(1)", "(000)"), (1, "arr", 3, -1, "(1)", "(11e)"), (1, "arr.hops", 0, 0, "(11@(1))", "(1)"), (3, "arr", 0, -1, "(1)", "(100)"),
+    ]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")

@@ -1,12 +1,15 @@
 """Nested records to flat, linked tables by structural variant.
 
-A bottom-up tree automaton reads each object: a leaf is in state ``0`` (null) or
-``1`` (present), a nested object takes its children's states, an array of objects
-is in state ``0`` (null), ``e`` (empty) or ``+`` (has elements).  The state of an
-object, its *variant*, therefore names the fields that it really has.  Each array
-of objects becomes one relation with the keys every variant shares (record id,
-place, place in the inner array) and the typed fields of that kind; a variant's
-subtype table is the part of the relation in that state, narrowed to its fields.
+A bottom-up tree automaton reads each object.  A leaf is in state ``0`` (null) or ``1``
+(present), a nested object takes its children's states between parentheses.  An array of
+objects is in state ``0`` (null), ``e`` (empty), or ``@(...)`` with the join of its
+elements' states: a field has the state that all elements give it, ``~`` where they
+differ, and a leading ``~`` tells of null elements beside others (``@0``: nothing but
+them).  Other arrays are in state ``0``, ``e`` or ``+``.  The state of an object, its
+*variant*, therefore names the fields that it really has.  Each array of objects becomes
+one relation with the keys every variant shares (record id, place, place in the inner
+array), the variant of the object around it, and the typed fields of that kind; a
+variant's subtype table is the part of the relation in that state, narrowed to its fields.
 """
 
 from __future__ import annotations
@@ -32,11 +35,25 @@ def shape_state(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
         inner = [shape_state(value[f.name], f.dataType) for f in kind.fields]
         return F.when(value.isNull(), F.lit("0")).otherwise(F.concat(F.lit("("), *inner, F.lit(")")))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        objects = F.filter(value, lambda x: x.isNotNull())
+        joined = [_join_state(objects, f) for f in kind.elementType.fields]
+        some_null = F.when(F.size(objects) < F.size(value), F.lit("~")).otherwise(F.lit(""))
+        return (
+            F.when(value.isNull(), F.lit("0")).when(F.size(value) == 0, F.lit("e")).when(F.size(objects) == 0, F.lit("@0"))
+            .otherwise(F.concat(F.lit("@("), some_null, *joined, F.lit(")")))
+        )
     if isinstance(kind, T.ArrayType):
         return F.when(value.isNull(), F.lit("0")).when(F.size(value) == 0, F.lit("e")).otherwise(F.lit("+"))
     return F.when(value.isNull(), F.lit("0")).otherwise(F.lit("1"))
 
 
+def _join_state(objects: Column, field: T.StructField) -> Column:
+    """The state that all objects give a field, or ``~``."""
+    states = F.array_distinct(F.transform(objects, lambda x: shape_state(x[field.name], field.dataType)))
+    return F.when(F.size(states) == 1, F.try_element_at(states, F.lit(1))).otherwise(F.lit("~"))
+
+
 def type_of(schema: T.StructType, path: str) -> T.DataType:
     """Type at a dotted path; arrays on the way are entered."""
     kind: T.DataType = schema
@@ -46,29 +63,62 @@ def type_of(schema: T.StructType, path: str) -> T.DataType:
     return kind
 
 
-def flatten(df: DataFrame, key: str, relation: Relation, keep_fields: bool = True) -> DataFrame:
+def _parent(df: DataFrame, path: str) -> Column:
+    """Variant of the object around a top-level relation's array: its enclosing struct, or for a column of the record itself whether it is there."""
+    outer, _, _ = path.rpartition(".")
+    if outer:
+        return shape_state(_path(outer), type_of(df.schema, outer))
+    return F.concat(F.lit("("), F.when(_path(path).isNull(), F.lit("0")).otherwise(F.lit("1")), F.lit(")"))
+
+
+def flatten(df: DataFrame, key: str, relation: Relation) -> DataFrame:
     """One row per non-null object of an array.
 
     Columns: ``rec_id`` (from ``key``), ``pos`` and ``sub_pos`` (places from 0,
     null elements counted; ``sub_pos`` is -1 unless the array lies in another
-    array of objects, whose place is then ``pos``), ``variant``, and the object's
-    fields under ``obj``, so that fields named like a key cannot clash with it.
-    Null and empty arrays, null parents and null elements give no row; a null key
-    stays as a null ``rec_id``; repeated records give repeated rows.
+    array of objects, whose place is then ``pos``), ``parent`` (variant of the object
+    around the array), ``variant``, and the object's fields under ``obj``, so that
+    fields named like a key cannot clash with it.  Null and empty arrays, null parents
+    and null elements give no row; a null key stays as a null ``rec_id``; repeated
+    records give repeated rows.
     """
     kind = type_of(df.schema, relation.path)
     assert isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType), relation.path
     id_col = F.col(f"`{key}`").alias("rec_id")
     if relation.outer is None:
-        rows = df.select(id_col, F.posexplode(_path(relation.path)).alias("pos", "obj")).withColumn("sub_pos", F.lit(-1))
+        rows = df.select(id_col, _parent(df, relation.path).alias("parent"), F.posexplode(_path(relation.path)).alias("pos", "obj")).withColumn("sub_pos", F.lit(-1))
     else:
         field = relation.path[len(relation.outer) + 1 :]
+        around = type_of(df.schema, relation.outer)
         outer = df.select(id_col, F.posexplode(_path(relation.outer)).alias("pos", "outer"))
-        rows = outer.select("rec_id", "pos", F.posexplode(F.col("outer")[field]).alias("sub_pos", "obj"))
-    rows = rows.filter(F.col("obj").isNotNull())
-    if not keep_fields:
-        return rows.select(*KEYS)
-    return rows.select(*KEYS, shape_state(F.col("obj"), kind.elementType).alias("variant"), "obj")
+        rows = outer.select("rec_id", "pos", shape_state(F.col("outer"), around.elementType).alias("parent"), F.posexplode(F.col("outer")[field]).alias("sub_pos", "obj"))
+    return rows.filter(F.col("obj").isNotNull()).select(*KEYS, "parent", shape_state(F.col("obj"), kind.elementType).alias("variant"), "obj")
+
+
+def _entries(df: DataFrame, relation: Relation) -> Column:
+    """An array's objects as structs of place, parent and variant."""
+    kind, path = type_of(df.schema, relation.path).elementType, relation.path
+
+    def entry(x: Column, pos: Column, sub_pos: Column, parent: Column) -> Column:
+        return F.struct(F.lit(path).alias("field_path"), pos.cast("int").alias("pos"), sub_pos.cast("int").alias("sub_pos"), parent.alias("parent"), shape_state(x, kind).alias("variant"))
+
+    if relation.outer is None:
+        parent = _parent(df, path)
+        found = F.transform(_path(path), lambda x, i: entry(x, i, F.lit(-1), parent))
+    else:
+        field, around = path[len(relation.outer) + 1 :], type_of(df.schema, relation.outer).elementType
+        inner = F.transform(_path(relation.outer), lambda a, i: F.transform(a[field], lambda x, j: entry(x, i, j, shape_state(a, around))))
+        found = F.flatten(F.filter(inner, lambda each: each.isNotNull()))
+    return F.coalesce(F.filter(found, lambda x: x["variant"] != "0"), F.array())
+
+
+def classify(df: DataFrame, key: str, relations: Iterable[Relation]) -> DataFrame:
+    """Keys, ``field_path``, ``parent`` and ``variant`` of the objects of several arrays of one table, in one pass over it.
+
+    The rows are those of ``flatten`` without the fields.
+    """
+    rows = df.select(F.col(f"`{key}`").alias("rec_id"), F.explode(F.concat(*[_entries(df, r) for r in relations])).alias("o"))
+    return rows.select("rec_id", "o.*")
 
 
 def flatten_object(df: DataFrame, key: str, path: str) -> DataFrame:
@@ -103,12 +153,12 @@ def present_fields(variant: str, kind: T.StructType) -> list[str]:
 
 
 def subtype(rows: DataFrame, variant: str) -> DataFrame:
-    """Typed table of one variant: the shared keys and only the fields it has.
+    """Typed table of one variant: the shared keys, the parent's variant and only the fields it has.
 
     Fields named like a key get the prefix ``obj_``.
     """
     kind = rows.schema["obj"].dataType
-    keys = [k for k in KEYS if k in rows.columns]
+    keys = [k for k in (*KEYS, "parent") if k in rows.columns]
     fields = [F.col("obj")[n].alias(f"obj_{n}" if n in keys else n) for n in present_fields(variant, kind)]
     return rows.filter(F.col("variant") == variant).select(*keys, *fields)
 
@@ -128,10 +178,10 @@ def write_subtypes(rows: DataFrame, folder: str) -> dict[str, str]:
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """All subtype tables of a relation, one below the other: keys, ``variant``, and typed fields, null where the variant lacks them."""
+    """All subtype tables of a relation, one below the other: keys, ``parent``, ``variant``, and typed fields, null where the variant lacks them."""
     kind = rows.schema["obj"].dataType
-    keys = [k for k in KEYS if k in rows.columns]
-    return rows.select(*keys, "variant", *[F.col("obj")[n].alias(f"obj_{n}" if n in (*keys, "variant") else n) for n in kind.fieldNames()])
+    keys = [k for k in (*KEYS, "parent", "variant") if k in rows.columns]
+    return rows.select(*keys, *[F.col("obj")[n].alias(f"obj_{n}" if n in keys else n) for n in kind.fieldNames()])
 
 
 def write_variants(rows: DataFrame, folder: str) -> None:
@@ -148,6 +198,9 @@ def _path(path: str) -> Column:
 
 
 def _read_state(text: str, at: int) -> tuple[str, int]:
+    if text[at] == "@":
+        inner, end = _read_state(text, at + 1)
+        return "@" + inner, end
     if text[at] != "(":
         return text[at], at + 1
     depth, end = 0, at

@@ -16,31 +16,36 @@ RESPONSES = (
 )
 
 
-def _relations(spark: SparkSession, sf_dir: str, fields: bool) -> list[tuple[str, DataFrame]]:
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, parents' variants and variants of all objects; each table is read once."""
+    evaluation = nested.classify(table(spark, sf_dir, "model_evaluation"), "eval_id", EVALUATION)
+    return evaluation.unionByName(nested.classify(table(spark, sf_dir, "model_responses"), "response_id", RESPONSES))
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     evaluation, responses = table(spark, sf_dir, "model_evaluation"), table(spark, sf_dir, "model_responses")
-    return [(r.path, nested.flatten(evaluation, "eval_id", r, fields)) for r in EVALUATION] + [
-        (r.path, nested.flatten(responses, "response_id", r, fields)) for r in RESPONSES
-    ]
+    return [(r.path, nested.flatten(evaluation, "eval_id", r)) for r in EVALUATION] + [(r.path, nested.flatten(responses, "response_id", r)) for r in RESPONSES]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every non-null object with its record and its place: the keys of the classified relations."""
-    return nested.supertype(_relations(spark, sf_dir, True))
+    """Every non-null object with its record and its place: the common keys of the objects that the automaton puts into a variant."""
+    return _classified(spark, sf_dir).select("rec_id", "field_path", "pos", "sub_pos")
 
 
 def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of each structural variant of each array."""
-    out = None
-    for path, rows in _relations(spark, sf_dir, True):
-        part = rows.groupBy("variant").agg(F.count("*").alias("n_objects")).withColumn("field_path", F.lit(path))
-        out = part if out is None else out.unionByName(part)
-    return out.select("field_path", "variant", "n_objects")
+    return _classified(spark, sf_dir).groupBy("field_path", "variant").agg(F.count("*").alias("n_objects"))
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of each variant by the variant of the object around them."""
+    return _classified(spark, sf_dir).groupBy("field_path", "parent", "variant").agg(F.count("*").alias("n_objects"))
 
 
 def p4_parse_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subtype table of the predicted tokens that have every field."""
+    """Subtype table of the predicted tokens that have every field; ``p4_parse_typed`` has the other variants."""
     rows = nested.flatten(table(spark, sf_dir, "model_evaluation"), "eval_id", Relation("llm_parse"))
-    return nested.subtype(rows, "(11111)")
+    return nested.subtype(rows, "(11111)").drop("parent")
 
 
 def p4_usage_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def _typed(name: str, relation: Relation, key: str, source: str):
 
 def write_all(spark: SparkSession, sf_dir: str, folder: str) -> dict[tuple[str, str], str]:
     """Writes the subtype table of every variant of the five arrays and of usage; folders by path and variant."""
-    parts = [*_relations(spark, sf_dir, True), ("usage", nested.flatten_object(table(spark, sf_dir, "model_responses"), "response_id", "usage"))]
+    parts = [*_relations(spark, sf_dir), ("usage", nested.flatten_object(table(spark, sf_dir, "model_responses"), "response_id", "usage"))]
     return {(path, state): at for path, rows in parts for state, at in nested.write_subtypes(rows, f"{folder}/{path}").items()}
 
 
@@ -77,45 +82,62 @@ TYPED = {
     )
 }
 
-QUERIES = {"p4_found": p4_found, "p4_variants": p4_variants, "p4_parse_tokens": p4_parse_tokens, "p4_usage_parts": p4_usage_parts} | TYPED
+QUERIES = {"p4_found": p4_found, "p4_variants": p4_variants, "p4_links": p4_links, "p4_parse_tokens": p4_parse_tokens, "p4_usage_parts": p4_usage_parts} | TYPED
 
 
-def _bits(value: str, fields: str) -> str:
-    return " || ".join(f"CASE WHEN {value}.{f} IS NULL THEN '0' ELSE '1' END" for f in fields.split())
+# fixed values: fields of the nested columns; a list holds the fields of an array's objects
+_GOLD = dict.fromkeys("id form lemma upos xpos feats head deprel".split())
+_PARSE = dict.fromkeys("id form upos head deprel".split())
+_EXAMPLE = dict.fromkeys("rnk train_sent_id sim".split())
+_HOP = dict.fromkeys("hop_no relay ms".split())
+_ATTEMPT = {"attempt_no": None, "err": None, "backoff_ms": None, "hops": [_HOP]}
+_CONFIG = {
+    "model_name": None, "temperature": None, "top_p": None, "seed": None, "reasoning_effort": None, "response_format": {"fmt": None}, "max_tokens": None,
+    "retrieval": {"retrieval_method": None, "examples": [_EXAMPLE]}, "attempts": [_ATTEMPT],
+}
+_USAGE = {"prompt_tokens": None, "completion_tokens": None, "total_tokens": None, "details": {"reasoning_tokens": None, "cached_tokens": None}}
+
+
+def _state(value: str, fields, depth: int = 0) -> str:
+    """State of a value in the automaton, as SQL."""
+    if fields is None:
+        return f"CASE WHEN {value} IS NULL THEN '0' ELSE '1' END"
+    if isinstance(fields, dict):
+        return f"CASE WHEN {value} IS NULL THEN '0' ELSE '(' || " + " || ".join(_state(f"{value}.{n}", f, depth) for n, f in fields.items()) + " || ')' END"
+    x, objects = f"x{depth}", f"list_filter({value}, lambda n{depth}: n{depth} IS NOT NULL)"
+    states = [f"list_distinct(list_transform({objects}, lambda {x}: {_state(f'{x}.{n}', f, depth + 1)}))" for n, f in fields[0].items()]
+    joined = " || ".join(f"CASE WHEN len({s}) = 1 THEN ({s})[1] ELSE '~' END" for s in states)
+    return (
+        f"CASE WHEN {value} IS NULL THEN '0' WHEN len({value}) = 0 THEN 'e' WHEN len({objects}) = 0 THEN '@0' "
+        f"ELSE '@(' || CASE WHEN len({objects}) < len({value}) THEN '~' ELSE '' END || {joined} || ')' END"
+    )
 
 
-def _array(value: str) -> str:
-    return f"CASE WHEN {value} IS NULL THEN '0' WHEN len({value}) = 0 THEN 'e' ELSE '+' END"
+def _explode(key: str, path: str, source: str, parent: str) -> str:
+    return f"SELECT {key} AS rec_id, {parent} AS parent, unnest({path}) AS obj, generate_subscripts({path}, 1) - 1 AS pos, -1 AS sub_pos FROM {source}"
 
 
-_EXPLODE = "SELECT {key} AS rec_id, unnest({path}) AS obj, generate_subscripts({path}, 1) - 1 AS pos FROM {table}"
 _HOPS = (
-    "SELECT rec_id, pos, unnest(obj.hops) AS hop, generate_subscripts(obj.hops, 1) - 1 AS sub_pos FROM "
-    "(SELECT response_id AS rec_id, unnest(model_config.attempts) AS obj, generate_subscripts(model_config.attempts, 1) - 1 AS pos FROM model_responses)"
+    f"SELECT rec_id, {_state('att', _ATTEMPT)} AS parent, unnest(att.hops) AS obj, pos, generate_subscripts(att.hops, 1) - 1 AS sub_pos FROM "
+    "(SELECT response_id AS rec_id, unnest(model_config.attempts) AS att, generate_subscripts(model_config.attempts, 1) - 1 AS pos FROM model_responses)"
 )
 _PARTS = [
-    ("gold", _EXPLODE.format(key="eval_id", path="gold", table="model_evaluation"), _bits("obj", "id form lemma upos xpos feats head deprel")),
-    ("llm_parse", _EXPLODE.format(key="eval_id", path="llm_parse", table="model_evaluation"), _bits("obj", "id form upos head deprel")),
-    ("model_config.retrieval.examples", _EXPLODE.format(key="response_id", path="model_config.retrieval.examples", table="model_responses"), _bits("obj", "rnk train_sent_id sim")),
-    ("model_config.attempts", _EXPLODE.format(key="response_id", path="model_config.attempts", table="model_responses"), _bits("obj", "attempt_no err backoff_ms") + " || " + _array("obj.hops")),
+    ("gold", _explode("eval_id", "gold", "model_evaluation", "'(1)'"), _GOLD, "p4_gold_typed"),
+    ("llm_parse", _explode("eval_id", "llm_parse", "model_evaluation", "'(1)'"), _PARSE, "p4_parse_typed"),
+    ("model_config.retrieval.examples", _explode("response_id", "model_config.retrieval.examples", "model_responses", _state("model_config.retrieval", _CONFIG["retrieval"])), _EXAMPLE, "p4_examples_typed"),
+    ("model_config.attempts", _explode("response_id", "model_config.attempts", "model_responses", _state("model_config", _CONFIG)), _ATTEMPT, "p4_attempts_typed"),
+    ("model_config.attempts.hops", _HOPS, _HOP, "p4_hops_typed"),
 ]
+_KEYS = "rec_id, CAST(pos AS INTEGER) AS pos, CAST(sub_pos AS INTEGER) AS sub_pos"
+_OBJECTS = " UNION ALL ".join(f"SELECT {_KEYS}, '{p}' AS field_path, parent, {_state('obj', f)} AS variant FROM ({q}) WHERE obj IS NOT NULL" for p, q, f, _ in _PARTS)
 
 SQL = {
-    "p4_found": " UNION ALL ".join(
-        f"SELECT rec_id, '{p}' AS field_path, CAST(pos AS INTEGER) AS pos, -1 AS sub_pos FROM ({q}) WHERE obj IS NOT NULL" for p, q, _ in _PARTS
-    )
-    + f" UNION ALL SELECT rec_id, 'model_config.attempts.hops' AS field_path, CAST(pos AS INTEGER) AS pos, CAST(sub_pos AS INTEGER) AS sub_pos FROM ({_HOPS}) WHERE hop IS NOT NULL",
-    "p4_variants": " UNION ALL ".join(
-        f"SELECT '{p}' AS field_path, '(' || {v} || ')' AS variant, count(*) AS n_objects FROM ({q}) WHERE obj IS NOT NULL GROUP BY 2" for p, q, v in _PARTS
-    )
-    + f" UNION ALL SELECT 'model_config.attempts.hops' AS field_path, '(' || {_bits('hop', 'hop_no relay ms')} || ')' AS variant, count(*) AS n_objects FROM ({_HOPS}) WHERE hop IS NOT NULL GROUP BY 2",
-    "p4_parse_tokens": "SELECT rec_id, CAST(pos AS INTEGER) AS pos, -1 AS sub_pos, obj.id AS id, obj.form AS form, obj.upos AS upos, obj.head AS head, obj.deprel AS deprel FROM ("
-    + _PARTS[1][1]
-    + ") WHERE obj.id IS NOT NULL AND obj.form IS NOT NULL AND obj.upos IS NOT NULL AND obj.head IS NOT NULL AND obj.deprel IS NOT NULL",
-    "p4_usage_parts": "SELECT response_id AS rec_id, '(' || "
-    + _bits("usage", "prompt_tokens completion_tokens total_tokens")
-    + " || CASE WHEN usage.details IS NULL THEN '0' ELSE '(' || "
-    + _bits("usage.details", "reasoning_tokens cached_tokens")
-    + " || ')' END || ')' AS variant, usage.prompt_tokens AS prompt_tokens, usage.completion_tokens AS completion_tokens, usage.total_tokens AS total_tokens,"
+    "p4_found": f"SELECT rec_id, field_path, pos, sub_pos FROM ({_OBJECTS})",
+    "p4_variants": f"SELECT field_path, variant, count(*) AS n_objects FROM ({_OBJECTS}) GROUP BY 1, 2",
+    "p4_links": f"SELECT field_path, parent, variant, count(*) AS n_objects FROM ({_OBJECTS}) GROUP BY 1, 2, 3",
+    "p4_parse_tokens": f"SELECT {_KEYS}, obj.id AS id, obj.form AS form, obj.upos AS upos, obj.head AS head, obj.deprel AS deprel FROM ({_PARTS[1][1]}) WHERE {_state('obj', _PARSE)} = '(11111)'",
+    "p4_usage_parts": f"SELECT response_id AS rec_id, {_state('usage', _USAGE)} AS variant, usage.prompt_tokens AS prompt_tokens, usage.completion_tokens AS completion_tokens, usage.total_tokens AS total_tokens,"
     " usage.details.reasoning_tokens AS reasoning_tokens, usage.details.cached_tokens AS cached_tokens FROM model_responses WHERE usage IS NOT NULL",
+} | {
+    name: f"SELECT {_KEYS}, parent, {_state('obj', f)} AS variant, " + ", ".join(f"obj.{n} AS {n}" for n in f) + f" FROM ({q}) WHERE obj IS NOT NULL" for _, q, f, name in _PARTS
 }
