@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,14 +72,46 @@ def test_copies_and_empty(spark):
         overlap.near_classes(spark.createDataFrame([("a", True, True)], "s string, left boolean, right boolean"), per=5)
 
 
-def test_prefix_cannot_be_destroyed():
-    import numpy as np
-
-    counts = np.ones(overlap.BUCKETS, dtype=int)
-    hashes = overlap.grams("abcdefghijklmnopqrstuvwxyz" * 2, 5)
-    kept = overlap.prefix(hashes, counts, 3, 5)
-    places, need, reach = sorted(p for _, p in kept), 0, -1
-    for p in places:
+def needed(places, q):
+    need, reach = 0, -1
+    for p in sorted(places):
         if p >= reach:
-            need, reach = need + 1, p + 5
-    assert need >= 4 and len(kept) < len(hashes)
+            need, reach = need + 1, p + q
+    return need
+
+
+def test_prefixes_are_the_shortest_that_cannot_be_destroyed():
+    rng = random.Random(6)
+    texts = ["abcdefghijklmnopqrstuvwxyz" * 2, "a" * 40, "ab", "zürich𝐖" * 9] + ["".join(rng.choice("abc") for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    own = overlap.Strings(texts)
+    counts = np.array([rng.randrange(9) for _ in range(64)])
+    for q, edits in ((5, 3), (2, 1), (5, 0), (5, 40)):
+        owner, place, hashes = own.grams(q)
+        assert [(int(o), int(p)) for o, p in zip(owner, place)] == [(o, p) for o, t in enumerate(texts) for p in range(len(t) - q + 1)]
+        by_text = {}
+        for o, p, h in zip(owner, place, hashes):
+            assert by_text.setdefault(texts[o][p : p + q], h) == h
+        kept = overlap.prefixes(owner, place, hashes, counts, np.full(len(texts), edits), q)
+        for o in range(len(texts)):
+            mine = [(counts[int(h % np.uint64(64))], h, p, k) for x, p, h, k in zip(owner, place, hashes, kept) if x == o]
+            keys = sorted({(c, h) for c, h, *_ in mine})
+            want = set()
+            for key in keys:
+                want |= {p for c, h, p, _ in mine if (c, h) == key}
+                if needed(want, q) > edits:
+                    break
+            assert {p for *_, p, k in mine if k} == want
+
+
+def test_sketches_bound_the_edits():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(50)) for _ in range(50)]
+    moved = [edited(rng, t, 3) for t in texts]
+    a, b = overlap.Strings(texts).sketches(), overlap.Strings(moved).sketches()
+    assert max(sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in zip(i, j)) for i, j in zip(a, b)) <= 12
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{n * 7919 % 10007}" for n in range(4_000))
+    rows = [(1, "train", text, None, None), (2, "dev", text.replace("w1", "v1"), None, None), (3, "dev", text[:-9_000], None, None), (4, "test", "a b c d e f", None, None)]
+    assert run(spark, rows) == [(1, 2)]

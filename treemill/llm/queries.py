@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treemill.llm import encoding, leakage, neighbours, overlap, pairs, quality, truncation
 from treemill.plans.session import table
 
 
 # -- problem 1 ----------------------------------------------------------------
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = table(spark, sf_dir, "treebank_sentences")
-    side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("dev", "test"), 1)
-    return overlap.cross_split_pairs(sentences, "sent_key", "text", side)
+def _side() -> Column:
+    return F.when(F.col("split") == "train", 0).when(F.col("split").isin("dev", "test"), 1)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a training sentence and an equal or almost equal held-out one."""
-    return _overlaps(spark, sf_dir).select(F.col("key_a").alias("sent_key_a"), F.col("key_b").alias("sent_key_b"))
+    found = overlap.cross_split_pairs(table(spark, sf_dir, "treebank_sentences"), "sent_key", "text", _side())
+    return found.select(F.col("key_a").alias("sent_key_a"), F.col("key_b").alias("sent_key_b"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping pairs, and held-out rows with a partner, per split and source."""
-    rows = table(spark, sf_dir, "treebank_sentences").select("sent_key", "split", F.split("sent_id", "-")[0].alias("source"))
-    pairs = _overlaps(spark, sf_dir).select(F.explode(F.array("key_a", "key_b")).alias("sent_key"))
-    counted = pairs.groupBy("sent_key").agg(F.count("*").alias("n"))
-    return counted.join(rows, "sent_key").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_rows"))
+    """Overlapping pairs, and rows with a partner, per split and source."""
+    sentences = table(spark, sf_dir, "treebank_sentences")
+    rows = sentences.select(F.col("sent_key").alias("key"), "split", F.split("sent_id", "-")[0].alias("source"))
+    counted = overlap.partners(sentences, "sent_key", "text", _side())
+    return counted.join(rows, "key").groupBy("split", "source").agg(F.sum("n_partners").alias("n_pairs"), F.count("*").alias("n_rows"))
 
 
 # -- problem 2 ----------------------------------------------------------------
@@ -117,8 +118,29 @@ QUERIES = {
     "p8_found": p8_found, "p8_figures": p8_figures,
 }
 
-#: Brute force over all pairs; only the pairs with a high cosine can be mutual.
+def _words_sql(text: str) -> str:
+    """The words of a text, as an SQL list: compatibility decomposition by translating every character that stands for one other, and ligatures."""
+    return f"regexp_extract_all(regexp_replace(lower(strip_accents(replace(replace(translate({text}, '{_FROM}', '{_TO}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'))), '[\\p{{M}}\\p{{Cf}}]+', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+#: Characters whose compatibility decomposition is one letter or digit of ASCII, and that one.
+_SAME = [(chr(c), d) for c in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)] if len(d := unicodedata.normalize("NFKD", chr(c))) == 1 and d.isascii() and d.isalnum()]
+_FROM, _TO = "".join(a for a, _ in _SAME), "".join(b for _, b in _SAME)
+
+_P1 = f"""WITH w AS (SELECT sent_key, split, split_part(sent_id, '-', 1) AS source, {_words_sql('text')} AS w FROM treebank_sentences WHERE split IN ('train', 'dev', 'test')),
+  s AS MATERIALIZED (SELECT sent_key, split, source, array_to_string(w, '') AS s FROM w WHERE len(w) >= 6),
+  p AS (SELECT a.sent_key AS x, b.sent_key AS y FROM s a JOIN s b ON a.split = 'train' AND b.split <> 'train' AND abs(length(a.s) - length(b.s)) <= greatest(length(a.s), length(b.s)) // 10
+    AND CASE WHEN a.s = b.s THEN TRUE ELSE levenshtein(a.s, b.s) <= greatest(length(a.s), length(b.s)) // 10 END)"""
+_P7 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM documents), i AS (SELECT item_id, {_words_sql('text')} AS w FROM eval_items),
+  dw AS (SELECT r, doc_id, array_to_string(w[k + 1 : k + 13], ' ') AS run FROM (SELECT r, doc_id, w, unnest(range(len(w) - 12)) AS k FROM d WHERE len(w) >= 13)),
+  iw AS (SELECT DISTINCT item_id, array_to_string(w[k + 1 : k + 13], ' ') AS run FROM (SELECT item_id, w, unnest(range(len(w) - 12)) AS k FROM i WHERE len(w) >= 13))"""
+
+#: Brute force over all pairs, and over all runs of 13 words; of the pool only the pairs with a high cosine can be mutual.
 SQL: dict[str, str] = {
+    "p1_found": f"{_P1} SELECT least(x, y) AS sent_key_a, greatest(x, y) AS sent_key_b FROM p",
+    "p1_report": f"{_P1}, e AS (SELECT x AS k FROM p UNION ALL SELECT y FROM p), n AS (SELECT k, count(*) AS n FROM e GROUP BY 1) "
+    "SELECT split, source, CAST(sum(n) AS BIGINT) AS n_pairs, count(*) AS n_rows FROM n JOIN s ON s.sent_key = n.k GROUP BY 1, 2",
+    "p7_found": f"{_P7} SELECT doc_id, item_id FROM (SELECT DISTINCT r, doc_id, item_id FROM dw JOIN iw USING (run))",
     "p5_found": """WITH p AS (SELECT pool_id, CAST(vectors AS DOUBLE[]) AS v FROM train_pool WHERE len(list_filter(vectors, lambda x: x <> 0)) > 0),
       c AS (SELECT a.pool_id AS x, b.pool_id AS y, list_cosine_similarity(a.v, b.v) AS cosine FROM p a JOIN p b ON a.pool_id <> b.pool_id AND len(a.v) = len(b.v)),
       k AS (SELECT x, y FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS place FROM c WHERE cosine >= 0.9) WHERE place <= 10)
