@@ -16,10 +16,10 @@ RESPONSES = (
 )
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys, parents' variants and variants of all objects; each table is read once."""
-    evaluation = nested.classify(table(spark, sf_dir, "model_evaluation"), "eval_id", EVALUATION)
-    return evaluation.unionByName(nested.classify(table(spark, sf_dir, "model_responses"), "response_id", RESPONSES))
+def _classified(spark: SparkSession, sf_dir: str, parents: bool = False) -> DataFrame:
+    """Keys, variants and, if asked, parents' variants of all objects; each table is read once."""
+    evaluation = nested.classify(table(spark, sf_dir, "model_evaluation"), "eval_id", EVALUATION, parents)
+    return evaluation.unionByName(nested.classify(table(spark, sf_dir, "model_responses"), "response_id", RESPONSES, parents))
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
@@ -39,7 +39,7 @@ def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of each variant by the variant of the object around them."""
-    return _classified(spark, sf_dir).groupBy("field_path", "parent", "variant").agg(F.count("*").alias("n_objects"))
+    return _classified(spark, sf_dir, parents=True).groupBy("field_path", "parent", "variant").agg(F.count("*").alias("n_objects"))
 
 
 def p4_parse_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
