@@ -65,3 +65,21 @@ def test_copies_ties_nulls_and_lengths(spark):
     assert {tuple(r) for r in neighbours.mutual(short).collect()} == {tuple(r) for r in neighbours.mutual(neighbours.nearest(df, "id", "v", k=3, factor=1.0)).collect()}
     assert set(found(neighbours.nearest(df, "id", "v", k=3, asking="id % 10 = 0"))) == {0, 10, 20}
     assert neighbours.nearest(df.limit(0), "id", "v").collect() == []
+
+
+def test_every_asking_row_gets_k_others_without_a_floor(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 120)
+    rows = clustered(3, 700)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {i: set(x) for i, x in brute(rows, 10, -2.0).items() if i % 7 == 0}
+    ask = {"least": None, "asking": "id % 7 = 0"}
+    assert found(neighbours.nearest(df, "id", "v", factor=1.0, **ask)) == want
+    got = found(neighbours.nearest(df, "id", "v", factor=3.0, **ask))
+    assert {i: len(x) for i, x in got.items()} == {i: 10 for i in want} and sum(len(got[i] & x) for i, x in want.items()) >= 0.9 * 10 * len(want)
+
+
+def test_few_rows_and_hot_vectors_without_a_floor(spark):
+    rows = [(i, [1.0, 2.0, 3.0], None, None) for i in range(200)] + [(300, [3.0, 2.0, 1.0], None, None), (301, [-1.0, -2.0, -3.0], None, None), (302, [5.0, 1.0], None, None)]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), "id", "v", k=3, least=None, factor=1.0))
+    assert set(got) == set(range(200)) | {300, 301} and all(got[i] == set([0, 1, 2, 3]) - {i} - ({3} if i > 2 else set()) for i in range(200))
+    assert got[300] == {0, 1, 2} and got[301] == {300, 0, 1}

@@ -50,10 +50,18 @@ def test_spans_hold_the_passage(spark):
     assert (row.item_id, row.n_words) == (9, 20) and words(docs.first().text[row.start : row.end]) == passage.split()
 
 
-def test_many_items_take_several_automata(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "AUTOMATON_CHARS", 100)
-    rows = [(n, " ".join(f"x{n}y{k}" for k in range(14))) for n in range(9)]
-    items = spark.createDataFrame(rows, "i long, t string")
-    blocks = list(leakage.item_blocks(items, "i", "t", 100))
-    assert len(blocks) > 3 and sorted(x for b in blocks for x in b) == rows
-    assert leakage.find_leaks(items, "i", "t", items.limit(0), "i", "t").count() == 0
+def test_many_items_are_dealt_to_parts(spark, monkeypatch):
+    rng = random.Random(7)
+    vocabulary = ["a", "b", "c", "Ça", "dé", "ee"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(n, text(rng.randint(0, 40))) for n in range(40)] + [(50, None), (51, ""), (3, text(20))]
+    docs = [(n, text(rng.randint(0, 90)) + " " + rng.choice([t for _, t in items if t])) for n in range(50)] + [(60, None), (61, ""), (7, items[3][1]), (7, items[3][1])]
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for spans in (False, True):
+        monkeypatch.setattr(leakage, "AUTOMATON_CHARS", 4_000_000)
+        whole = sorted(map(tuple, leakage.find_leaks(docs_df, "doc_id", "text", items_df, "item_id", "text", 7, spans).collect()))
+        monkeypatch.setattr(leakage, "AUTOMATON_CHARS", 150)
+        dealt = leakage.find_leaks(docs_df, "doc_id", "text", items_df, "item_id", "text", 7, spans)
+        assert sorted(map(tuple, dealt.collect())) == whole and len(whole) > 40
+    empty = leakage.find_leaks(docs_df.limit(0), "doc_id", "text", items_df, "item_id", "text", 7)
+    assert empty.collect() == [] and leakage.find_leaks(docs_df, "doc_id", "text", items_df.limit(0), "item_id", "text", 7).collect() == []

@@ -68,8 +68,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every pool row whose id is divisible by 100 the ten most similar rows with a cosine of at least 0.4, against all rows."""
-    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors", least=0.4, asking="id % 100 = 0")
+    """Of every pool row whose id is divisible by 100 the ten most similar rows, against all rows."""
+    near = neighbours.nearest(table(spark, sf_dir, "train_pool"), "pool_id", "vectors", least=None, factor=3.0, asking="id % 100 = 0")
     return near.select("query", "other", F.round("cosine", 6).alias("cosine"))
 
 
