@@ -1,7 +1,5 @@
 """Flattening of nested records."""
 
-from pyspark.sql import functions as F
-
 from treemill.operators import nested
 from treemill.operators.nested import Relation
 
@@ -23,10 +21,6 @@ def test_objects_keep_their_place(spark):
     assert keys.columns == ["rec_id", "field_path", "pos", "sub_pos"] and keys.count() == 8
     assert {(r.pos, r.parent) for r in hops.filter("sub_pos = 2").collect()} == {(0, "(11@(~1~))")}
     assert {r.parent for r in tries.collect()} == {"(1@(110))", "(1@(11@(11)))", "(1@(~~~~))"}
-    at_once = nested.classify(df, "k", [Relation("conf.tries"), Relation("conf.tries.hops", outer="conf.tries")])
-    key = lambda rows: sorted(map(str, (tuple(r) for r in rows.collect())))
-    apart = [r.select("rec_id", F.lit(p).alias("field_path"), F.col("pos").cast("int"), F.col("sub_pos").cast("int"), "parent", "variant") for p, r in (("conf.tries", tries), ("conf.tries.hops", hops))]
-    assert key(at_once) == key(apart[0].unionByName(apart[1]))
 
 
 def test_subtypes_have_the_fields_of_their_variant(spark, tmp_path):

@@ -27,13 +27,15 @@ def test_tables_of_all_variants_add_up(spark, tmp_path):
     assert set(nested.write_subtypes(nested.flatten_object(df, "k", "opt"), str(tmp_path / "opt"))) == {"(1(0))", "(00)"}
 
 
-def test_one_pass_has_the_rows_of_the_relations(spark):
+def test_keys_come_from_the_classified_relations(spark, monkeypatch):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    rows = nested.classify(df, "k", [Relation("arr"), Relation("arr.hops", outer="arr")])
-    assert sorted((r.rec_id, r.field_path, r.pos, r.sub_pos, r.parent, r.variant) for r in rows.collect()) == [
-        (1, "arr", 0, -1, "(1)", "(11@(1))"), (1, "arr", 2, -1, "(1)", "(000)"), (1, "arr", 3, -1, "(1)", "(11e)"), (1, "arr.hops", 0, 0, "(11@(1))", "(1)"), (3, "arr", 0, -1, "(1)", "(100)"),
-    ]
-    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    monkeypatch.setattr(nq, "_relations", lambda spark, sf_dir: [("arr", nested.flatten(df, "k", Relation("arr"))), ("arr.hops", nested.flatten(df, "k", Relation("arr.hops", outer="arr")))])
+    keys = nq.p4_found(spark, "")
+    assert sorted(tuple(r) for r in keys.collect()) == [(1, "arr", 0, -1), (1, "arr", 2, -1), (1, "arr", 3, -1), (1, "arr.hops", 0, 0), (3, "arr", 0, -1)]
+    assert "concat((" in keys._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")
+    assert {(r.field_path, r.parent, r.variant, r.n_objects) for r in nq.p4_links(spark, "").collect()} == {
+        ("arr", "(1)", "(11@(1))", 1), ("arr", "(1)", "(000)", 1), ("arr", "(1)", "(11e)", 1), ("arr.hops", "(11@(1))", "(1)", 1), ("arr", "(1)", "(100)", 1),
+    }
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")

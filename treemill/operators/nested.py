@@ -95,58 +95,6 @@ def flatten(df: DataFrame, key: str, relation: Relation) -> DataFrame:
     return rows.filter(F.col("obj").isNotNull()).select(*KEYS, "parent", shape_state(F.col("obj"), kind.elementType).alias("variant"), "obj")
 
 
-def _entries(df: DataFrame, relation: Relation, number: int, kinds: list[T.DataType]) -> Column:
-    """An array's objects as structs of place and the object in the slot of its relation, for ``classify``."""
-    path = relation.path
-
-    def entry(x: Column, pos: Column, sub_pos: Column) -> Column:
-        slots = [(x if n == number else F.lit(None).cast(kind)).alias(f"obj_{n}") for n, kind in enumerate(kinds)]
-        return F.struct(F.lit(number).alias("relation"), pos.cast("int").alias("pos"), sub_pos.cast("int").alias("sub_pos"), *slots)
-
-    if relation.outer is None:
-        found = F.transform(_path(path), lambda x, i: entry(x, i, F.lit(-1)))
-    else:
-        field = path[len(relation.outer) + 1 :]
-        inner = F.transform(_path(relation.outer), lambda a, i: F.transform(a[field], lambda x, j: entry(x, i, j)))
-        found = F.flatten(F.filter(inner, lambda each: each.isNotNull()))
-    return F.coalesce(found, F.array())
-
-
-def classify(df: DataFrame, key: str, relations: Iterable[Relation], parents: bool = True) -> DataFrame:
-    """Keys, ``field_path``, ``parent`` and ``variant`` of the objects of several arrays of one table, in one pass over it.
-
-    The rows are those of ``flatten`` without the fields; ``parents`` off leaves the
-    variants of the parents out.  Objects are unfolded first and read by the automaton
-    then, where its states are compiled, not within the arrays.
-    """
-    relations = list(relations)
-    kinds = [type_of(df.schema, r.path).elementType for r in relations]
-    entries = F.concat(*[_entries(df, r, n, kinds) for n, r in enumerate(relations)])
-    around: list[Column] = []
-    if parents:
-        for n, r in enumerate(relations):
-            if r.outer is None:
-                around.append(_parent(df, r.path).alias(f"around_{n}"))
-            else:
-                kind = type_of(df.schema, r.outer).elementType
-                around.append(_states_of(_path(r.outer), kind).alias(f"around_{n}"))
-    rows = df.select(F.col(f"`{key}`").alias("rec_id"), *around, F.explode(entries).alias("o"))
-    variant, path, parent = F.lit("0"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for n, (r, kind) in enumerate(zip(relations, kinds)):
-        mine = F.col("o.relation") == n
-        variant = F.when(mine, shape_state(F.col(f"o.obj_{n}"), kind)).otherwise(variant)
-        path = F.when(mine, F.lit(r.path)).otherwise(path)
-        if parents:
-            own = F.col(f"around_{n}")
-            parent = F.when(mine, own if r.outer is None else F.try_element_at(own, F.col("o.pos") + 1)).otherwise(parent)
-    wide = rows.select("rec_id", path.alias("field_path"), "o.pos", "o.sub_pos", *([parent.alias("parent")] if parents else []), variant.alias("variant"))
-    return wide.filter("variant <> '0'")
-
-
-def _states_of(array: Column, kind: T.DataType) -> Column:
-    return F.transform(array, lambda x: shape_state(x, kind))
-
-
 def flatten_object(df: DataFrame, key: str, path: str) -> DataFrame:
     """One row per non-null optional object (no array): ``rec_id``, ``variant``, ``obj``."""
     kind = type_of(df.schema, path)

@@ -16,20 +16,24 @@ RESPONSES = (
 )
 
 
-def _classified(spark: SparkSession, sf_dir: str, parents: bool = False) -> DataFrame:
-    """Keys, variants and, if asked, parents' variants of all objects; each table is read once."""
-    evaluation = nested.classify(table(spark, sf_dir, "model_evaluation"), "eval_id", EVALUATION, parents)
-    return evaluation.unionByName(nested.classify(table(spark, sf_dir, "model_responses"), "response_id", RESPONSES, parents))
-
-
 def _relations(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     evaluation, responses = table(spark, sf_dir, "model_evaluation"), table(spark, sf_dir, "model_responses")
     return [(r.path, nested.flatten(evaluation, "eval_id", r)) for r in EVALUATION] + [(r.path, nested.flatten(responses, "response_id", r)) for r in RESPONSES]
 
 
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, parents' variants and variants of all objects.  Each relation reads its own columns; unfolding all arrays of a table in one
+    pass took three times the CPU seconds, as objects are then copied within array functions."""
+    out = None
+    for path, rows in _relations(spark, sf_dir):
+        part = rows.select(F.lit(path).alias("field_path"), "parent", "variant")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-null object with its record and its place: the common keys of the objects that the automaton puts into a variant."""
-    return _classified(spark, sf_dir).select("rec_id", "field_path", "pos", "sub_pos")
+    return nested.supertype(_relations(spark, sf_dir))
 
 
 def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of each variant by the variant of the object around them."""
-    return _classified(spark, sf_dir, parents=True).groupBy("field_path", "parent", "variant").agg(F.count("*").alias("n_objects"))
+    return _classified(spark, sf_dir).groupBy("field_path", "parent", "variant").agg(F.count("*").alias("n_objects"))
 
 
 def p4_parse_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
