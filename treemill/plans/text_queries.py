@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treemill.functions import text as tx, tokens as tok
-from treemill.operators import answers, integrity, prompts, scoring, tracker
+from treemill.operators import answers, integrity, prompts, provenance, scoring, tracker
 from treemill.plans.retrieval_queries import _SENT, _sentences
 from treemill.plans.scoring_queries import _A, _ACC, CTE, _all, corpus_uas_las
 from treemill.plans.session import table
@@ -40,16 +40,16 @@ def prompt_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored user messages against those built from gold, per experiment."""
-    calls = table(spark, sf_dir, "model_responses").select("response_id", "experiment", F.col("prompt.system_msg").alias("system"), F.col("prompt.user_msg").alias("user"))
-    gold = table(spark, sf_dir, "model_evaluation").filter("size(gold) > 0").select("response_id", "text", "gold")
-    return prompts.audit(calls.join(gold, "response_id"), "experiment")
+    """First-pass messages of all calls against those built from gold, per experiment; without gold none matches."""
+    calls = table(spark, sf_dir, "model_responses").select("response_id", "sent_id", "experiment", F.col("prompt.system_msg").alias("system"), F.col("prompt.user_msg").alias("user"))
+    return prompts.audit(calls.join(_sentences(spark, sf_dir).select("sent_id", "text", "gold"), "sent_id", "left"), "experiment")
 
 
 def demonstration_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each retrieval call's system message is well formed: base and three complete examples."""
-    rows = table(spark, sf_dir, "model_responses").filter("retrieval_method is not null").select("response_id", F.col("prompt.system_msg").alias("system"))
-    return prompts.demonstration_check(rows, "response_id", "system", "Similar examples follow.")
+    """Whether each retrieval call's system message is well formed: its condition's base and three complete examples."""
+    calls = table(spark, sf_dir, "model_responses").filter(F.col("experiment").isin("few_shot_retrieval", "semantic_retrieval")).select("response_id", "experiment", F.col("prompt.system_msg").alias("system"))
+    rows = calls.join(provenance.bases(calls, "experiment"), "experiment")
+    return rows.select("response_id", F.coalesce(provenance.valid_demonstrations("system", "base"), F.lit(False)).alias("valid"))
 
 
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +205,8 @@ SQL = {
     "prompt_blocks": f"WITH {_SENT} SELECT sent_id, sha256({_BLOCK}) AS block_hash, CAST(length({_BLOCK}) AS INTEGER) AS block_chars, sha256({_USER}) AS user_hash FROM s",
     "retrieved_texts": "SELECT experiment, text, count(*) AS n FROM (SELECT experiment, unnest(regexp_extract_all(prompt.system_msg, 'Input:\\n# text = ([^\\n]+)', 1)) AS text FROM model_responses) GROUP BY 1, 2",
     "prompt_hashes": "SELECT experiment, count(*) AS calls, count(DISTINCT sha256(prompt.system_msg || chr(0) || prompt.user_msg)) AS pairs, count(DISTINCT sha256(prompt.system_msg)) AS systems FROM model_responses GROUP BY 1",
-    "prompt_audit": f"""WITH c AS (SELECT r.experiment, coalesce(r.prompt.user_msg = {_USER.replace("|| text ||", "|| e.text ||")}, FALSE) AS m, sha256(r.prompt.system_msg || chr(0) || r.prompt.user_msg) AS h
-        FROM model_responses r JOIN model_evaluation e USING (response_id) WHERE len(e.gold) > 0) SELECT experiment, count(*) AS calls, count(*) FILTER (m) AS matching, count(DISTINCT h) AS distinct_prompts, bool_and(m) AS all_match FROM c GROUP BY 1""",
+    "prompt_audit": f"""WITH {_SENT}, c AS (SELECT r.experiment, coalesce(r.prompt.user_msg = {_USER.replace("|| text ||", "|| s.text ||").replace("(gold", "(s.gold")}, FALSE) AS m, sha256(r.prompt.system_msg || chr(0) || r.prompt.user_msg) AS h
+        FROM model_responses r LEFT JOIN s ON s.sent_id = r.sent_id) SELECT experiment, count(*) AS calls, count(*) FILTER (m) AS matching, count(DISTINCT h) AS distinct_prompts, bool_and(m) AS all_match FROM c GROUP BY 1""",
     "json_extract": f"""WITH t AS (SELECT response_id, {_trim('raw_response')} AS s FROM model_responses WHERE raw_response IS NOT NULL), u AS (SELECT response_id, CASE WHEN instr(s, '{{') > 0 THEN substr(s, instr(s, '{{')) END AS part,
         CASE WHEN instr(s, '{{') > 1 THEN nullif({_trim("substr(s, 1, instr(s, chr(123)) - 1)")}, '') END AS before FROM t) SELECT response_id, md5(part) AS json_hash, CAST(length(part) AS INTEGER) AS json_chars, md5(before) AS reasoning_hash FROM u""",
     "pending_semi_join": f"""WITH {CTE} SELECT DISTINCT sent_id FROM collection_tracker WHERE upper(trim(experiment6_status, ' ')) = 'PENDING' AND sent_id IN (SELECT sent_id FROM rec WHERE cond_ord = 4 AND llm_parse IS NOT NULL)
