@@ -23,13 +23,13 @@ def latex(text: Column) -> Column:
 
 
 def percent(value: Column, places: int = 2) -> Column:
-    """A share as a percentage with fixed places."""
-    return F.format_string(f"%.{places}f", value * 100)
+    """A share as a percentage with fixed places; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", value * 100))
 
 
 def p_value(value: Column) -> Column:
-    """A p value with four places, or ``<0.0001``."""
-    return F.when(value < 0.0001, "<0.0001").otherwise(F.format_string("%.4f", value))
+    """A p value with four places, or ``<0.0001``; null stays null."""
+    return F.when(value < 0.0001, "<0.0001").when(value.isNotNull(), F.format_string("%.4f", value))
 
 
 def json_string(text: Column, ascii_only: bool = False) -> Column:

@@ -111,12 +111,19 @@ def confusions(rows: DataFrame, top: int, *by: str) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
 
 
-def churn(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
-    """Tokens whose prediction changed between two passes over the same sentences, both parsed.
+def paired(reference_rows: DataFrame, record_rows: DataFrame, first: int, second: int) -> DataFrame:
+    """``model_ord, sent_id, gold, first, second``: both conditions' parses of every sentence that both have parsed.
 
-    ``before`` and ``after`` are records with ``gold`` from the same reference.
+    ``record_rows`` are unlimited records; other conditions leave before anything is ranked.
     """
-    pair = before.select(*by, "sent_id", "gold", F.col("llm_parse").alias("first")).join(after.select(*by, "sent_id", F.col("llm_parse").alias("second")), [*by, "sent_id"])
+    rows = latest(record_rows.filter(F.col("cond_ord").isin(first, second)))
+    parse = lambda c: F.any_value(F.when(F.col("cond_ord") == c, F.col("llm_parse")), F.lit(True))  # noqa: E731  one record a condition
+    both = rows.filter("sent_id is not null and llm_parse is not null").groupBy("model_ord", "sent_id").agg(parse(first).alias("first"), parse(second).alias("second"))
+    return both.filter("first is not null and second is not null").join(reference_rows, "sent_id").select("model_ord", "sent_id", "gold", "first", "second")
+
+
+def churn(pair: DataFrame, *by: str) -> DataFrame:
+    """Tokens whose prediction changed between two passes over the same sentences: ``pair`` has ``gold, first, second``."""
 
     def change(g: Column) -> Column:
         a, b = tok.predicted(F.col("first"), g["id"]), tok.predicted(F.col("second"), g["id"])
@@ -124,7 +131,7 @@ def churn(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
         same = a["head"].eqNullSafe(b["head"]) & F.lower(F.coalesce(a["deprel"], F.lit(""))).eqNullSafe(F.lower(F.coalesce(b["deprel"], F.lit(""))))
         return F.when(same, "unchanged").when(~right[0] & right[1], "wrong_to_correct").when(right[0] & ~right[1], "correct_to_wrong").otherwise("wrong_to_wrong")
 
-    each = pair.filter("first is not null and second is not null").select(*by, "sent_id", F.transform(tok.scored(F.col("gold")), change).alias("c"))
+    each = pair.filter("first is not null and second is not null").select(*by, F.transform(tok.scored(F.col("gold")), change).alias("c"))
     count = lambda kind: F.sum(F.size(F.filter("c", lambda x: x == kind))).alias(kind)
     out = each.groupBy(*by).agg(F.count("*").alias("sentences"), F.sum(F.size("c")).alias("tokens"), *[count(k) for k in ("wrong_to_correct", "correct_to_wrong", "wrong_to_wrong")])
     return out.withColumn("changed", F.expr("wrong_to_correct + correct_to_wrong + wrong_to_wrong")).withColumn("net", F.expr("wrong_to_correct - correct_to_wrong"))

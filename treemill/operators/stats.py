@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from treemill.plans.session import cut
+
 #: Up to this many sentences, their counts are one matrix on every executor (under 60 MB for 13 columns); beyond it draws are joined.
 MATRIX_ROWS = 500_000
 #: Tasks over the resamples, and draws hashed at once (they stay in the cache).
@@ -121,7 +123,8 @@ def resample_matrix(numbered: DataFrame, columns: list[str], resamples: int, see
             out = pd.DataFrame(found, columns=["resample", *columns])
             yield out.astype({c: "Int64" for c in columns})
 
-    return spark.range(0, resamples, 1, min(TASKS, resamples)).mapInPandas(run, "resample int, " + ", ".join(f"{c} long" for c in columns))
+    tasks = min(TASKS, resamples, max(spark.sparkContext.defaultParallelism, resamples // 100))
+    return spark.range(0, resamples, 1, tasks).mapInPandas(run, "resample int, " + ", ".join(f"{c} long" for c in columns))
 
 
 def pair_differences(sums: DataFrame, columns: list[str]) -> DataFrame:
@@ -156,10 +159,72 @@ def holm(rows: DataFrame, p: str, key: str | Column, *family: str) -> DataFrame:
 def harder_half_sample(rows: DataFrame, score: str, id_col: str, n: int, seed: int) -> DataFrame:
     """``n`` rows of the lower half by ``score`` (or of the lowest ``2 n``), drawn by a seeded hash.
 
-    The cut comes from counts per score, and ties at the cut from the hash order, so
-    nothing is ranked in one task.
+    Scores are taken to four places, so there are as many as ten thousand for shares; null
+    ones come first.  The cut among ties goes by the hash.  The half is found by counts:
+    of rows per score, then within the score at the cut of rows per beginning of the
+    hash, so nothing but the rows of one such beginning is ever ordered.
+    """
+    keyed = rows.withColumn("_s", F.coalesce(F.round(F.col(score) * 10_000).cast("long"), F.lit(-(1 << 62)))).withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string"))))
+    per_score = sorted((r[0], r[1]) for r in keyed.groupBy("_s").count().collect())
+    left = max(2 * n, sum(c for _, c in per_score) // 2)
+    edge = None
+    for value, c in per_score:
+        if left < c:
+            edge = value
+            break
+        left -= c
+    if edge is None:  # no more rows than wanted
+        return keyed.orderBy("_h").limit(n).drop("_s", "_h")
+    tied = keyed.filter(F.col("_s") == edge)
+    prefix = F.substring("_h", 1, 4)
+    mark = ""
+    for value, c in sorted((r[0], r[1]) for r in tied.groupBy(prefix).count().collect()):  # at most 65,536
+        if left < c:
+            mark = value
+            break
+        left -= c
+    last = tied.filter(prefix == mark).orderBy("_h").limit(left)
+    pool = keyed.filter((F.col("_s") < edge) | (F.col("_s") == edge) & (prefix < mark)).unionByName(last)
+    return pool.orderBy("_h").limit(n).drop("_s", "_h")
+
+
+def paired_test(values: DataFrame, key: str, resamples: int, seed: int, *by: str) -> DataFrame:
+    """The older test of pairs of systems, each on its own sentences: difference of micro scores, raw p, and ``p < 0.05``.
+
+    ``values`` has for each pair (``by``) and sentence (``key``) the tokens ``n`` and the
+    right ones of both systems, ``a`` and ``b``; a row that lacks one is an error, as
+    both systems must have the same sentences.  Each pair draws as many sentences as it
+    has, by the same hashes; nothing is ranked in one task.
     """
-    total = rows.count()
-    pool = max(2 * n, total // 2)
-    h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")))
-    return rows.withColumn("_h", h).orderBy(score, "_h").limit(pool).orderBy("_h").limit(n).drop("_h")
+    whole = F.when(F.col("n").isNull() | F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("both systems of a pair must have the same sentences"))).otherwise(F.col("n"))
+    checked = values.withColumn("n", whole)
+    placed = cut(checked.repartitionByRange(*by, key).sortWithinPartitions(*by, key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33)))
+    # one row a pair and partition: where the pair begins there, and how many of its sentences stand in earlier ones
+    spans = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_held"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = spans.withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0))).withColumn("_total", F.sum("_held").over(W.partitionBy(*by))).drop("_held")
+    numbered = placed.join(starts, [*by, "_part"]).select(*by, (F.col("_before") + F.col("_at") - F.col("_first")).alias("i"), F.col("_total").alias("total"), "n", "a", "b")
+    numbered = cut(numbered)
+    largest = numbered.agg(F.max("total")).first()[0]
+    if largest is not None and largest <= MATRIX_ROWS:  # a pair's counts fit a task, as in ``resample_matrix``
+        kinds = ", ".join(f"{c} {numbered.schema[c].dataType.simpleString()}" for c in by)
+
+        def resampled(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            values = own.sort_values("i")[["n", "a", "b"]].to_numpy(float)
+            known: dict = {}
+            weights_of = [np.bincount(draws(seed, b, len(values), known), minlength=len(values)) for b in range(resamples)]
+            out = pd.DataFrame((np.array(weights_of) @ values).astype(np.int64), columns=["n", "a", "b"])
+            return out.assign(resample=np.arange(resamples), **dict(zip(by, key)))[[*by, "resample", "n", "a", "b"]]
+
+        sums = numbered.groupBy(*by).applyInPandas(resampled, f"{kinds}, resample int, n long, a long, b long")
+    else:
+        each = numbered.select(*by, "i", "total", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+        hits = each.select(*by, "resample", drawn(seed, F.col("resample"), F.col("i"), F.col("total")).alias("i")).groupBy(*by, "resample", "i").agg(F.count("*").alias("w"))
+        sums = hits.join(numbered, [*by, "i"]).groupBy(*by, "resample").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "a", "b")])
+    score = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
+    deltas = sums.select(*by, (score("a") - score("b")).alias("delta"))
+    low, high = F.count_if(F.col("delta") <= 0), F.count_if(F.col("delta") >= 0)
+    p = F.least(F.lit(1.0), 2 * F.least(low, high) / F.count("*"))
+    tested = deltas.groupBy(*by).agg(p.alias("p"))
+    seen = values.groupBy(*by).agg(F.count("*").alias("sentences"), (F.coalesce(F.try_divide(F.sum("a") - F.sum("b"), F.sum("n")), F.lit(0.0))).alias("difference"))
+    return seen.join(tested, list(by)).withColumn("significant", F.col("p") < 0.05)

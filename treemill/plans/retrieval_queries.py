@@ -77,9 +77,9 @@ def demo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_trio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three eligible sentences that cover most target labels, held-out texts not looked at."""
-    none = _held_out(spark, sf_dir).filter("false")
-    return demos.best_trio(demos.candidates(_sentences(spark, sf_dir), none))
+    """The three eligible sentences that cover most target labels; texts of the test split are held out (gold trees are of dev and test alone)."""
+    held = table(spark, sf_dir, "treebank_sentences").filter("split = 'test'").select("text")
+    return demos.best_trio(demos.candidates(_sentences(spark, sf_dir), held))
 
 
 def held_out_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 def _candidates(held: str) -> str:
-    return f"""WITH {_SENT}, {_ARCS}, h AS (SELECT DISTINCT {_STRIP.format('text')} AS key FROM treebank_sentences WHERE split IN ('dev', 'test') AND {held}),
+    return f"""WITH {_SENT}, {_ARCS}, h AS (SELECT DISTINCT {_STRIP.format('text')} AS key FROM treebank_sentences WHERE {held}),
      lab AS (SELECT sent_id, list_distinct(list_transform(gold, lambda g: split_part(g.deprel, ':', 1))) AS labels FROM s),
      c AS (SELECT s.sent_id, len(list_filter(gold, lambda g: g.upos <> 'PUNCT')) AS n_tokens, {_CROSS} AS projective, {_STRIP.format('s.text')} IN (SELECT key FROM h WHERE key IS NOT NULL) AS held_out,
        list_filter({_TARGET}, lambda x: list_contains(labels, x)) AS hits, list_filter({_TARGET}, lambda x: NOT list_contains(labels, x)) AS missed FROM s JOIN lab USING (sent_id)),
@@ -143,8 +143,8 @@ SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, sent_id ORDER BY close DESC, pool_id) AS again FROM c)
         SELECT query_id, CAST(place AS INTEGER) AS place, pool_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY close DESC, pool_id) AS place FROM o WHERE again = 1) WHERE place <= 3""",
     "projectivity": f"WITH {_SENT}, {_ARCS} SELECT sent_id, {_CROSS} AS projective FROM s",
-    "demo_candidates": f"{_candidates('TRUE')} SELECT sent_id, CAST(n_tokens AS INTEGER) AS n_tokens, length_ok, projective, held_out, array_to_string(hits, ',') AS hits, array_to_string(missed, ',') AS missed, passes FROM d",
-    "best_trio": f"""{_candidates('FALSE')}, t AS (SELECT sent_id, hits, row_number() OVER (ORDER BY len(hits) DESC, sent_id) AS i FROM d WHERE passes), u AS (SELECT * FROM t WHERE i <= 80)
+    "demo_candidates": f"{_candidates("split IN ('dev', 'test')")} SELECT sent_id, CAST(n_tokens AS INTEGER) AS n_tokens, length_ok, projective, held_out, array_to_string(hits, ',') AS hits, array_to_string(missed, ',') AS missed, passes FROM d",
+    "best_trio": f"""{_candidates("split = 'test'")}, t AS (SELECT sent_id, hits, row_number() OVER (ORDER BY len(hits) DESC, sent_id) AS i FROM d WHERE passes), u AS (SELECT * FROM t WHERE i <= 80)
         SELECT CAST(len(list_distinct(list_concat(x.hits, list_concat(y.hits, z.hits)))) AS INTEGER) AS covered, x.sent_id AS first, y.sent_id AS second, z.sent_id AS third FROM u x JOIN u y ON x.i < y.i JOIN u z ON y.i < z.i ORDER BY covered DESC, x.i, y.i, z.i LIMIT 1""",
     "held_out_anti_join": f"SELECT sent_key FROM treebank_sentences WHERE split = 'train' AND text IS NOT NULL AND {_STRIP.format('text')} NOT IN (SELECT {_STRIP.format('text')} FROM treebank_sentences WHERE split IN ('dev', 'test') AND text IS NOT NULL) UNION ALL SELECT sent_key FROM treebank_sentences WHERE split = 'train' AND text IS NULL",
 }

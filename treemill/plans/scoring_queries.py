@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from treemill.functions import tokens as tok
+from treemill.functions import text as tx, tokens as tok
 from treemill.operators import scoring, trees
 from treemill.plans.session import table
 
@@ -176,21 +176,19 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("gold_label", *[F.coalesce(F.col(c), F.lit(0)).alias(f"as_{c}") for c in tok.TARGET_LABELS])
 
 
-def _condition(spark: SparkSession, sf_dir: str, condition: int) -> DataFrame:
-    return _aligned(spark, sf_dir).filter(F.col("cond_ord") == condition)
+def _paired(spark: SparkSession, sf_dir: str, first: int, second: int) -> DataFrame:
+    rows = _all(spark, sf_dir).select(*SYS, "sent_id", "llm_parse", "evaluated_at", "eval_id")
+    return scoring.paired(scoring.reference(table(spark, sf_dir, "model_evaluation")), rows, first, second)
 
 
 def critique_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the critique pass changed the reasoning pass, per model."""
-    return scoring.churn(_condition(spark, sf_dir, 4), _condition(spark, sf_dir, 5), "model_ord")
+    return scoring.churn(_paired(spark, sf_dir, 4, 5), "model_ord")
 
 
 def token_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twelve tokens in which the two retrieval conditions differ from gold."""
-    first = _condition(spark, sf_dir, 2).select("model_ord", "sent_id", "gold", F.col("llm_parse").alias("first"))
-    second = _condition(spark, sf_dir, 3).select("model_ord", "sent_id", F.col("llm_parse").alias("second"))
-    both = first.join(second, ["model_ord", "sent_id"]).filter("first is not null and second is not null")
-    return scoring.differences(both, 12, "model_ord", "sent_id")
+    return scoring.differences(_paired(spark, sf_dir, 2, 3), 12, "model_ord", "sent_id")
 
 
 def qualitative_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +217,42 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def score_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, median and population deviation of the sentence scores of each system, missing answers as 0, and how many are 0 or 1."""
+    n = scoring.sentence_counts(_aligned(spark, sf_dir), *SYS).filter("n_tokens > 0")
+    rows = n.select(*SYS, *[(F.col(f"{c}_correct") / F.col("n_tokens")).alias(c) for c in ("uas", "las")])
+    stats = [f for c in ("uas", "las") for f in (F.avg(c).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}"), F.stddev_pop(c).alias(f"deviation_{c}"), F.count_if(F.col(c) == 0).alias(f"zeros_{c}"), F.count_if(F.col(c) == 1).alias(f"perfect_{c}"))]
+    return rows.groupBy(*SYS).agg(F.count("*").alias("sentences"), *stats)
+
+
+def failure_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per system the failed and the parsed evaluations, with mean and median of their sentences' lengths."""
+    rows = _all(spark, sf_dir).filter("gold is not null").select(*SYS, F.size("gold").alias("n"), F.col("llm_parse").isNull().alias("failed"))
+    side = lambda failed, name: [F.count_if(F.col("failed") == failed).alias(name), F.avg(F.when(F.col("failed") == failed, F.col("n"))).alias(f"{name}_mean_length"), F.median(F.when(F.col("failed") == failed, F.col("n"))).alias(f"{name}_median_length")]
+    return rows.groupBy(*SYS).agg(*side(True, "failures"), *side(False, "successes"))
+
+
+def confused_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen gold labels that each condition confuses most often, by count and then name, with their most frequent confusion."""
+    rows = scoring.confusions(scoring.facts(_aligned(spark, sf_dir, "exclude"), *SYS), 1_000, "cond_ord")
+    summed = rows.groupBy("cond_ord", "gold_label").agg(F.sum("n").alias("n"), F.min_by("pred_label", "place").alias("most_frequent"))
+    order = W.partitionBy("cond_ord").orderBy(F.desc("n"), "gold_label")
+    return summed.withColumn("place", F.row_number().over(order)).filter("place <= 15")
+
+
+def top_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen relations with most reference tokens, ties by name, and their scores for every system."""
+    order = W.orderBy(F.desc("support"), "deprel")
+    top = relation_support(spark, sf_dir).orderBy(F.desc("support"), "deprel").limit(15).withColumn("place", F.row_number().over(order))
+    return relation_las(spark, sf_dir).join(F.broadcast(top), "deprel").select(*SYS, "deprel", "place", "support", "las_correct", "las")  # fifteen rows
+
+
+def formatted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus scores as they are printed: percentages with two places."""
+    rows = corpus_uas_las(spark, sf_dir)
+    return rows.select(*SYS, tx.percent(F.col("uas")).alias("uas"), tx.percent(F.col("las")).alias("las"), tx.p_value(F.col("las") / 2000).alias("small"))
+
+
 def failure_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed and failed evaluations of each genre and kind of error, with their lengths."""
     rows = _all(spark, sf_dir)
@@ -278,7 +312,7 @@ QUERIES = {
     for f in (
         corpus_uas_las, corpus_scored_only, sentence_counts, sentence_scores, token_error_types, relation_support, relation_las, relation_from_errors, relation_pivot,
         length_bins, length_bins_legacy, arc_direction, arc_length, upos_accuracy, genre_accuracy, tree_audit, reliability_counts, reliability_rates, root_warnings,
-        deprel_prf1, deprel_confusion, confusion_matrix, critique_churn, token_diff_rows, qualitative_picks, score_distribution, failure_profile, evaluation_summary,
+        deprel_prf1, deprel_confusion, confusion_matrix, critique_churn, token_diff_rows, qualitative_picks, score_distribution, score_statistics, failure_lengths, confused_labels, top_relations, formatted_scores, failure_profile, evaluation_summary,
         usage_rollup, baseline_lengths, flatten_metrics, denominator_check, rescored_mismatch,
     )
 }
@@ -424,3 +458,14 @@ SQL = {
     "rescored_mismatch": f"""WITH {CTE}, {_counts('rec', 'model_ord, cond_ord, eval_id', 'llm_parse IS NOT NULL AND gold IS NOT NULL AND exclude_punct')}, m AS (SELECT n.*, rec.uas, rec.las FROM n JOIN rec USING (eval_id))
         SELECT n.model_ord, n.cond_ord, count(*) AS checked, count(*) FILTER (abs(n.uas * n_tokens - uas_correct) > n_tokens * 0.0001::DOUBLE) AS uas_off, count(*) FILTER (abs(n.las * n_tokens - las_correct) > n_tokens * 0.0001::DOUBLE) AS las_off FROM m n GROUP BY 1, 2""",
 }
+SQL["score_statistics"] = f"""WITH {CTE}, {_counts('al', 'model_ord, cond_ord')}, r AS (SELECT model_ord, cond_ord, uas_correct / n_tokens AS uas, las_correct / n_tokens AS las FROM n WHERE n_tokens > 0)
+  SELECT model_ord, cond_ord, count(*) AS sentences, """ + ", ".join(f"avg({c}) AS mean_{c}, median({c}) AS median_{c}, stddev_pop({c}) AS deviation_{c}, count(*) FILTER ({c} = 0) AS zeros_{c}, count(*) FILTER ({c} = 1) AS perfect_{c}" for c in ("uas", "las")) + " FROM r GROUP BY 1, 2"
+SQL["failure_lengths"] = f"""WITH {CTE}, r AS (SELECT model_ord, cond_ord, len(gold) AS n, llm_parse IS NULL AS failed FROM rec WHERE gold IS NOT NULL) SELECT model_ord, cond_ord, """ + ", ".join(
+    f"count(*) FILTER ({c}) AS {n}, avg(n) FILTER ({c}) AS {n}_mean_length, CAST(median(n) FILTER ({c}) AS DOUBLE) AS {n}_median_length" for c, n in (("failed", "failures"), ("NOT failed", "successes"))
+) + " FROM r GROUP BY 1, 2"
+SQL["confused_labels"] = f"""WITH {CTE}, {_X}, c AS (SELECT cond_ord, lower(deprel) AS gold_label, lower(p_deprel) AS pred_label, count(*) AS n FROM f WHERE uas AND NOT las GROUP BY 1, 2, 3),
+  o AS (SELECT *, row_number() OVER (PARTITION BY cond_ord, gold_label ORDER BY n DESC, pred_label ASC NULLS FIRST) AS rk FROM c), s AS (SELECT cond_ord, gold_label, CAST(sum(n) AS BIGINT) AS n, any_value(pred_label) FILTER (rk = 1) AS most_frequent FROM o GROUP BY 1, 2)
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cond_ord ORDER BY n DESC, gold_label) AS INTEGER) AS place FROM s) WHERE place <= 15"""
+SQL["top_relations"] = f"""WITH {CTE}, {_A}, t AS (SELECT *, CAST(row_number() OVER (ORDER BY support DESC, deprel) AS INTEGER) AS place FROM (SELECT g.deprel AS deprel, count(*) AS support FROM (SELECT unnest(gold) AS g FROM ref) WHERE g.upos <> 'PUNCT' GROUP BY 1)),
+  a AS (SELECT model_ord, cond_ord, deprel, {_ACC} FROM f GROUP BY 1, 2, 3) SELECT model_ord, cond_ord, deprel, place, support, las_correct, las FROM a JOIN t USING (deprel) WHERE place <= 15"""
+SQL["formatted_scores"] = f"WITH {CTE}, {_A}, t AS (SELECT model_ord, cond_ord, {_ACC} FROM f GROUP BY 1, 2) SELECT model_ord, cond_ord, printf('%.2f', uas * 100) AS uas, printf('%.2f', las * 100) AS las, CASE WHEN las / 2000 < 0.0001::DOUBLE THEN '<0.0001' ELSE printf('%.4f', las / 2000) END AS small FROM t"

@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a real cluster, once per application."""
+    """Send this package to the workers, once per application; local ones need it too where the working folder is another."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
     target = os.path.join(tempfile.mkdtemp(), "treemill.zip")
@@ -32,10 +32,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's own checkpoint folder; a local one only where none is set."""
+    """The session's checkpoint folder, from the context or ``spark.checkpoint.dir``.
+
+    Where neither is set, a temporary folder serves a local master; on a cluster, whose
+    machines do not share one, that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="treemill-cp-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+            folder = tempfile.mkdtemp(prefix="treemill-cp-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

@@ -53,8 +53,10 @@ def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled sums of right labels of the first model's six conditions."""
-    return _sums(spark, sf_dir).select("resample", *[F.col(c).alias(c[2:]) for c in COLUMNS[0]])
+    """Resampled sums of right labels of both models' six conditions."""
+    sums = _sums(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(m).alias("model_ord"), *[F.col(c).alias(c[2:]) for c in own]) for m, own in enumerate(COLUMNS)])
+    return sums.select("resample", F.explode(each).alias("m")).select("resample", "m.*")
 
 
 def _deltas(sums: DataFrame) -> DataFrame:
@@ -67,20 +69,38 @@ def _deltas(sums: DataFrame) -> DataFrame:
     return out
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.two_sided(_deltas(cut(_sums(spark, sf_dir))), by=("model_ord",))
+def _pairs(spark: SparkSession, sf_dir: str, smoothing: str = "add_one") -> DataFrame:
+    return whole_pairs(_numbered_tokens(spark, sf_dir), RESAMPLES, smoothing)
 
 
 def bootstrap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of conditions of each model with smoothed p values."""
-    return _pairs(spark, sf_dir).drop("ci_low", "ci_high")
+    """All pairs of conditions of both models: observed difference, percentile interval, smoothed p, and whether the pair is primary."""
+    return _pairs(spark, sf_dir)
 
 
 def bootstrap_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first model's pairs with raw p values and the significance flag."""
-    own = _sums(spark, sf_dir).select("resample", *[F.col(c).alias(c[2:]) for c in COLUMNS[0]])
-    out = stats.two_sided(stats.pair_differences(own, [c[2:] for c in COLUMNS[0]]), "raw")
-    return out.select("first", "second", "p", (F.col("p") < 0.05).alias("significant"))
+    """The pairs of both models with raw p values and the significance flag."""
+    return _pairs(spark, sf_dir, "raw").select("model_ord", "first", "second", "p", (F.col("p") < 0.05).alias("significant"))
+
+
+def legacy_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older test: each pair of conditions of a model on the sentences that both have parsed."""
+    return stats.paired_test(_common(spark, sf_dir), "sent_id", RESAMPLES, SEED, "model_ord", "first", "second")
+
+
+def _common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model_ord, first, second, sent_id, n, a, b`` of the sentences that both conditions of a pair have parsed."""
+    counts = scoring.sentence_counts(_aligned(spark, sf_dir, "exclude"), *SYS, "sent_id")
+    known = counts.groupBy("model_ord", "sent_id").agg(F.max("n_tokens").alias("n"), F.array_sort(F.collect_list(F.struct("cond_ord", "las_correct"))).alias("c"))  # one entry a condition
+    pairs = F.flatten(F.transform("c", lambda x: F.transform(F.filter("c", lambda y: y["cond_ord"] > x["cond_ord"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    each = known.select("model_ord", "sent_id", "n", F.explode(pairs).alias("p"))
+    name = lambda c: F.concat(F.lit("s"), F.col(f"p.{c}.cond_ord").cast("string"))
+    return each.select("model_ord", name("x").alias("first"), name("y").alias("second"), "sent_id", "n", F.col("p.x.las_correct").alias("a"), F.col("p.y.las_correct").alias("b"))
+
+
+def alignment_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and scored tokens that both conditions of each pair within a model share."""
+    return _common(spark, sf_dir).groupBy("model_ord", "first", "second").agg(F.count("*").alias("common"), F.sum("n").alias("tokens"))
 
 
 def holm_within(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,27 +179,33 @@ def alignment_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reasoning_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty evaluations with reasoning and errors, from the harder half."""
+    return reasoning_rows(spark, sf_dir, 50)
+
+
+def reasoning_rows(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """As many evaluations with reasoning and errors, from the harder half."""
     rows = table(spark, sf_dir, "model_evaluation").filter("cot_reasoning is not null and cot_reasoning <> '' and llm_parse is not null and size(token_errors) > 0")
-    return stats.harder_half_sample(rows.select("eval_id", "sent_id", "las"), "las", "eval_id", 50, SEED)
+    return stats.harder_half_sample(rows.select("eval_id", "sent_id", "las"), "las", "eval_id", n, SEED)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        bootstrap_scores, bootstrap_pairs, bootstrap_unsmoothed, holm_within, holm_primary, alignment_inner, reasoning_sample,
+        bootstrap_scores, bootstrap_pairs, bootstrap_unsmoothed, holm_within, holm_primary, legacy_significance, alignment_inner, alignment_conditions, reasoning_sample,
         bootstrap_scores_whole, bootstrap_pairs_whole, bootstrap_unsmoothed_whole, holm_within_whole, holm_primary_whole,
     )
 }
 
 _S = [f"s{c}" for c in range(6)]
 _BOOT = f"""WITH {CTE}, {_counts('al', 'model_ord, cond_ord, sent_id')},
- wide AS (SELECT model_ord, sent_id, {', '.join(f"CAST(sum(las_correct) FILTER (cond_ord = {c}) AS BIGINT) AS s{c}" for c in range(6))} FROM n GROUP BY 1, 2),
+ wide AS (SELECT model_ord, sent_id, max(n_tokens) AS tokens, {', '.join(f"CAST(sum(las_correct) FILTER (cond_ord = {c}) AS BIGINT) AS s{c}" for c in range(6))} FROM n GROUP BY 1, 2),
  num AS (SELECT *, row_number() OVER (PARTITION BY model_ord ORDER BY sent_id) - 1 AS i, count(*) OVER (PARTITION BY model_ord) AS n FROM wide),
  dr AS (SELECT model_ord, b, CAST('0x' || substr(md5('{SEED}-' || b || '-' || i), 1, 8) AS BIGINT) % n AS i FROM num, range({RESAMPLES}) AS r(b)),
- sums AS (SELECT dr.model_ord, dr.b, {', '.join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in _S)} FROM dr JOIN num ON num.model_ord = dr.model_ord AND num.i = dr.i GROUP BY 1, 2),
- dl AS ({' UNION ALL '.join(f"SELECT model_ord, b, '{a}' AS first, '{b}' AS second, {a} - {b} AS delta FROM sums" for k, a in enumerate(_S) for b in _S[k + 1:])}),
- pr AS (SELECT model_ord, first, second, count(*) AS resamples, count(*) FILTER (delta <= 0) AS at_or_below, count(*) FILTER (delta >= 0) AS at_or_above FROM dl GROUP BY 1, 2, 3),
- pp AS (SELECT *, least(1.0::DOUBLE, 2 * (least(at_or_below, at_or_above) + 1) / (resamples + 1)) AS p FROM pr)"""
+ sums AS (SELECT dr.model_ord, dr.b, CAST(sum(tokens) AS BIGINT) AS tokens, {', '.join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in _S)} FROM dr JOIN num ON num.model_ord = dr.model_ord AND num.i = dr.i GROUP BY 1, 2),
+ dl AS ({' UNION ALL '.join(f"SELECT model_ord, b, '{a}' AS first, '{b}' AS second, ({a} - {b}) / tokens AS delta FROM sums" for k, a in enumerate(_S) for b in _S[k + 1:])}),
+ pr AS (SELECT model_ord, first, second, count(*) AS resamples, count(*) FILTER (delta <= 0) AS at_or_below, count(*) FILTER (delta >= 0) AS at_or_above, quantile_cont(delta, 0.025) AS ci_low, quantile_cont(delta, 0.975) AS ci_high FROM dl GROUP BY 1, 2, 3),
+ ob AS ({' UNION ALL '.join(f"SELECT model_ord, '{a}' AS first, '{b}' AS second, (sum({a}) - sum({b})) / sum(tokens) AS difference FROM wide GROUP BY 1" for k, a in enumerate(_S) for b in _S[k + 1:])}),
+ pp AS (SELECT pr.*, difference, {' OR '.join(f"(first = '{a}' AND second = '{b}')" for a, b in PRIMARY)} AS "primary", least(1.0::DOUBLE, 2 * (least(at_or_below, at_or_above) + 1) / (resamples + 1)) AS p FROM pr JOIN ob USING (model_ord, first, second))"""
 
 
 def _holm(rows: str, family: str, key: str) -> str:
@@ -190,12 +216,21 @@ def _holm(rows: str, family: str, key: str) -> str:
 _PRIMARY = " OR ".join(f"(first = '{a}' AND second = '{b}')" for a, b in PRIMARY)
 
 SQL = {
-    "bootstrap_scores": f"{_BOOT} SELECT CAST(b AS INTEGER) AS resample, {', '.join(_S)} FROM sums WHERE model_ord = 0",
+    "bootstrap_scores": f"{_BOOT} SELECT CAST(b AS INTEGER) AS resample, model_ord, {', '.join(_S)} FROM sums",
     "bootstrap_pairs": f"{_BOOT} SELECT * FROM pp",
-    "bootstrap_unsmoothed": f"{_BOOT}, q AS (SELECT first, second, least(1.0::DOUBLE, 2 * least(at_or_below, at_or_above) / resamples) AS p FROM pr WHERE model_ord = 0) SELECT *, p < 0.05 AS significant FROM q",
+    "bootstrap_unsmoothed": f"{_BOOT}, q AS (SELECT model_ord, first, second, least(1.0::DOUBLE, 2 * least(at_or_below, at_or_above) / resamples) AS p FROM pr) SELECT *, p < 0.05 AS significant FROM q",
     "holm_within": f"{_BOOT} " + _holm("pp", "model_ord", "first, second"),
     "holm_primary": f"{_BOOT} " + _holm(f"(SELECT * FROM pp WHERE {_PRIMARY})", "1 + 0 * resamples", "model_ord, first, second"),
     "alignment_inner": f"WITH {CTE}, ok AS (SELECT * FROM last WHERE llm_parse IS NOT NULL) SELECT a.cond_ord, count(*) AS common FROM ok a JOIN ok b ON a.cond_ord = b.cond_ord AND a.sent_id = b.sent_id WHERE a.model_ord = 0 AND b.model_ord = 1 GROUP BY 1",
     "reasoning_sample": f"""WITH c AS (SELECT eval_id, sent_id, las, md5('{SEED}-' || eval_id) AS h FROM model_evaluation WHERE cot_reasoning IS NOT NULL AND cot_reasoning <> '' AND llm_parse IS NOT NULL AND len(token_errors) > 0),
         k AS (SELECT *, row_number() OVER (ORDER BY las ASC NULLS FIRST, h) AS rk, count(*) OVER () AS n FROM c) SELECT eval_id, sent_id, las FROM (SELECT * FROM k WHERE rk <= greatest(100, n // 2) ORDER BY h LIMIT 50)""",
 }
+_COMMON = f"""WITH {CTE}, {_counts('al', 'model_ord, cond_ord, sent_id', 'llm_parse IS NOT NULL')},
+  cm AS (SELECT a.model_ord, 's' || a.cond_ord AS first, 's' || b.cond_ord AS second, a.sent_id, a.n_tokens AS n, a.las_correct AS a, b.las_correct AS b FROM n a JOIN n b ON a.model_ord = b.model_ord AND a.sent_id = b.sent_id AND a.cond_ord < b.cond_ord)"""
+SQL["alignment_conditions"] = f"{_COMMON} SELECT model_ord, first, second, count(*) AS common, CAST(sum(n) AS BIGINT) AS tokens FROM cm GROUP BY 1, 2, 3"
+SQL["legacy_significance"] = f"""{_COMMON}, nm AS (SELECT *, row_number() OVER (PARTITION BY model_ord, first, second ORDER BY sent_id) - 1 AS i, count(*) OVER (PARTITION BY model_ord, first, second) AS total FROM cm),
+  dw AS (SELECT model_ord, first, second, r.b AS resample, CAST('0x' || substr(md5('{SEED}-' || r.b || '-' || i), 1, 8) AS BIGINT) % total AS i FROM nm, range({RESAMPLES}) AS r(b)),
+  sm AS (SELECT model_ord, first, second, resample, sum(n) AS n, sum(a) AS a, sum(b) AS b FROM dw JOIN nm USING (model_ord, first, second, i) GROUP BY 1, 2, 3, 4),
+  de AS (SELECT *, coalesce(a / nullif(n, 0), 0) - coalesce(b / nullif(n, 0), 0) AS delta FROM sm),
+  ps AS (SELECT model_ord, first, second, least(1.0::DOUBLE, 2 * least(count(*) FILTER (delta <= 0), count(*) FILTER (delta >= 0)) / count(*)) AS p FROM de GROUP BY 1, 2, 3)
+  SELECT model_ord, first, second, count(*) AS sentences, coalesce((sum(a) - sum(b)) / nullif(sum(n), 0), 0) AS difference, any_value(p) AS p, any_value(p) < 0.05 AS significant FROM cm JOIN ps USING (model_ord, first, second) GROUP BY 1, 2, 3"""

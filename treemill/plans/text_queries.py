@@ -11,6 +11,10 @@ from treemill.plans.scoring_queries import _A, _ACC, CTE, _all, corpus_uas_las
 from treemill.plans.session import table
 
 
+#: Experiments in the order of the tracker's columns.
+EXPERIMENTS = ("zero_shot", "few_shot_fixed", "few_shot_retrieval", "semantic_retrieval", "cot_few_shot", "critique_refine")
+
+
 def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash and length of every sentence's demonstration block and first-pass message."""
     s = _sentences(spark, sf_dir)
@@ -74,11 +78,14 @@ def reparse_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending sentences of the critique that have a parsed reasoning answer, and no critique answer yet."""
-    rows = _all(spark, sf_dir)
-    source = rows.filter("cond_ord = 4 and llm_parse is not null").select("sent_id")
-    done = table(spark, sf_dir, "model_responses").filter("experiment = 'critique_refine' and api_success").select("sent_id")
-    return tracker.backlog(table(spark, sf_dir, "collection_tracker"), "experiment6_status", source, done)
+    """Pending sentences of every experiment that stand in the dev split, without a successful call of that experiment."""
+    source = table(spark, sf_dir, "treebank_sentences").filter("split = 'dev'").select("sent_id")
+    calls = table(spark, sf_dir, "model_responses").filter("api_success").select("experiment", "sent_id")
+    rows, out = table(spark, sf_dir, "collection_tracker"), None
+    for n, name in enumerate(EXPERIMENTS, 1):
+        part = tracker.backlog(rows, f"experiment{n}_status", source, calls.filter(F.col("experiment") == name).select("sent_id")).select(F.lit(name).alias("experiment"), "sent_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +104,14 @@ def tracker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracker_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tracker with the first experiment's states from the stored calls."""
-    calls = table(spark, sf_dir, "model_responses").filter("experiment = 'zero_shot' and sent_id is not null")
-    done = calls.select("sent_id", F.when(F.col("api_success"), "DONE").otherwise("FAIL").alias("status"))
-    rows = tracker.updated(table(spark, sf_dir, "collection_tracker"), "experiment1_status", done)
-    return rows.groupBy("experiment1_status").agg(F.count("*").alias("n"))
+    """Rows of the tracker by their state in each experiment, after the states of all stored calls are set."""
+    calls = table(spark, sf_dir, "model_responses").filter("sent_id is not null")
+    done = calls.select("experiment", "sent_id", F.when(F.col("api_success"), "DONE").otherwise("FAIL").alias("status"))
+    rows = table(spark, sf_dir, "collection_tracker")
+    for n, name in enumerate(EXPERIMENTS, 1):
+        rows = tracker.updated(rows, f"experiment{n}_status", done.filter(F.col("experiment") == name).drop("experiment"))
+    columns = [f"experiment{n}_status" for n in range(1, 7)]
+    return rows.unpivot(["sent_id"], columns, "experiment", "status").groupBy("experiment", "status").agg(F.count("*").alias("n"))
 
 
 def keyset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,12 +219,18 @@ SQL = {
         FROM model_responses r LEFT JOIN s ON s.sent_id = r.sent_id) SELECT experiment, count(*) AS calls, count(*) FILTER (m) AS matching, count(DISTINCT h) AS distinct_prompts, bool_and(m) AS all_match FROM c GROUP BY 1""",
     "json_extract": f"""WITH t AS (SELECT response_id, {_trim('raw_response')} AS s FROM model_responses WHERE raw_response IS NOT NULL), u AS (SELECT response_id, CASE WHEN instr(s, '{{') > 0 THEN substr(s, instr(s, '{{')) END AS part,
         CASE WHEN instr(s, '{{') > 1 THEN nullif({_trim("substr(s, 1, instr(s, chr(123)) - 1)")}, '') END AS before FROM t) SELECT response_id, md5(part) AS json_hash, CAST(length(part) AS INTEGER) AS json_chars, md5(before) AS reasoning_hash FROM u""",
-    "pending_semi_join": f"""WITH {CTE} SELECT DISTINCT sent_id FROM collection_tracker WHERE upper(trim(experiment6_status, ' ')) = 'PENDING' AND sent_id IN (SELECT sent_id FROM rec WHERE cond_ord = 4 AND llm_parse IS NOT NULL)
-        AND sent_id NOT IN (SELECT sent_id FROM model_responses WHERE experiment = 'critique_refine' AND api_success AND sent_id IS NOT NULL)""",
+    "pending_semi_join": " UNION ALL ".join(
+        f"SELECT DISTINCT '{name}' AS experiment, sent_id FROM collection_tracker WHERE upper(trim(experiment{n}_status, ' ')) = 'PENDING' AND sent_id IN (SELECT sent_id FROM treebank_sentences WHERE split = 'dev') "
+        f"AND sent_id NOT IN (SELECT sent_id FROM model_responses WHERE experiment = '{name}' AND api_success AND sent_id IS NOT NULL)"
+        for n, name in enumerate(EXPERIMENTS, 1)
+    ),
     "resume_anti_join": "SELECT DISTINCT sent_id FROM collection_tracker WHERE upper(trim(experiment1_status, ' ')) = 'PENDING' AND sent_id IS NOT NULL AND sent_id NOT IN (SELECT sent_id FROM model_responses WHERE experiment = 'zero_shot' AND api_success AND sent_id IS NOT NULL)",
     "tracker_states": " UNION ALL ".join(f"SELECT 'experiment{n}_status' AS experiment, coalesce(upper(trim(experiment{n}_status, ' ')), 'NONE') AS state, count(*) AS n FROM collection_tracker GROUP BY 2" for n in range(1, 7)),
-    "tracker_updated": """WITH b AS (SELECT sent_id, CASE WHEN bool_or(coalesce(api_success, FALSE)) THEN 'DONE' ELSE 'FAIL' END AS st FROM model_responses WHERE experiment = 'zero_shot' AND sent_id IS NOT NULL GROUP BY 1)
-        SELECT coalesce(b.st, t.experiment1_status) AS experiment1_status, count(*) AS n FROM collection_tracker t LEFT JOIN b ON b.sent_id = t.sent_id GROUP BY 1""",
+    "tracker_updated": "WITH b AS (SELECT experiment, sent_id, CASE WHEN bool_or(coalesce(api_success, FALSE)) THEN 'DONE' ELSE 'FAIL' END AS st FROM model_responses WHERE sent_id IS NOT NULL GROUP BY 1, 2) "
+    + " UNION ALL ".join(
+        f"SELECT 'experiment{n}_status' AS experiment, coalesce(b.st, t.experiment{n}_status) AS status, count(*) AS n FROM collection_tracker t LEFT JOIN b ON b.sent_id = t.sent_id AND b.experiment = '{name}' GROUP BY 2"
+        for n, name in enumerate(EXPERIMENTS, 1)
+    ),
     "keyset_difference": "WITH a AS (SELECT DISTINCT response_id FROM model_responses WHERE response_id IS NOT NULL), b AS (SELECT DISTINCT response_id FROM model_evaluation WHERE response_id IS NOT NULL) SELECT response_id, 'first' AS side FROM a WHERE response_id NOT IN (SELECT response_id FROM b) UNION ALL SELECT response_id, 'second' FROM b WHERE response_id NOT IN (SELECT response_id FROM a)",
     "gold_mismatch": f"""WITH {CTE}, sl AS (SELECT sent_id, list_transform(gold, lambda g: {{'id': g.id, 'head': g.head, 'deprel': g.deprel}}) AS g FROM model_evaluation WHERE len(gold) > 0), rf AS (SELECT sent_id, list_transform(gold, lambda g: {{'id': g.id, 'head': g.head, 'deprel': g.deprel}}) AS r FROM ref)
         SELECT split_part(sent_id, '-', 1) AS genre, count(*) AS n, count(*) FILTER (g IS DISTINCT FROM r) AS different FROM sl JOIN rf USING (sent_id) GROUP BY 1""",
