@@ -41,7 +41,10 @@ FUNCTIONS = {
     "foreign_forms": ("forms_not_in_prompt", "forms_of_another_language"),
 }
 DEFECT = {facet: facet for facet in FUNCTIONS} | {"foreign_prose": "other_language", "foreign_forms": "other_language"}
-#: Cutoffs on the posterior; README says how they were validated.
+#: Rates of votes for a defect, without it and with it, that a function starts from; letters of another script are hardly there by accident.
+USUAL_START = (0.05, 0.8)
+STARTS = {"another_script": (0.002, 0.8)}
+#: Cutoffs on the posterior; ``validation`` chooses them on labelled calls, README has the figures.
 CUTOFFS = dict.fromkeys(FUNCTIONS, 0.5)
 
 # fixed values: frequent function words by language
@@ -71,7 +74,8 @@ _HEADS = re.compile(r"""["'](?:head|deprel)["']\s*:""")
 _ARROW = re.compile(r"(\d+)\s*(?:>|->|→)\s*(\d+)")
 _FORM = re.compile(r"""["']form["']\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""")
 _KEYS = re.compile(r"""["'](?:\w+)["']\s*:""")
-_FOREIGN = re.compile(r"[äöüßñáéíóúèàçâêîôûœìòùãõ¿¡ëï]", re.I)
+_FOREIGN = regex.compile(r"[\p{L}--\p{ASCII}]", regex.V1)
+_PARAGRAPH = re.compile(r"\n\s*\n")
 _FRAME = frozenset("input output text here is the again sentence tokens json response reponse respuesta antwort answer note message error original prompt id form".split())
 _VALID_EMPTY = "(?i)empty_response"
 _VALID_OPEN = "(?i)Unterminated|Expecting ',' delimiter|Expecting ':' delimiter|Expecting property name|Expecting value"
@@ -119,6 +123,35 @@ def scripts(text: str) -> Counter:
     return Counter({name: len(pattern.findall(text)) for name, pattern in _SCRIPTS.items()})
 
 
+def _foreign(parts: list[str], sentence: str, known: Counter, home: frozenset[str], asked_language: str) -> tuple[int, int, int, int]:
+    """Votes on the language of an answer's own prose: yes if one part is foreign, no if parts tell and none is."""
+    cast: list[tuple[int, int, int, int]] = []
+    for part in parts:
+        plain = part.replace(sentence, " ") if sentence else part
+        spoken = letters = at_home = script = ABSTAIN
+        if not plain.isascii():  # the same letters tell nothing
+            theirs, ours = scripts(plain), scripts(sentence)
+            strange = sum(n for name, n in theirs.items() if not ours[name])
+            # a writing of few spaces has more in a letter, so letters count, not words
+            script = _vote(strange >= 8 and strange > sum(theirs.values()) - strange, False)
+        own = [w for w in words(plain.replace("\\n", " ").replace("\\t", " ")) if not w.isdigit()]
+        free = [w for w in own if w not in known and w not in _FRAME]
+        if len(free) >= 4:
+            lang, score, _ = language(free)
+            same = sum(1.0 / _SHARED[w] for w in own if w in home)
+            foreign = lang is not None and lang != asked_language
+            # words that no list knows say nothing
+            spoken = _vote(foreign and score >= 1.5 and score > 1.5 * same, lang is not None and (not foreign or score < 1))
+            letters = _vote(any(_FOREIGN.search(w) for w in re.findall(r"[^\W\d_]+", plain) if w not in sentence), False)
+            if len(free) >= 8:
+                at_home = _vote(same <= 0.08 * len(free), same >= 0.2 * len(free))
+        cast.append((spoken, letters, at_home, script))
+    if not cast:
+        return ABSTAIN, ABSTAIN, ABSTAIN, ABSTAIN
+    # the part that looks most foreign stands for the answer
+    return max(cast, key=lambda c: (c.count(YES) - c.count(NO), c))
+
+
 def votes(call: Call) -> dict[str, tuple[int, ...]]:
     """The votes on each facet, those of the evaluator's message left out."""
     raw = call.raw
@@ -135,7 +168,7 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
             values = YES if _leaves_empty(json.loads(raw)) else NO
         except (ValueError, RecursionError):
             values = ABSTAIN
-    few = ABSTAIN if call.used is None else YES if call.used <= 8 else NO
+    few = ABSTAIN if call.used is None or 2 < call.used <= 8 else YES if call.used <= 2 else NO  # a few words are no empty answer
     empty = (NO if call.ending == truncation.OPEN else _vote(nothing, True), values, few)
     # truncated; the posterior of problem 3 votes when it is known for all calls
     truncated = (ABSTAIN, {truncation.OPEN: YES, truncation.WHOLE: NO}.get(call.ending, ABSTAIN))
@@ -147,9 +180,6 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
         own_text = _KEYS.sub(" ", raw)
     sentence = call.sentence
     asked_words = words(sentence)
-    plain = own_text + " " + call.thoughts if call.thoughts else own_text
-    if sentence and sentence in plain:
-        plain = plain.replace(sentence, " ")
     known = Counter(asked_words)
     own_words = words(own_text.replace("\\n", " ").replace("\\t", " ")) if own_text and not nothing else []
     real = [w for w in own_words if not w.isdigit()]
@@ -174,23 +204,9 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
     if asked_language is None or score < 2 or score < 2 * second:
         asked_language = USUAL_LANGUAGE
     home = _LANGUAGES[asked_language]
-    free = [w for w in (fresh if not call.thoughts else [*fresh, *(w for w in words(call.thoughts) if not w.isdigit() and w not in known)]) if w not in _FRAME]
-    spoken = letters = at_home = ABSTAIN
-    script = ABSTAIN  # the same letters tell nothing
-    if not plain.isascii():
-        theirs, ours = scripts(plain), scripts(sentence)
-        strange_letters = sum(n for name, n in theirs.items() if not ours[name] and n)
-        # a writing of few spaces has more in a letter, so letters count, not words
-        script = _vote(strange_letters >= 8 and strange_letters > sum(theirs.values()) - strange_letters, False)
-    if len(free) >= 4:
-        lang, score, _ = language(free)
-        same = sum(1.0 / _SHARED[w] for w in words(plain) if w in home)
-        foreign = lang is not None and lang != asked_language
-        # words that no list knows say nothing
-        spoken = _vote(foreign and score >= 1.5 and score > 1.5 * same, lang is not None and (not foreign or score < 1))
-        letters = _vote(any(_FOREIGN.search(w) for w in re.findall(r"[^\W\d_]+", plain) if w not in sentence), False)
-        if len(free) >= 8:
-            at_home = _vote(same <= 0.08 * len(free), same >= 0.2 * len(free))
+    # each paragraph and the reasoning speak for themselves, so that one in another language is not outvoted
+    parts = [part for part in (*_PARAGRAPH.split(own_text), call.thoughts) if part and not part.isspace()]
+    spoken, letters, at_home, script = _foreign(parts, sentence, known, home, asked_language)
     away = form_language = ABSTAIN
     if objects >= 3 and call.asked:
         lexical = [f for f in (a or b for a, b in _FORM.findall(raw)) if any(c.isalpha() for c in f)]
@@ -209,7 +225,7 @@ def votes(call: Call) -> dict[str, tuple[int, ...]]:
         regret = bool(_REGRET.search(text)) and not is_copy and not reasons
         alone = bool(fresh) and covered < 0.5 and not heads
         to_asker = not _ADDRESS.isdisjoint(fresh)
-        refusal = (_vote(declines, True), _vote(regret, False), ABSTAIN if YES in (spoken, script) or alone and not to_asker else _vote(alone, True))
+        refusal = (_vote(declines, True), _vote(regret, False), ABSTAIN if YES in (spoken, script, at_home) or alone and not to_asker else _vote(alone, True))
     return {
         "empty": empty, "truncated": truncated, "refusal": refusal, "copied_prompt": copied,
         "foreign_prose": (spoken, letters, at_home, script), "foreign_forms": (away, form_language),
@@ -235,48 +251,66 @@ def unpack(code: int, size: int) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
-def label_model(facet: str, counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
-    """Posterior of a facet for each vote pattern, by expectation-maximization over the counts.
+@dataclass(frozen=True)
+class LabelModel:
+    """How common a facet is, and each function's rate of votes for it, by truth."""
+
+    prior: float
+    rates: np.ndarray
+
+    def posterior(self, code: int) -> float:
+        """Of a vote pattern; 0 where all functions abstain."""
+        cast = unpack(code, len(self.rates))
+        if not any(cast):
+            return 0.0
+        odds = math.log(self.prior / (1 - self.prior))
+        for rate, v in zip(self.rates, cast):
+            if v == YES:
+                odds += math.log(rate[1] / rate[0])
+            elif v == NO:
+                odds += math.log((1 - rate[1]) / (1 - rate[0]))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
+def fit_label_model(functions: tuple[str, ...], counts: dict[int, int], rounds: int = 200) -> LabelModel:
+    """The model of a facet's functions by expectation-maximization over counted vote patterns.
 
     Functions are taken as independent given the truth; an abstention says nothing, and a
-    call on which all abstain is not accused.
-    Each function has a rate of right votes for either truth, started at mostly right and
-    smoothed by a few imagined calls.  A function is taken to find at least half of the
-    defective calls it votes on and to accuse at most three tenths of the others, so the
-    two truths cannot change places; how common the defect is, is free.
+    call on which all abstain is not accused.  Each function has a rate of right votes for
+    either truth, started at mostly right and smoothed by a few imagined calls.  A
+    function is taken to find at least half of the defective calls it votes on and to
+    accuse at most three tenths of the others, so the two truths cannot change places;
+    how common the defect is, is free.
     """
-    size = len(FUNCTIONS[facet])
-    patterns = [(unpack(code, size), code, n) for code, n in counts.items()]
-    total = sum(n for cast, _, n in patterns if any(cast))
-    rate = np.empty((size, 2))  # of a vote for the defect, by truth
-    rate[:] = 0.05, 0.8
-    prior, result = 0.02, {}
+    size = len(functions)
+    patterns = [(unpack(code, size), code, n) for code, n in counts.items() if any(unpack(code, size))]
+    total = sum(n for *_, n in patterns)
+    start = np.array([STARTS.get(name, USUAL_START) for name in functions])
+    model = LabelModel(0.02, start)
     for _ in range(rounds):
-        for cast, code, _n in patterns:
-            if not any(cast):
-                result[code] = 0.0
-                continue
-            odds = math.log(prior / (1 - prior))
-            for i, v in enumerate(cast):
-                if v == YES:
-                    odds += math.log(rate[i, 1] / rate[i, 0])
-                elif v == NO:
-                    odds += math.log((1 - rate[i, 1]) / (1 - rate[i, 0]))
-            result[code] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+        result = {code: model.posterior(code) for _, code, _n in patterns}
         mass = sum(result[code] * n for _, code, n in patterns)
-        before, prior = prior, min((mass + 0.4) / (total + 20.0), 1 - 1e-6)
-        moved = abs(prior - before)
+        prior = min((mass + 0.4) / (total + 20.0), 1 - 1e-6)
+        rates = np.empty((size, 2))
         for i in range(size):
-            yes, seen = np.array([0.2, 4.0]), np.array([4.0, 5.0])
+            seen = np.array([4.0, 5.0])
+            yes = seen * start[i]
             for cast, code, n in patterns:
                 if cast[i] != ABSTAIN:
                     share = np.array([1 - result[code], result[code]]) * n
                     seen += share
                     yes += share * (cast[i] == YES)
-            rate[i] = np.clip(yes / seen, (1e-6, 0.5), (0.3, 1 - 1e-6))
+            rates[i] = np.clip(yes / seen, (1e-6, 0.5), (0.3, 1 - 1e-6))
+        moved, model = abs(prior - model.prior), LabelModel(prior, rates)
         if moved < 1e-9:
             break
-    return result
+    return model
+
+
+def label_model(facet: str, counts: dict[int, int]) -> dict[int, float]:
+    """Posterior of a facet for each vote pattern."""
+    model = fit_label_model(FUNCTIONS[facet], counts)
+    return {code: model.posterior(code) for code in counts}
 
 
 VOTES = "response_id {kind}, empty int, truncated int, refusal int, copied_prompt int, foreign_prose int, foreign_forms int, source string"
@@ -321,6 +355,19 @@ def call_votes(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
     return joined.select("response_id", "source", empty.cast("int").alias("empty"), truncated.cast("int").alias("truncated"), *[f for f in FUNCTIONS if f not in ("empty", "truncated")])
 
 
+def counted_patterns(found: DataFrame) -> dict[str, dict[int, int]]:
+    """Calls of each vote pattern of each facet, in one pass; at most 3 ** functions patterns a facet."""
+    counts: dict[str, dict[int, int]] = {facet: {} for facet in FUNCTIONS}
+    for r in found.unpivot(["response_id"], list(FUNCTIONS), "facet", "code").groupBy("facet", "code").count().collect():
+        counts[r.facet][r.code] = r["count"]
+    return counts
+
+
+def fitted_models(found: DataFrame) -> dict[str, LabelModel]:
+    """The label model of each facet, from all calls."""
+    return {facet: fit_label_model(FUNCTIONS[facet], counts) for facet, counts in counted_patterns(found).items()}
+
+
 def defects(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
     """``response_id, defect, posterior``: one row per call and defect that passes its cutoff.
 
@@ -329,10 +376,7 @@ def defects(responses: DataFrame, evaluations: DataFrame) -> DataFrame:
     repeated calls count by themselves.
     """
     found = cut(call_votes(responses, evaluations))
-    counts: dict[str, dict[int, int]] = {facet: {} for facet in FUNCTIONS}
-    patterns = found.unpivot(["response_id"], list(FUNCTIONS), "facet", "code").groupBy("facet", "code").count()
-    for r in patterns.collect():  # at most 3 ** functions rows a facet
-        counts[r.facet][r.code] = r["count"]
+    counts = counted_patterns(found)
     parts = []
     for facet in FUNCTIONS:
         kept = {code: p for code, p in label_model(facet, counts[facet]).items() if p >= CUTOFFS[facet]} or {-1: 0.0}

@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from treemill.llm import encoding, leakage, neighbours, overlap, pairs, quality, truncation
+from treemill.llm import encoding, leakage, neighbours, overlap, pairs, quality, truncation, validation
 from treemill.plans.session import table
 
 
@@ -45,6 +45,12 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defects(spark, sf_dir).join(calls, "response_id").groupBy("experiment", "defect").agg(F.count("*").alias("n_calls"))
 
 
+def p2_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of each defect on labelled calls made from whole ones, and the cutoffs that would be best there."""
+    rows = validation.validated(table(spark, sf_dir, "model_responses"), table(spark, sf_dir, "model_evaluation"))
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "defect string, n_true int, best_from double, best_to double, cutoff double, precision double, recall double")
+
+
 # -- problem 3 ----------------------------------------------------------------
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.response_calls(table(spark, sf_dir, "model_responses"))
@@ -110,7 +116,7 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
-    "p2_found": p2_found, "p2_report": p2_report,
+    "p2_found": p2_found, "p2_report": p2_report, "p2_validation": p2_validation,
     "p3_found": p3_found, "p3_rates": p3_rates,
     "p5_found": p5_found, "p5_neighbours": p5_neighbours,
     "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip,
