@@ -45,7 +45,7 @@ DEFECT = {facet: facet for facet in FUNCTIONS} | {"foreign_prose": "other_langua
 USUAL_START = (0.05, 0.8)
 STARTS = {"another_script": (0.002, 0.8)}
 #: Cutoffs on the posterior; ``validation`` chooses them on labelled calls, README has the figures.
-CUTOFFS = dict.fromkeys(FUNCTIONS, 0.5)
+CUTOFFS = dict.fromkeys(FUNCTIONS, 0.5) | {"empty": 0.9}
 
 # fixed values: frequent function words by language
 FUNCTION_WORDS = {
