@@ -26,7 +26,7 @@ def test_objects_keep_their_place(spark):
 def test_subtypes_have_the_fields_of_their_variant(spark, tmp_path):
     tries = nested.flatten(spark.createDataFrame(ROWS, SCHEMA), "k", Relation("conf.tries"))
     table = nested.subtype(tries, "(11@(~1~))")
-    assert table.columns == ["rec_id", "pos", "sub_pos", "parent", "no", "obj_pos", "hops"] and table.count() == 1
+    assert table.columns == ["rec_id", "pos", "sub_pos", "parent", "no", "obj_pos"] and table.count() == 1
     assert nested.subtype(tries, "(110)").columns[-1] == "obj_pos" and nested.subtype(tries, "(000)").columns == ["rec_id", "pos", "sub_pos", "parent"]
     nested.write_variants(tries, str(tmp_path / "v"))
     assert {p.name for p in (tmp_path / "v").iterdir() if p.is_dir()} == {"variant=(11@(~1~))", "variant=(11@(11))", "variant=(000)", "variant=(11e)", "variant=(110)"}

@@ -23,7 +23,7 @@ def test_tables_of_all_variants_add_up(spark, tmp_path):
     assert tables["(100)"].columns == ["rec_id", "pos", "sub_pos", "parent", "obj_pos"] and tables["(000)"].columns == ["rec_id", "pos", "sub_pos", "parent"]
     assert [tuple(r)[:5] for r in tables["(11e)"].collect()] == [(1, 3, -1, "(1)", "q")]
     typed = nested.typed(arr)
-    assert typed.columns == ["rec_id", "pos", "sub_pos", "parent", "variant", "obj_pos", "n", "hops"] and typed.count() == 4
+    assert typed.columns == ["rec_id", "pos", "sub_pos", "parent", "variant", "obj_pos", "n"] and typed.count() == 4
     assert set(nested.write_subtypes(nested.flatten_object(df, "k", "opt"), str(tmp_path / "opt"))) == {"(1(0))", "(00)"}
 
 

@@ -94,17 +94,20 @@ def base_labels(tokens: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.split(t["deprel"], ":")[0])))
 
 
-def reaches_root(tokens: Column, rounds: int = 10) -> Column:
+def reaches_root(tokens: Column) -> Column:
     """Whether every token comes to head 0 by following heads; ids are 1 to n.
 
-    Pointer doubling: each round replaces a head by the head's head, so ``rounds``
-    rounds settle sentences of up to ``2 ** rounds`` tokens.
+    Pointer doubling: each round replaces a head by the head's head, so ``n`` rounds
+    settle sentences of up to ``2 ** n`` tokens.  The rounds go by the length; more than
+    a million tokens are an error, not a guess.
     """
     ordered = F.array_sort(F.transform(tokens, lambda t: F.struct(t["id"].alias("id"), t["head"].alias("head"))))
-    heads = F.transform(ordered, lambda t: t["head"])
-    for _ in range(rounds):
+    heads, settled = F.transform(ordered, lambda t: t["head"]), F.when(F.lit(False), F.lit(False))
+    for rounds in range(1, 21):
         heads = _doubled(heads)
-    return ~F.exists(heads, lambda h: h != 0)
+        if rounds in (6, 10, 20):
+            settled = settled.when(F.size(tokens) <= 2**rounds, ~F.exists(heads, lambda h: h != 0))
+    return settled.otherwise(F.raise_error(F.lit("a sentence of more than a million tokens")).cast("boolean"))
 
 
 def _doubled(heads: Column) -> Column:

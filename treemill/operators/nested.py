@@ -126,14 +126,19 @@ def present_fields(variant: str, kind: T.StructType) -> list[str]:
     return names
 
 
+def _is_relation(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+
 def subtype(rows: DataFrame, variant: str) -> DataFrame:
     """Typed table of one variant: the shared keys, the parent's variant and only the fields it has.
 
-    Fields named like a key get the prefix ``obj_``.
+    Fields named like a key get the prefix ``obj_``.  An array of objects is no field of
+    a flat table: its objects stand in a relation of their own, linked by record and place.
     """
     kind = rows.schema["obj"].dataType
     keys = [k for k in (*KEYS, "parent") if k in rows.columns]
-    fields = [F.col("obj")[n].alias(f"obj_{n}" if n in keys else n) for n in present_fields(variant, kind)]
+    fields = [F.col("obj")[n].alias(f"obj_{n}" if n in keys else n) for n in present_fields(variant, kind) if not _is_relation(kind[n].dataType)]
     return rows.filter(F.col("variant") == variant).select(*keys, *fields)
 
 
@@ -152,10 +157,10 @@ def write_subtypes(rows: DataFrame, folder: str) -> dict[str, str]:
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """All subtype tables of a relation, one below the other: keys, ``parent``, ``variant``, and typed fields, null where the variant lacks them."""
+    """All subtype tables of a relation, one below the other: keys, ``parent``, ``variant``, and typed fields, null where the variant lacks them; arrays of objects are relations of their own."""
     kind = rows.schema["obj"].dataType
     keys = [k for k in (*KEYS, "parent", "variant") if k in rows.columns]
-    return rows.select(*keys, *[F.col("obj")[n].alias(f"obj_{n}" if n in keys else n) for n in kind.fieldNames()])
+    return rows.select(*keys, *[F.col("obj")[n].alias(f"obj_{n}" if n in keys else n) for n in kind.fieldNames() if not _is_relation(kind[n].dataType)])
 
 
 def write_variants(rows: DataFrame, folder: str) -> None:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from treemill.plans.session import cut
 
 SHARD_ROWS, BLOCK_ROWS = 50_000, 4_096
+#: Queries whose products with a shard are held at once.
+AT_ONCE = 64
 # fixed values: weights of the parts of a signature
 WEIGHTS = {"length": 0.2, "tag": 0.3, "bigram": 0.4, "ratio": 0.1}
 
@@ -35,6 +37,13 @@ def vocabulary(rows: DataFrame, tags: Column, kind: str) -> DataFrame:
     return terms.withColumn("place", F.row_number().over(W.orderBy("term")) - 1)
 
 
+def vocabularies(rows: DataFrame, tags: Column) -> tuple[list[str], list[str]]:
+    """Distinct tags and distinct tag pairs, each in order, from one pass over the rows; a tag set is a closed list, so both are few."""
+    each = F.concat(F.transform(tags, lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("term"))), F.transform(bigrams(tags), lambda t: F.struct(F.lit("bigram").alias("kind"), t.alias("term"))))
+    found = rows.select(F.explode(each).alias("t")).select("t.*").filter("term is not null").distinct().collect()
+    return sorted(r.term for r in found if r.kind == "tag"), sorted(r.term for r in found if r.kind == "bigram")
+
+
 def ratios(tags: Column) -> dict[str, Column]:
     """The length features and tag ratios of a signature; null for an empty sentence."""
     n = F.size(tags)
@@ -122,7 +131,9 @@ def top_similar(queries: DataFrame, pool: DataFrame, k: int, window: bool) -> Da
             b = np.frombuffer(b"".join(right["vec"]), dtype=np.float64).reshape(len(right), -1)
             sizes, texts, keys = right["size"].to_numpy(), [str(t).strip() for t in right["text"]], right["key"].tolist()
             for n, (query, text, size) in enumerate(zip(left["query"], left["text"], left["size"])):
-                close = np.round(b @ a[n], 9)
+                if n % AT_ONCE == 0:
+                    products = np.round(a[n : n + AT_ONCE] @ b.T, 9)
+                close = products[n % AT_ONCE]
                 near = np.abs(sizes - size) <= max(3, int(0.3 * size)) if window else np.ones(len(b), dtype=bool)
                 for inside in (True, False) if window else (True,):
                     picked = _pick(np.where(near, close, -9.0) if inside else close, texts, str(text).strip(), k)

@@ -143,5 +143,5 @@ SQL = {
     "p4_usage_parts": f"SELECT response_id AS rec_id, {_state('usage', _USAGE)} AS variant, usage.prompt_tokens AS prompt_tokens, usage.completion_tokens AS completion_tokens, usage.total_tokens AS total_tokens,"
     " usage.details.reasoning_tokens AS reasoning_tokens, usage.details.cached_tokens AS cached_tokens FROM model_responses WHERE usage IS NOT NULL",
 } | {
-    name: f"SELECT {_KEYS}, parent, {_state('obj', f)} AS variant, " + ", ".join(f"obj.{n} AS {n}" for n in f) + f" FROM ({q}) WHERE obj IS NOT NULL" for _, q, f, name in _PARTS
+    name: f"SELECT {_KEYS}, parent, {_state('obj', f)} AS variant, " + ", ".join(f"obj.{n} AS {n}" for n, inner in f.items() if not isinstance(inner, list)) + f" FROM ({q}) WHERE obj IS NOT NULL" for _, q, f, name in _PARTS
 }

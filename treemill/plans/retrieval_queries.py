@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from treemill.functions import tokens as tok
 from treemill.operators import demos, retrieval, scoring
-from treemill.plans.session import table
+from treemill.plans.session import cut, table
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,8 @@ def syntactic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The query's tags are the predicted ones, the pool's are gold; sizes must be near.
     """
-    pool = _sentences(spark, sf_dir)
-    tags = [r.term for r in retrieval.vocabulary(pool, F.col("tags"), "tag").orderBy("place").collect()]
-    pairs = [r.term for r in retrieval.vocabulary(pool, F.col("tags"), "bigram").orderBy("place").collect()]
+    pool = cut(_sentences(spark, sf_dir).select("sent_id", "text", "tags"))  # ranked once; the vocabularies and the signatures read it
+    tags, pairs = retrieval.vocabularies(pool, F.col("tags"))
     queries = table(spark, sf_dir, "model_evaluation").filter("eval_id % 100 = 0 and size(llm_parse) > 0")
     queries = queries.select("eval_id", "text", F.transform(F.filter("llm_parse", lambda t: t["upos"].isNotNull()), lambda t: t["upos"]).alias("tags"))
     found = retrieval.top_similar(retrieval.signatures(queries, "eval_id", "text", "tags", tags, pairs), retrieval.signatures(pool, "sent_id", "text", "tags", tags, pairs), 3, True)

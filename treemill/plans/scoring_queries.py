@@ -221,7 +221,7 @@ def score_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median and population deviation of the sentence scores of each system, missing answers as 0, and how many are 0 or 1."""
     n = scoring.sentence_counts(_aligned(spark, sf_dir), *SYS).filter("n_tokens > 0")
     rows = n.select(*SYS, *[(F.col(f"{c}_correct") / F.col("n_tokens")).alias(c) for c in ("uas", "las")])
-    stats = [f for c in ("uas", "las") for f in (F.avg(c).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}"), F.stddev_pop(c).alias(f"deviation_{c}"), F.count_if(F.col(c) == 0).alias(f"zeros_{c}"), F.count_if(F.col(c) == 1).alias(f"perfect_{c}"))]
+    stats = [f for c in ("uas", "las") for f in (F.round(F.avg(c), 9).alias(f"mean_{c}"), F.round(F.median(c), 9).alias(f"median_{c}"), F.round(F.stddev_pop(c), 9).alias(f"deviation_{c}"), F.count_if(F.col(c) == 0).alias(f"zeros_{c}"), F.count_if(F.col(c) == 1).alias(f"perfect_{c}"))]
     return rows.groupBy(*SYS).agg(F.count("*").alias("sentences"), *stats)
 
 
@@ -459,7 +459,7 @@ SQL = {
         SELECT n.model_ord, n.cond_ord, count(*) AS checked, count(*) FILTER (abs(n.uas * n_tokens - uas_correct) > n_tokens * 0.0001::DOUBLE) AS uas_off, count(*) FILTER (abs(n.las * n_tokens - las_correct) > n_tokens * 0.0001::DOUBLE) AS las_off FROM m n GROUP BY 1, 2""",
 }
 SQL["score_statistics"] = f"""WITH {CTE}, {_counts('al', 'model_ord, cond_ord')}, r AS (SELECT model_ord, cond_ord, uas_correct / n_tokens AS uas, las_correct / n_tokens AS las FROM n WHERE n_tokens > 0)
-  SELECT model_ord, cond_ord, count(*) AS sentences, """ + ", ".join(f"avg({c}) AS mean_{c}, median({c}) AS median_{c}, stddev_pop({c}) AS deviation_{c}, count(*) FILTER ({c} = 0) AS zeros_{c}, count(*) FILTER ({c} = 1) AS perfect_{c}" for c in ("uas", "las")) + " FROM r GROUP BY 1, 2"
+  SELECT model_ord, cond_ord, count(*) AS sentences, """ + ", ".join(f"round(avg({c}), 9) AS mean_{c}, round(median({c}), 9) AS median_{c}, round(stddev_pop({c}), 9) AS deviation_{c}, count(*) FILTER ({c} = 0) AS zeros_{c}, count(*) FILTER ({c} = 1) AS perfect_{c}" for c in ("uas", "las")) + " FROM r GROUP BY 1, 2"
 SQL["failure_lengths"] = f"""WITH {CTE}, r AS (SELECT model_ord, cond_ord, len(gold) AS n, llm_parse IS NULL AS failed FROM rec WHERE gold IS NOT NULL) SELECT model_ord, cond_ord, """ + ", ".join(
     f"count(*) FILTER ({c}) AS {n}, avg(n) FILTER ({c}) AS {n}_mean_length, CAST(median(n) FILTER ({c}) AS DOUBLE) AS {n}_median_length" for c, n in (("failed", "failures"), ("NOT failed", "successes"))
 ) + " FROM r GROUP BY 1, 2"

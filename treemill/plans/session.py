@@ -13,7 +13,8 @@ _shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data folder."""
+    """One of the Parquet tables of a data folder; the workers get this package with it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -75,7 +75,8 @@ def _pairs(spark: SparkSession, sf_dir: str, smoothing: str = "add_one") -> Data
 
 def bootstrap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of conditions of both models: observed difference, percentile interval, smoothed p, and whether the pair is primary."""
-    return _pairs(spark, sf_dir)
+    rows = _pairs(spark, sf_dir)
+    return rows.select(*[F.round(c, 9).alias(c) if c in ("difference", "ci_low", "ci_high") else c for c in rows.columns])
 
 
 def bootstrap_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ def bootstrap_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legacy_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older test: each pair of conditions of a model on the sentences that both have parsed."""
-    return stats.paired_test(_common(spark, sf_dir), "sent_id", RESAMPLES, SEED, "model_ord", "first", "second")
+    return stats.paired_test(_common(spark, sf_dir), "sent_id", RESAMPLES, SEED, "model_ord", "first", "second").withColumn("difference", F.round("difference", 9))
 
 
 def _common(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +218,7 @@ _PRIMARY = " OR ".join(f"(first = '{a}' AND second = '{b}')" for a, b in PRIMARY
 
 SQL = {
     "bootstrap_scores": f"{_BOOT} SELECT CAST(b AS INTEGER) AS resample, model_ord, {', '.join(_S)} FROM sums",
-    "bootstrap_pairs": f"{_BOOT} SELECT * FROM pp",
+    "bootstrap_pairs": f"{_BOOT} SELECT * REPLACE (round(difference, 9) AS difference, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high) FROM pp",
     "bootstrap_unsmoothed": f"{_BOOT}, q AS (SELECT model_ord, first, second, least(1.0::DOUBLE, 2 * least(at_or_below, at_or_above) / resamples) AS p FROM pr) SELECT *, p < 0.05 AS significant FROM q",
     "holm_within": f"{_BOOT} " + _holm("pp", "model_ord", "first, second"),
     "holm_primary": f"{_BOOT} " + _holm(f"(SELECT * FROM pp WHERE {_PRIMARY})", "1 + 0 * resamples", "model_ord, first, second"),
@@ -233,4 +234,4 @@ SQL["legacy_significance"] = f"""{_COMMON}, nm AS (SELECT *, row_number() OVER (
   sm AS (SELECT model_ord, first, second, resample, sum(n) AS n, sum(a) AS a, sum(b) AS b FROM dw JOIN nm USING (model_ord, first, second, i) GROUP BY 1, 2, 3, 4),
   de AS (SELECT *, coalesce(a / nullif(n, 0), 0) - coalesce(b / nullif(n, 0), 0) AS delta FROM sm),
   ps AS (SELECT model_ord, first, second, least(1.0::DOUBLE, 2 * least(count(*) FILTER (delta <= 0), count(*) FILTER (delta >= 0)) / count(*)) AS p FROM de GROUP BY 1, 2, 3)
-  SELECT model_ord, first, second, count(*) AS sentences, coalesce((sum(a) - sum(b)) / nullif(sum(n), 0), 0) AS difference, any_value(p) AS p, any_value(p) < 0.05 AS significant FROM cm JOIN ps USING (model_ord, first, second) GROUP BY 1, 2, 3"""
+  SELECT model_ord, first, second, count(*) AS sentences, round(coalesce((sum(a) - sum(b)) / nullif(sum(n), 0), 0), 9) AS difference, any_value(p) AS p, any_value(p) < 0.05 AS significant FROM cm JOIN ps USING (model_ord, first, second) GROUP BY 1, 2, 3"""

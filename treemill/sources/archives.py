@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import os
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from treemill.functions import text as tx
+
 _GOLD = "array<struct<id:int,form:string,lemma:string,upos:string,xpos:string,feats:string,head:int,deprel:string>>"
 _PARSE = "array<struct<id:int,form:string,upos:string,head:int,deprel:string>>"
 #: Schema of an evaluation archive; given, since inference drops columns that are always null.
@@ -42,11 +45,16 @@ def read_tracker(spark: SparkSession, path: str) -> DataFrame:
 def read_prompt(spark: SparkSession, path: str) -> DataFrame:
     """``path, prompt, sha256`` of whole prompt files without white space at their ends."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return rows.select("path", F.regexp_replace("value", r"^\s+|\s+$", "").alias("prompt"), F.sha2("value", 256).alias("sha256"))
+    return rows.select("path", tx.strip(F.col("value")).alias("prompt"), F.sha2("value", 256).alias("sha256"))
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder as bytes, for manifests."""
+    """Files of a folder as bytes, for manifests.  A symbolic link in a local folder is an error: its target could change unseen."""
+    local = folder.removeprefix("file://")
+    if os.path.isdir(local):
+        linked = [os.path.join(at, name) for at, folders, names in os.walk(local) for name in (*folders, *names) if os.path.islink(os.path.join(at, name))]
+        if linked:
+            raise ValueError(f"symbolic links are not followed: {sorted(linked)[0]}")
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
 
