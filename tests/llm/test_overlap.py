@@ -58,6 +58,19 @@ def test_against_brute_force(spark, seed):
     assert run(spark, rows) == brute(rows) and brute(rows)
 
 
+def test_links_count_what_the_pairs_hold(spark):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice(("oak", "elm", "ash", "fir", "yew")) + str(rng.randint(0, 9)) for _ in range(8)) for _ in range(12)]
+    rows = [(n, rng.choice(("train", "dev", None)), edited(rng, rng.choice(base), rng.randint(0, 3)), "k", "s") for n in range(140)]
+    side = F.when(F.col("split") == "train", 0).when(F.col("split") == "dev", 1)
+    got = {r.key: (r.class_id, r.n_partners) for r in overlap.partners(spark.createDataFrame(rows, SCHEMA), "sent_key", "text", side).collect()}
+    pairs = brute(rows)
+    count = {k: sum(k in p for p in pairs) for k in {k for p in pairs for k in p}}
+    string = {k: "".join(words(t)) for k, split, t, *_ in rows if split}
+    assert {k: n for k, (_, n) in got.items()} == count and pairs
+    assert all(c == min(k for k, s in string.items() if s == string[key]) for key, (c, _) in got.items())
+
+
 def test_very_short_strings(spark):
     rng = random.Random(3)
     rows = [(n, rng.choice(("train", "dev")), " ".join(rng.choice("ab") * rng.choice((1, 1, 1, 2, 3)) for _ in range(6)), None, None) for n in range(120)]

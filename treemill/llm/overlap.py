@@ -253,9 +253,10 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, side: Column, per: int
 
 
 def partners(df: DataFrame, key: str, text: str, side: Column, per: int = 10, least_words: int = 6) -> DataFrame:
-    """``key, n_partners``: every row that overlaps, with the number of rows of the other side that it overlaps.
+    """``key, class_id, n_partners``: every row that overlaps, with its class of equal strings and the number of rows of the other side that it overlaps.
 
-    Counted over classes of equal strings; pairs of rows are never made.
+    A class has the smallest key of its rows of either side as id.  Counted over classes;
+    pairs of rows are never made.
     """
     rows, pairs = _sided_classes(df, key, text, side, per, least_words)
     sizes = rows.groupBy("side", "s").agg(F.count("*").alias("n"))
@@ -263,4 +264,5 @@ def partners(df: DataFrame, key: str, text: str, side: Column, per: int = 10, le
     sized = pairs.join(left, "a").join(right, "b")
     ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("s"), F.col("n_b").alias("n")), F.struct(F.lit(1).alias("side"), F.col("b").alias("s"), F.col("n_a").alias("n"))))
     counted = sized.select(ends.alias("e")).groupBy("e.side", "e.s").agg(F.sum("e.n").alias("n_partners"))
-    return rows.join(counted, ["side", "s"]).select("key", "n_partners")
+    ids = rows.groupBy("s").agg(F.min("key").alias("class_id"))
+    return rows.join(counted.join(ids, "s"), ["side", "s"]).select("key", "class_id", "n_partners")

@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key_a").alias("sent_key_a"), F.col("key_b").alias("sent_key_b"))
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlapping sentence with its class of equal texts and its number of partners."""
+    return overlap.partners(table(spark, sf_dir, "treebank_sentences"), "sent_key", "text", _side()).withColumnRenamed("key", "sent_key")
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs, and rows with a partner, per split and source."""
     sentences = table(spark, sf_dir, "treebank_sentences")
@@ -115,7 +120,7 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_report": p1_report,
+    "p1_found": p1_found, "p1_links": p1_links, "p1_report": p1_report,
     "p2_found": p2_found, "p2_report": p2_report, "p2_validation": p2_validation,
     "p3_found": p3_found, "p3_rates": p3_rates,
     "p5_found": p5_found, "p5_neighbours": p5_neighbours,
@@ -146,6 +151,8 @@ SQL: dict[str, str] = {
     "p1_found": f"{_P1} SELECT least(x, y) AS sent_key_a, greatest(x, y) AS sent_key_b FROM p",
     "p1_report": f"{_P1}, e AS (SELECT x AS k FROM p UNION ALL SELECT y FROM p), n AS (SELECT k, count(*) AS n FROM e GROUP BY 1) "
     "SELECT split, source, CAST(sum(n) AS BIGINT) AS n_pairs, count(*) AS n_rows FROM n JOIN s ON s.sent_key = n.k GROUP BY 1, 2",
+    "p1_links": f"{_P1}, e AS (SELECT x AS k FROM p UNION ALL SELECT y FROM p), n AS (SELECT k, count(*) AS n_partners FROM e GROUP BY 1), c AS (SELECT s, min(sent_key) AS class_id FROM s GROUP BY 1) "
+    "SELECT s.sent_key, c.class_id, n.n_partners FROM n JOIN s ON s.sent_key = n.k JOIN c ON c.s = s.s",
     "p7_found": f"{_P7} SELECT doc_id, item_id FROM (SELECT DISTINCT r, doc_id, item_id FROM dw JOIN iw USING (run))",
     "p5_found": """WITH p AS (SELECT pool_id, CAST(vectors AS DOUBLE[]) AS v FROM train_pool WHERE len(list_filter(vectors, lambda x: x <> 0)) > 0),
       c AS (SELECT a.pool_id AS x, b.pool_id AS y, list_cosine_similarity(a.v, b.v) AS cosine FROM p a JOIN p b ON a.pool_id <> b.pool_id AND len(a.v) = len(b.v)),
