@@ -135,3 +135,35 @@ def test_ingestion_continues_without_repetition(spark, tmp_path):
     assert go() == [1, 2, 3] and go() == [1, 2, 3]
     windows = ingest.outcome_windows(spark.read.parquet(str(tmp_path / "in")), "ingested_at", "1 hour", "1 day").collect()
     assert [(w.calls, w.failed) for w in windows] == [(5, 2)]
+
+
+def test_gold_has_unique_ids_and_unicode_breaks(spark, tmp_path):
+    row = "1\tGo\tgo\tVERB\t_\t_\t0\troot\t_\t_"
+    (tmp_path / "a.conllu").write_text(f"# sent_id = a\u2028# text = Go\n{row}\n\n# sent_id = b\n{row}", encoding="utf-8")
+    assert [(r.sent_id, r.text, len(r.tokens)) for r in conllu.read_gold(spark, str(tmp_path / "a.conllu")).orderBy("sent_id").collect()] == [("a", "Go", 1), ("b", None, 1)]
+    (tmp_path / "b.conllu").write_text(f"# sent_id = a\n{row}\n\n# sent_id = a\n{row}", encoding="utf-8")
+    with pytest.raises(AssertionError, match="unique"):
+        conllu.read_gold(spark, str(tmp_path / "b.conllu"))
+
+
+def test_links_are_rejected(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("x", encoding="utf-8")
+    assert archives.read_files(spark, str(tmp_path)).count() == 1
+    (tmp_path / "y.txt").symlink_to(tmp_path / "x.txt")
+    with pytest.raises(ValueError, match="symbolic"):
+        archives.read_files(spark, str(tmp_path))
+
+
+def test_clusters_need_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from treemill.plans import session
+
+    made = []
+    context = lambda master: SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+    spark_of = lambda master, **conf: SimpleNamespace(sparkContext=context(master), conf=SimpleNamespace(get=lambda name, default: conf.get("folder", default)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(spark_of("spark://host:7077"))
+    assert session.ensure_checkpoint_dir(spark_of("spark://host:7077", folder="/shared/cp")) == "/shared/cp"
+    made.clear()
+    assert "treemill-cp-" in session.ensure_checkpoint_dir(spark_of("local[4]"))

@@ -25,7 +25,7 @@ def candidates(sentences: DataFrame, held_out: DataFrame, low: int = 8, high: in
 
 
 def best_trio(rows: DataFrame, pool: int = 80) -> DataFrame:
-    """The three passing sentences that together cover most target labels.
+    """The three passing sentences that together cover most target labels, and the labels that they miss.
 
     The ``pool`` with most labels each are combined; ties go to the first in the order of
     labels covered and then id, which is also the order in which trios are tried.  The
@@ -37,6 +37,7 @@ def best_trio(rows: DataFrame, pool: int = 80) -> DataFrame:
     one = packed.select(F.posexplode("all").alias("i", "x"), "all")
     two = one.select("i", "x", F.posexplode("all").alias("j", "y"), "all").filter("i < j")
     three = two.select("i", "x", "j", "y", F.posexplode("all").alias("k", "z")).filter("j < k")
-    covered = F.size(F.array_union(F.array_union(F.col("x.hits"), F.col("y.hits")), F.col("z.hits")))
-    best = three.select(covered.alias("covered"), "i", "j", "k", F.col("x.sent_id").alias("first"), F.col("y.sent_id").alias("second"), F.col("z.sent_id").alias("third"))
-    return best.orderBy(F.desc("covered"), "i", "j", "k").limit(1).select("covered", "first", "second", "third")
+    union = F.array_union(F.array_union(F.col("x.hits"), F.col("y.hits")), F.col("z.hits"))
+    missed = F.array_sort(F.array_except(F.array(*map(F.lit, tok.TARGET_LABELS)), union))
+    best = three.select(F.size(union).alias("covered"), F.concat_ws(",", missed).alias("missed"), "i", "j", "k", F.col("x.sent_id").alias("first"), F.col("y.sent_id").alias("second"), F.col("z.sent_id").alias("third"))
+    return best.orderBy(F.desc("covered"), "i", "j", "k").limit(1).select("covered", "missed", "first", "second", "third")

@@ -95,6 +95,22 @@ def signatures(rows: DataFrame, key: str, text: str, tags: str, tag_terms: list[
     return wanted.mapInPandas(run, f"key {kind}, text string, size int, vec binary")
 
 
+def named_entries(rows: DataFrame, key: str, tag_terms: list[str], pair_terms: list[str]) -> DataFrame:
+    """``key, dim, value``: the entries of ``signatures`` that are not zero, rounded to nine places."""
+    names = np.array(["l1", "l2", "l3", "l4", "l5", *(f"tag{t}" for t in tag_terms), *(f"bigram{t}" for t in pair_terms), "r1", "r2", "r3", "r4"], dtype=object)
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, packed in zip(batch["key"], batch["vec"]):
+                vector = np.frombuffer(packed, dtype=np.float64)
+                at = np.flatnonzero(vector)
+                yield pd.DataFrame({"key": own, "dim": names[at], "value": vector[at]})
+
+    entries = rows.select("key", "vec").mapInPandas(run, f"key {kind}, dim string, value double")
+    return entries.select(F.col("key").alias(key), "dim", F.round("value", 9).alias("value"))
+
+
 def unit_rows(rows: DataFrame, key: str, text: str, vector: str) -> DataFrame:
     """``key, text, size, vec`` of every row with a usable vector, which is brought to length 1."""
     kind = rows.schema[key].dataType.simpleString()

@@ -39,6 +39,13 @@ def pos_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("sent_id", *[c.alias(n) for n, c in retrieval.ratios(F.col("tags")).items()])
 
 
+def signature_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each sentence's signature vector that are not zero, by name."""
+    pool = cut(_sentences(spark, sf_dir).select("sent_id", "text", "tags"))
+    tags, pairs = retrieval.vocabularies(pool, F.col("tags"))
+    return retrieval.named_entries(retrieval.signatures(pool, "sent_id", "text", "tags", tags, pairs), "sent_id", tags, pairs)
+
+
 def syntactic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every evaluation whose id is divisible by 100, the three sentences of most similar tags.
 
@@ -89,7 +96,7 @@ def held_out_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.join(out, "key", "left_anti").select("sent_key")
 
 
-QUERIES = {f.__name__: f for f in (pos_vocabulary, bigram_vocabulary, pos_frequencies, pos_signature, syntactic_topk, semantic_topk, projectivity, demo_candidates, best_trio, held_out_anti_join)}
+QUERIES = {f.__name__: f for f in (pos_vocabulary, bigram_vocabulary, pos_frequencies, pos_signature, signature_terms, syntactic_topk, semantic_topk, projectivity, demo_candidates, best_trio, held_out_anti_join)}
 
 _SENT = """s AS (SELECT sent_id, text, gold, list_transform(gold, lambda t: t.upos) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY eval_id) AS rk FROM model_evaluation WHERE len(gold) > 0 AND sent_id IS NOT NULL) WHERE rk = 1)"""
 
@@ -130,6 +137,7 @@ SQL = {
     "bigram_vocabulary": f"WITH {_SENT} SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT term FROM {_terms('s', 'sent_id')} WHERE kind = 'bigram')",
     "pos_frequencies": f"WITH {_SENT} SELECT sent_id, term, count(*) AS n FROM {_terms('s', 'sent_id')} GROUP BY 1, 2",
     "pos_signature": f"WITH {_SENT} SELECT sent_id, len(tags) / (len(tags) + 10) AS length, {_share('PUNCT')} AS punct, {_share('VERB', 'AUX')} AS verb, {_share('CCONJ')} AS cconj, {_share('SCONJ')} AS sconj, {_share('NOUN')} AS noun, {_share('ADP')} AS adp, {_share('PRON')} AS pron FROM s",
+    "signature_terms": f"WITH {_SENT}, voc AS (SELECT DISTINCT term FROM {_terms('s', 'sent_id')}) SELECT sent_id, dim, round(v, 9) AS value FROM {_signature('s', 'sent_id')}",
     "syntactic_topk": f"""WITH {_SENT}, voc AS (SELECT DISTINCT term FROM {_terms('s', 'sent_id')}),
         q AS (SELECT eval_id, text, list_transform(list_filter(llm_parse, lambda t: t.upos IS NOT NULL), lambda t: t.upos) AS tags FROM model_evaluation WHERE eval_id % 100 = 0 AND len(llm_parse) > 0),
         sv AS {_signature('s', 'sent_id')}, qv AS {_signature('q', 'eval_id')},
@@ -144,6 +152,6 @@ SQL = {
     "projectivity": f"WITH {_SENT}, {_ARCS} SELECT sent_id, {_CROSS} AS projective FROM s",
     "demo_candidates": f"{_candidates("split IN ('dev', 'test')")} SELECT sent_id, CAST(n_tokens AS INTEGER) AS n_tokens, length_ok, projective, held_out, array_to_string(hits, ',') AS hits, array_to_string(missed, ',') AS missed, passes FROM d",
     "best_trio": f"""{_candidates("split = 'test'")}, t AS (SELECT sent_id, hits, row_number() OVER (ORDER BY len(hits) DESC, sent_id) AS i FROM d WHERE passes), u AS (SELECT * FROM t WHERE i <= 80)
-        SELECT CAST(len(list_distinct(list_concat(x.hits, list_concat(y.hits, z.hits)))) AS INTEGER) AS covered, x.sent_id AS first, y.sent_id AS second, z.sent_id AS third FROM u x JOIN u y ON x.i < y.i JOIN u z ON y.i < z.i ORDER BY covered DESC, x.i, y.i, z.i LIMIT 1""",
+        SELECT CAST(len(list_distinct(list_concat(x.hits, list_concat(y.hits, z.hits)))) AS INTEGER) AS covered, array_to_string(list_filter({_TARGET}, lambda l: NOT list_contains(list_concat(x.hits, list_concat(y.hits, z.hits)), l)), ',') AS missed, x.sent_id AS first, y.sent_id AS second, z.sent_id AS third FROM u x JOIN u y ON x.i < y.i JOIN u z ON y.i < z.i ORDER BY covered DESC, x.i, y.i, z.i LIMIT 1""",
     "held_out_anti_join": f"SELECT sent_key FROM treebank_sentences WHERE split = 'train' AND text IS NOT NULL AND {_STRIP.format('text')} NOT IN (SELECT {_STRIP.format('text')} FROM treebank_sentences WHERE split IN ('dev', 'test') AND text IS NOT NULL) UNION ALL SELECT sent_key FROM treebank_sentences WHERE split = 'train' AND text IS NULL",
 }

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from treemill.operators import integrity
+
 FULL = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel")
 SHORT = ("id", "form", "upos", "head", "deprel")
 # fixed values: columns of the format
+UNICODE_BREAKS = "\r?\n|[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _COLUMN = {"id": 0, "form": 1, "lemma": 2, "upos": 3, "xpos": 4, "feats": 5, "head": 6, "deprel": 7}
 
 
@@ -22,7 +25,7 @@ def _comment(lines: Column, name: str, prefix: bool = False) -> Column:
     return F.regexp_extract(F.try_element_at(found, F.lit(-1)), pattern, 1)
 
 
-def read(spark: SparkSession, path: str, fields: tuple[str, ...] = FULL, require_text: bool = False, text_prefix: bool = False, line_end: str = "\n") -> DataFrame:
+def read(spark: SparkSession, path: str, fields: tuple[str, ...] = FULL, require_text: bool = False, text_prefix: bool = False, line_end: str = "\n", breaks: str = "\r?\n") -> DataFrame:
     """``sent_id, text, tokens`` of every block with a word.
 
     ``require_text`` drops sentences without a text; ``text_prefix`` lets a later
@@ -30,7 +33,7 @@ def read(spark: SparkSession, path: str, fields: tuple[str, ...] = FULL, require
     a blank line at its end, repeated blank lines and blanks at line ends are read as usual.
     """
     blocks = spark.read.text(path, lineSep=line_end * 2)
-    lines = F.transform(F.split(F.col("value"), "\r?\n"), lambda x: F.regexp_replace(x, r"[ \r]+$", ""))
+    lines = F.transform(F.split(F.col("value"), breaks), lambda x: F.regexp_replace(x, r"[ \r]+$", ""))
     rows = blocks.select(lines.alias("lines"))
     words = F.filter(F.transform("lines", lambda x: F.split(x, "\t")), lambda c: (F.size(c) >= 10) & F.get(c, F.lit(0)).rlike("^[0-9]+$"))
 
@@ -43,6 +46,16 @@ def read(spark: SparkSession, path: str, fields: tuple[str, ...] = FULL, require
     return out.filter("text is not null and text <> ''") if require_text else out
 
 
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Gold sentences, whose ids must be there and unique; else an error.
+
+    Lines also end at the other line breaks of Unicode, as texts of gold files may hold them.
+    """
+    out = read(spark, path, breaks=UNICODE_BREAKS)
+    integrity.assert_empty(repeated_ids(out), "sentence ids must be unique and not empty")
+    return out
+
+
 def tags(sentences: DataFrame) -> DataFrame:
     """``sent_id, text, tags``: the parts of speech in order, for retrieval."""
     return sentences.select("sent_id", "text", F.transform("tokens", lambda t: t["upos"]).alias("tags"))
