@@ -73,6 +73,13 @@ def test_audit(spark, parse, flags):
     assert tuple(int(got[f]) for f in trees.FLAGS) == flags
 
 
+def test_long_chains_reach_the_root(spark):
+    chain = [(n, "w", "X", n - 1, "dep") for n in range(1, 3_001)]
+    broken = [*chain[:2_000], (2_001, "w", "X", 3_000, "dep"), *chain[2_001:]]
+    got = rows(spark, (chain, None), (broken, None), (GOLD, None), ([], None)).orderBy("sent_id").select(tok.reaches_root(F.col("gold")).alias("r")).collect()
+    assert [r.r for r in got] == [True, False, True, True]
+
+
 def test_root_warnings(spark):
     none = [(i, f, u, 1, d) for i, f, u, h, d in GOLD]
     got = rows(spark, (GOLD, GOLD), (GOLD, none), (GOLD, ERRORS), (GOLD, None)).orderBy("sent_id").select(trees.root_warnings(F.col("llm_parse")).alias("w")).collect()

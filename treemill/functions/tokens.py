@@ -97,18 +97,14 @@ def base_labels(tokens: Column) -> Column:
 def reaches_root(tokens: Column) -> Column:
     """Whether every token comes to head 0 by following heads; ids are 1 to n.
 
-    Pointer doubling: each round replaces a head by the head's head, so ``n`` rounds
-    settle sentences of up to ``2 ** n`` tokens.  The rounds go by the length; more than
-    a million tokens are an error, not a guess.
+    Pointer doubling: each round replaces a head by the head's head, so as many rounds
+    as the logarithm of the length settle a sentence, however long.
     """
     ordered = F.array_sort(F.transform(tokens, lambda t: F.struct(t["id"].alias("id"), t["head"].alias("head"))))
-    heads, settled = F.transform(ordered, lambda t: t["head"]), F.when(F.lit(False), F.lit(False))
-    for rounds in range(1, 21):
-        heads = _doubled(heads)
-        if rounds in (6, 10, 20):
-            settled = settled.when(F.size(tokens) <= 2**rounds, ~F.exists(heads, lambda h: h != 0))
-    return settled.otherwise(F.raise_error(F.lit("a sentence of more than a million tokens")).cast("boolean"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(tokens), F.lit(1)))).cast("int"))
+    heads = F.aggregate(rounds, F.transform(ordered, lambda t: t["head"]), lambda h, _: _doubled(h))
+    return ~F.exists(heads, lambda h: h != 0)
 
 
-def _doubled(heads: Column) -> Column:
-    return bound(heads, lambda h: F.transform(h, lambda x: F.when(x == 0, F.lit(0)).otherwise(F.coalesce(F.get(h, x - 1), F.lit(-1)))))
+def _doubled(h: Column) -> Column:
+    return F.transform(h, lambda x: F.when(x == 0, F.lit(0)).otherwise(F.coalesce(F.get(h, x - 1), F.lit(-1))))
